@@ -42,7 +42,7 @@ from .minhash import TABLE, _powers
 LENGTH = 50
 K = 20
 BATCH_BYTES = 1 << 20
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 24 << 20
 U = np.uint64
 LAST = np.iinfo(np.int64).max
 
@@ -73,11 +73,12 @@ def _deal(found: np.ndarray, t: np.ndarray, into: list[list[np.ndarray]]) -> Non
 
 def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """The suffix order that sorted leftmost-smaller positions `seeds` induce."""
-    n, none = len(t), np.zeros(0, np.int64)
+    n, none = len(t), np.zeros(0, np.int32)
+    seeds = seeds.astype(np.int32)
     seeded: list[list[np.ndarray]] = [[] for _ in range(256)]
     large: list[list[np.ndarray]] = [[] for _ in range(256)]
     _deal(seeds, t, seeded)
-    large[int(t[n - 1])].append(np.array([n - 1]))
+    large[int(t[n - 1])].append(np.array([n - 1], np.int32))
     for c in range(256):
         done, at = [], 0
         while at < len(large[c]):
@@ -158,9 +159,10 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     if len(starts) < 2:
         return _induce(t, small, starts)
     first = _induce(t, small, starts)
-    where = np.full(len(t), -1)
+    where = np.full(len(t), -1, np.int32)
     where[starts] = np.arange(len(starts))
     order = where[first]
+    del first, where
     names = _names(t, starts, order[order >= 0])
     ranked = np.argsort(names, kind="stable") if names.max() == len(starts) - 1 else _ranked(names)
     return _induce(t, small, starts[ranked])
@@ -170,7 +172,7 @@ def shared_prefix(t: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
     """For each place in `sa`, whether its suffix shares `length` bytes with the one before it;
     computed in text order through the permuted predecessors."""
     n = len(t)
-    before = np.full(n, -1)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
     i = np.flatnonzero((before >= 0) & (np.arange(n) + length <= n))
     i = i[before[i] + length <= n]
