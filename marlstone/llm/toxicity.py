@@ -1,7 +1,7 @@
 """Toxicity scores from a learned lexicon matched with Levenshtein automata.
 
-Learning: a bounded sample of labelled rows (TRAIN_ROWS, the smallest by md5 of doc_id) gives
-document counts of terms and word stems per class; terms far likelier under label 1 form a trie.
+Learning: a bounded sample of labelled rows (TRAIN_ROWS, the smallest by md5 of doc_id, near
+copies left out) gives document counts of terms and word stems per class; terms far likelier under label 1 form a trie.
 Matching: a word hits exactly, by stem, or within one edit, found by running the word's
 Levenshtein automaton along the trie. Context: within a window around each hit, quotation marks
 and reporting words speak for quoting, address for abuse; hits count as abuse or as quotation.
@@ -16,6 +16,7 @@ every score is the rate of label 1 (0.0 if there is no label); other columns are
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import doc_input, documents, map_texts, texts_of, written
+from .fuse import mix
+from .minhash import shingle_sets
 
 TRAIN_ROWS = 20_000
 MAX_LEXICON = 2_000
@@ -73,7 +76,8 @@ class Lexicon:
         fuzzy = [w for w in words if len(w) >= 5]
         self.heads = {w[: len(w) // 2] for w in fuzzy}
         self.tails = {w[len(w) // 2 :] for w in fuzzy}
-        self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
+        self.head_sets = [(n, {x for x in self.heads if len(x) == n}) for n in sorted({len(x) for x in self.heads})]
+        self.tail_sets = [(-n, {x for x in self.tails if len(x) == n}) for n in sorted({len(x) for x in self.tails})]
         self.openings = {s[:4] for s in stems}
         self.cache: dict[str, tuple[str, float] | None] = {}
 
@@ -91,6 +95,15 @@ class Lexicon:
                     stack.append((child, moved))
         return best
 
+    def possible(self, words: set[str]) -> list[str]:
+        """Those of `words` that could match; the others are told apart by a few look-ups."""
+        out = [w for w in words if w[:4] in self.openings or w in self.words]
+        for n, have in self.head_sets:
+            out += [w for w in words if w[:n] in have]
+        for n, have in self.tail_sets:
+            out += [w for w in words if w[n:] in have]
+        return out
+
     def match(self, word: str) -> tuple[str, float] | None:
         """(exact | stem | near, weight) of a lower-case word."""
         if word in self.words:
@@ -101,7 +114,7 @@ class Lexicon:
                     return "stem", self.stems[word[:n]]
         if not self.words or len(word) < 4:
             return None
-        if not (any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes)):
+        if not (any(word[:n] in have for n, have in self.head_sets) or any(word[n:] in have for n, have in self.tail_sets)):
             return None
         if word not in self.cache:
             if len(self.cache) > 200_000:
@@ -115,12 +128,12 @@ def hits(lexicon: Lexicon, text: str) -> tuple[list[tuple[int, int, str, float,
     """(start, end, how, weight, quoted) of every hit in a text, and its number of words."""
     low = text.lower()
     words = WORD.findall(low)
-    found = {}
-    for w in set(words):
-        m = lexicon.match(w)
-        if m is None and not w.isalpha():
-            m = lexicon.match(w.translate(LEET))
-        if m:
+    found, distinct = {}, set(words)
+    for w in lexicon.possible(distinct):
+        if m := lexicon.match(w):
+            found[w] = m
+    for w in [w for w in distinct if not w.isalpha()]:
+        if w not in found and (m := lexicon.match(w.translate(LEET))):
             found[w] = m
     out = []
     if found:
@@ -177,18 +190,51 @@ class Model:
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tuple[np.ndarray, float]:
     """Newton's method on the penalised likelihood; the penalty pulls to `prior`, bias free."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    mean, pull = np.append(prior, 0.0), np.append(np.full(x.shape[1] - 1, ridge), 1e-6)
+    rate = (y.sum() + 0.5) / (len(y) + 1)
+    mean, pull = np.append(prior, np.log(rate / (1 - rate))), np.append(np.full(x.shape[1] - 1, ridge), 1e-2)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + (pull * (w - mean) ** 2).sum() / 2)
+
     w = mean.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         grad = x.T @ (p - y) + pull * (w - mean)
         move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), grad)
-        w -= move
-        if np.abs(move).max() < 1e-8:
+        size = 1.0
+        while loss(w - size * move) > loss(w) and size > 1e-6:
+            size /= 2
+        w = w - size * move
+        if size * np.abs(move).max() < 1e-8:
             break
     return w[:-1], float(w[-1])
 
 
+def _distinct(sample: DataFrame) -> DataFrame:
+    """Without near copies, whose chance words would look like signs of their label: of rows that
+    share one of four min-hashes of five-word shingles, the first by md5 of doc_id stays. The
+    sample is bounded, so its hashes go to the driver."""
+
+    def hashes(batches):
+        for b in batches:
+            got = []
+            for _, sets in shingle_sets(texts_of(b), 5):
+                got += [[int(mix(s, i).min()) >> 1 if len(s) else 0 for i in (21, 22, 23, 24)] for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "h"])
+
+    rows = sample.select("doc_id", "text").mapInArrow(hashes, "doc_id long, h array<long>").collect()
+    seen: set[tuple[int, int]] = set()
+    keep = set()
+    for r in sorted(rows, key=lambda r: hashlib.md5(str(r["doc_id"]).encode()).hexdigest()):
+        keys = set(enumerate(r["h"]))
+        if not keys & seen:
+            keep.add(r["doc_id"])
+        seen |= keys
+    ids = sample.sparkSession.createDataFrame([(i,) for i in sorted(keep)], "doc_id long")
+    return written(sample.join(F.broadcast(ids), "doc_id", "left_semi"), "toxic-distinct")
+
+
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
@@ -219,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(train_rows)
-    sample = written(doc_input(docs).join(F.broadcast(known), "doc_id"), "toxic-sample")
+    sample = _distinct(written(doc_input(docs).join(F.broadcast(known), "doc_id"), "toxic-sample"))
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     neg, pos = size.get(0, 0), size.get(1, 0)
     rate = pos / max(1, neg + pos)
@@ -229,18 +275,20 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     terms = sample.select("text", "toxic").mapInArrow(_terms, "term string, stem boolean, neg long, pos long")
     terms = terms.groupBy("term", "stem").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
-    n, share = F.col("pos") + F.col("neg"), F.col("pos") / (F.col("pos") + F.col("neg"))
+    share = F.col("pos") / (F.col("pos") + F.col("neg"))
     # twice the log-likelihood ratio against the overall rate
     ratio = 2 * (F.col("pos") * F.log(share / rate) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - share) / (1 - rate))).otherwise(0))
-    strong = terms.withColumn("odds", odds).withColumn("ratio", ratio).where((F.col("odds") > 1.8) & (F.col("ratio") > 30) & (n >= 4))
+    strong = terms.withColumn("odds", odds).withColumn("ratio", ratio).where((F.col("odds") > 1.8) & (F.col("ratio") > 30) & (F.col("pos") >= max(4, pos // 100)))
     top = strong.orderBy(F.desc("ratio"), "term").limit(MAX_LEXICON).collect()
     stems: dict[str, float] = {}
     whole = {r["term"]: r["odds"] for r in top if not r["stem"]}
     for r in sorted((r for r in top if r["stem"]), key=lambda r: (len(r["term"]), r["term"])):
         if not any(r["term"][:k] in stems for k in STEMS if k < len(r["term"])):
             stems[r["term"]] = r["odds"]
-    # a stem that only one word completes adds nothing to that word
-    stems = {s: w for s, w in stems.items() if sum(x.startswith(s) for x in whole) != 1}
+    # a stem that one strong word makes up alone adds nothing to it; other stems stand for theirs
+    alone = {s for s in stems for x in whole if x.startswith(s) and sum(y.startswith(s) for y in whole) == 1}
+    stems = {s: w for s, w in stems.items() if s not in alone}
+    whole = {x: w for x, w in whole.items() if not any(x[:n] in stems for n in STEMS)}
     lexicon = Lexicon(whole, stems)
 
     def measure(batches):
