@@ -8,6 +8,7 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
@@ -15,6 +16,10 @@ def ship(spark: SparkSession) -> SparkSession:
     """Send this package's sources to the executors, once per application. Spark's own file server
     carries them, so no shared folder or installation is needed."""
     sc = spark.sparkContext
+    # whole texts travel in Arrow batches: with Spark's default of 10,000 rows a batch of long
+    # documents would be the largest thing in a worker's memory
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     if sc.applicationId not in _shipped:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         path = os.path.join(tempfile.mkdtemp(prefix="marlstone-"), "marlstone.zip")
