@@ -128,7 +128,15 @@ def disclosing(docs: DataFrame, found: DataFrame, alpha: float = ALPHA, support:
     entities = seen.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
     words = seen.select("entity", F.array_sort(F.array_distinct(F.transform("near", lambda w: w.term))).alias("terms")).distinct()
     pairs = words.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
-    pairs = written(pairs.join(entities, "entity"), "pairs")
+    total = docs.count()
+    own = F.log(F.lit(float(total)) / F.col("n_e"))
+    # documents with a term near any entity are a lower bound of documents with it: pairs that
+    # miss the threshold even so are settled before the corpus is counted
+    around = seen.select("row", F.explode(F.array_distinct(F.transform("near", lambda w: w.term))).alias("term")).distinct()
+    around = around.groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    pairs = pairs.join(entities, "entity").join(around, "term")
+    most = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_near") * F.col("n_e")))
+    pairs = written(pairs.where(most >= own / alpha - 1e-9), "pairs")
     terms = pairs.select("term").distinct()
     every = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(WORD), F.lit(0)))).alias("term"))
     if terms.count() <= MAX_BROADCAST_TERMS:
@@ -136,9 +144,7 @@ def disclosing(docs: DataFrame, found: DataFrame, alpha: float = ALPHA, support:
         counts = every.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     else:
         counts = every.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(terms, "term", "left_semi")
-    total = docs.count()
     told = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-    own = F.log(F.lit(float(total)) / F.col("n_e"))
     return pairs.join(counts, "term").where((told >= own / alpha) & (told > 0)).select("entity", "term")
 
 
