@@ -99,10 +99,10 @@ def find_copies(docs: DataFrame, digest_bytes: int = 32, snapshot_part=None) ->
     alone = new.where("not seen").select("key", "n", "top").unionByName(old.groups.join(met.select("key"), "key", "left_anti").select("key", "n", "top"))
     groups = written(alone.unionByName(met).where("n > 1"), "copies")
 
-    # byte check: min and max of a group's texts are combined before the shuffle, so no task
+    # byte check, by a join that shuffles at every size, so its cost is in proportion: min and max of a group's texts are combined before the shuffle, so no task
     # ever holds a group, and they are equal only if all its texts are
     members = written(join_groups(rows.select("doc_id", "key"), groups, "key", "n", n_rows).where("n is not null").select("doc_id", "key").distinct(), "members")
-    texts = doc_input(docs).select(F.col("doc_id").alias("id"), normalised().alias("norm")).join(members, F.col("id").eqNullSafe(F.col("doc_id")))
+    texts = doc_input(docs).select(F.col("doc_id").alias("id"), normalised().alias("norm")).join(members.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")))
     span = texts.groupBy("key").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
     differ = written(span.where("lo <> hi").select("key"), "differ")
     if not differ.isEmpty():
