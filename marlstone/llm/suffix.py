@@ -140,7 +140,7 @@ def _ranked(names: np.ndarray) -> np.ndarray:
         after = np.full(n, -1)
         after[: n - step] = rank[step:] if step < n else after[: n - step]
         key = rank * (n + 1) + after + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         new = np.empty(n, np.int64)
         new[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
@@ -241,13 +241,17 @@ class Batch:
             self.anchor = grams[p]
             body = (run[self.s1 + LENGTH] - run[starts]) * down[starts]
             self.kind = mix(body + ((p - starts).astype(U) << U(40)) + (self.s1 - starts).astype(U) * U(0x9E3779B97F4A7C15), 9)
+        # a kind is a hash of the anchor's surroundings, so it names the anchor too
         doc = ids[self.owner]
-        order = np.lexsort((doc, self.kind, self.anchor))
+        order = np.argsort(self.kind)
         new = np.ones(len(order), bool)
-        new[1:] = (self.anchor[order][1:] != self.anchor[order][:-1]) | (self.kind[order][1:] != self.kind[order][:-1])
-        self.first = order[new]
+        new[1:] = self.kind[order][1:] != self.kind[order][:-1]
+        heads, group = np.flatnonzero(new), np.cumsum(new) - 1
+        if len(order):
+            least_doc = np.minimum.reduceat(doc[order], heads)
+            self.first = np.minimum.reduceat(np.where(doc[order] == least_doc[group], order, len(order)), heads)
         self.twin = np.empty(len(order), np.int64)
-        self.twin[order] = np.cumsum(new) - 1
+        self.twin[order] = group
 
     def dealt(self, buckets: int):
         """(bucket, places in `first`) for each bucket, in a fixed order."""
@@ -336,16 +340,22 @@ def _settle(table: pa.Table) -> pa.Table:
     kind = np.concatenate([np.frombuffer(x, U, n, 4 * n) for x, n in zip(raw, sizes)])
     doc = np.concatenate([np.frombuffer(x, np.int64, n, 12 * n) for x, n in zip(raw, sizes)])
     del raw
-    order = np.lexsort((doc, kind, anchor))
-    a, k, d = anchor[order], kind[order], doc[order]
-    new_a = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
-    new_k = new_a | np.concatenate([[True], k[1:] != k[:-1]]) if len(a) else new_a
-    group, which = np.cumsum(new_k) - 1, np.cumsum(new_a) - 1
-    smallest = d[new_k][group]
-    kinds = np.bincount(which[new_k])[which]
-    low, high = np.minimum.reduceat(d, np.flatnonzero(new_a))[which], np.maximum.reduceat(d, np.flatnonzero(new_a))[which]
-    flag = np.empty(len(a), np.uint8)
-    flag[order] = np.where(d > smallest, 1, np.where((kinds > 1) & (low < high), 2, 0))
+    if not len(kind):
+        return table.select(["batch", "bucket"]).append_column("answer", pa.array([_pack(b"")] * table.num_rows, pa.binary()))
+    order = np.argsort(kind)
+    k, d = kind[order], doc[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    heads, group = np.flatnonzero(new), np.cumsum(new) - 1
+    smallest, largest, of = np.minimum.reduceat(d, heads), np.maximum.reduceat(d, heads), anchor[order][heads]
+    # per anchor: how many kinds, and whether more than one document
+    by = np.argsort(of)
+    new = np.concatenate([[True], of[by][1:] != of[by][:-1]])
+    starts, which = np.flatnonzero(new), np.cumsum(new) - 1
+    several = (np.bincount(which) > 1) & (np.minimum.reduceat(smallest[by], starts) < np.maximum.reduceat(largest[by], starts))
+    compare = np.empty(len(heads), bool)
+    compare[by] = several[which]
+    flag = np.empty(len(k), np.uint8)
+    flag[order] = np.where(d > smallest[group], 1, np.where(compare[group], 2, 0))
     cuts = np.cumsum([0, *sizes])
     return pa.table({"batch": table["batch"], "bucket": table["bucket"], "answer": pa.array([_pack(flag[lo:hi].tobytes()) for lo, hi in zip(cuts, cuts[1:])], pa.binary())})
 
