@@ -88,8 +88,8 @@ def leaf_stats(group) -> dict:
 
 
 def explain(spark: SparkSession, paths: list[str], p: Predicate) -> DataFrame:
-    """One row per row group: file, row_group, rows, verdict, reason. Footers are read where Spark
-    tasks run, through Hadoop's input streams only if the path is not local."""
+    """One row per row group: file, row_group, rows, verdict, reason. Footers are read by
+    the driver, one after the other, through Hadoop's file systems."""
     p = normal(p)
     rows = []
     for path in paths:
