@@ -116,6 +116,29 @@ def file_stats(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "file string, row_group int, column string, num_values long, nulls long, min string, max string")
 
 
+def row_groups(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One row per row group: file, row_group, rows, columns, bytes, compressed."""
+    rows = []
+    for path in paths:
+        meta = _footer(spark, path)
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            packed = sum(group.column(i).total_compressed_size for i in range(group.num_columns))
+            rows.append((path, g, group.num_rows, group.num_columns, group.total_byte_size, packed))
+    return spark.createDataFrame(rows, "file string, row_group int, rows long, columns int, bytes long, compressed long")
+
+
+def entries(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """File facts and key-value entries of footers: file, key, value."""
+    rows = []
+    for path in paths:
+        meta = _footer(spark, path)
+        facts = {"created_by": meta.created_by, "format_version": meta.format_version, "rows": str(meta.num_rows), "row_groups": str(meta.num_row_groups)}
+        stored = {k.decode(): v.decode(errors="replace") for k, v in (meta.metadata or {}).items() if k != b"ARROW:schema"}
+        rows += [(path, k, v) for k, v in {**facts, **stored}.items()]
+    return spark.createDataFrame(rows, "file string, key string, value string")
+
+
 def _footer(spark: SparkSession, path: str) -> pq.FileMetaData:
     """A footer through Hadoop's file system, so any store Spark reads will do: only the last
     bytes travel."""

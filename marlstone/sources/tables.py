@@ -386,7 +386,10 @@ class Table:
         parts = []
         if plain:
             df = self.spark.read.schema("file_path string, pos long").parquet(*[e.path for e in plain])
-            parts.append(self._sequenced(df, plain).select(F.col("file_path").alias("_gone_file"), F.col("pos").alias("_gone_pos"), "_gone_seq"))
+            gone = self._sequenced(df, plain).select(F.col("file_path").alias("_gone_file"), F.col("pos").alias("_gone_pos"), "_gone_seq")
+            if vectors:  # a vector supersedes the position files of its data file
+                gone = gone.join(self.spark.createDataFrame([(e.referenced,) for e in vectors], "_gone_file string"), "_gone_file", "left_anti")
+            parts.append(gone)
         if vectors:
             parts.append(self._vectors(vectors))
         if not parts:
