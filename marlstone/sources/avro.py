@@ -447,3 +447,32 @@ def frame(spark: SparkSession, paths: list[str], reader: Any) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
 
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(decode, schema)
+
+
+def encoded(df: DataFrame, schema: Any, codec: str = "deflate") -> DataFrame:
+    """Container files of the rows, one per Arrow batch, as rows of (content, rows)."""
+    ship(df.sparkSession)
+
+    def encode(batches):
+        for batch in batches:
+            content = write(schema, batch.to_pylist(), codec)
+            yield pa.RecordBatch.from_pydict({"content": pa.array([content], pa.binary()), "rows": pa.array([batch.num_rows], pa.int64())})
+
+    return df.mapInArrow(encode, "content binary, rows long")
+
+
+def decoded(df: DataFrame, reader: Any) -> DataFrame:
+    """Records of the container files in a column `content`, under the reader's schema."""
+    ship(df.sparkSession)
+    schema = spark_type(reader)
+    arrow = to_arrow_schema(schema)
+
+    def decode(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                if content.is_valid:
+                    rows = list(records(content.as_py(), reader))
+                    if rows:
+                        yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return df.select("content").mapInArrow(decode, schema)

@@ -9,14 +9,16 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import geometry
+from .functions import geometry, temporal, variant
 from .functions.compiling import compiled
 from .functions.predicate import Box, BoxTest, GeometryTest, In, Not, Predicate, Quantified, RowsExcluded, col
+from .operators.decimation import decimated
 from .operators.deletes import without_equal
 from .operators.reconcile import Field, reconciled
 from .plans.query import Coalesce, Constant, Null, Physical, Promoted, Query, RowPosition
 from .plans.sqlfilter import parse
 from .session import ship
+from .sources import avro
 from .sources.sinks import delimited_rows, json_rows, text_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,6 +125,15 @@ where("filter_float_literal", col("f").eq(0.05), "CAST(l_discount AS FLOAT) = CA
 where("filter_long_literal", col("l_linenumber").lt(3_000_000_000), "true")
 where("filter_struct_leaf", col("s.flag").eq("R") & col("s.inner.tax").lt(0.02), "l_returnflag = 'R' AND l_tax < 0.02", derive=lambda df: df.withColumn("s", F.struct(F.col("l_returnflag").alias("flag"), F.struct(F.col("l_tax").alias("tax")).alias("inner"))))
 
+for key, p, sql in (
+    ("during", temporal.related("ts", "during", datetime(2024, 1, 2), datetime(2024, 1, 4)), "ts > TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-04'"),
+    ("after_period", temporal.related("ts", "after", datetime(2024, 1, 2), datetime(2024, 1, 4)), "ts > TIMESTAMP '2024-01-04'"),
+    ("period_after", temporal.related("ts", "after", datetime(2024, 1, 2), datetime(2024, 1, 4), literal_first=True), "ts < TIMESTAMP '2024-01-02'"),
+    ("any_interacts", temporal.related("ts", "any_interacts", datetime(2024, 1, 2), datetime(2024, 1, 4)), "ts BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-04'"),
+    ("meets", temporal.related("ts", "meets", datetime(2024, 1, 2), datetime(2024, 1, 4)), "false"),
+):
+    where(f"temporal_{key}", p, sql, "events", ("event_id",))
+
 # --- quantified predicates --------------------------------------------------------------------
 
 LISTS = "(SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN NULL WHEN vec_id % 7 = 1 THEN [] ELSE list_transform(embedding, lambda e: CASE WHEN e > 0.28::FLOAT THEN NULL ELSE e END) END AS v FROM embeddings)"
@@ -242,6 +253,8 @@ def covered(df: DataFrame) -> DataFrame:
 
 register("bbox_with_covering", "orders", covered, f"SELECT o_orderkey FROM {POINTS} WHERE has AND x BETWEEN 0 AND 50 AND y BETWEEN 0 AND 50")
 
+register("decimate_points", "orders", lambda df: decimated(points(df), "geom", Box(-100, -50, 100, 50), 50, 25, "o_orderkey").select("o_orderkey"), f"SELECT min(o_orderkey) AS o_orderkey FROM {POINTS} WHERE has AND x BETWEEN -100 AND 100 AND y BETWEEN -50 AND 50 GROUP BY floor((x + 100) / 4), floor((y + 50) / 4)")
+
 # --- deletes and reconciliation -----------------------------------------------------------------
 
 register("row_index_excluded", "orders", lambda df: df.where(compiled(RowsExcluded(frozenset(range(0, 1000, 3))), df.schema)).select("o_orderkey"), "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER () - 1 AS pos FROM orders) WHERE NOT (pos < 1000 AND pos % 3 = 0)")
@@ -271,3 +284,26 @@ register("json_rows", "lineitem", lambda df: json_rows(nullable(df).select("l_or
 register("csv_rows", "lineitem", lambda df: delimited_rows(nullable(df).select("l_orderkey", "flag", "l_linestatus")), f"SELECT l_orderkey || ',' || coalesce(flag, '') || ',' || l_linestatus AS line FROM {NULLABLE}")
 register("tsv_rows", "orders", lambda df: delimited_rows(df.select("o_orderkey", "o_orderstatus"), "\t"), "SELECT o_orderkey || chr(9) || o_orderstatus AS line FROM orders")
 register("text_rows", "nation", lambda df: text_rows(df.select("n_nationkey", "n_name")), "SELECT 'n_nationkey=' || n_nationkey || ', n_name=' || n_name AS line FROM nation")
+
+# --- variants and row containers ------------------------------------------------------------------
+
+
+def variants(df: DataFrame) -> DataFrame:
+    v = F.parse_json(F.to_json(F.struct(F.col("l_returnflag").alias("flag"), F.array("l_linenumber", "l_suppkey").alias("numbers"), F.struct(F.col("l_partkey").alias("part")).alias("inner"))))
+    df = df.withColumn("v", v)
+    numbers = variant.get(F.col("v"), "$.numbers")
+    return df.select(*LINE, variant.get(F.col("v"), "$.flag", "string").alias("flag"), variant.get(F.col("v"), "$.inner.part", "bigint").alias("part"), variant.get(F.col("v"), "$.flag", "int").alias("none"), F.array_join(variant.field_names(F.col("v")), ",").alias("names"), variant.field_count(F.col("v")).alias("n_fields"), variant.element_count(numbers).alias("n_elements"), variant.get(variant.element(numbers, 1), "$", "bigint").alias("second"), variant.field_count(numbers).alias("not_an_object"))
+
+
+register("variant_navigation", "lineitem", variants, f"SELECT {KEYS}, l_returnflag AS flag, CAST(l_partkey AS BIGINT) AS part, CAST(NULL AS INT) AS none, 'flag,inner,numbers' AS names, 3 AS n_fields, 2 AS n_elements, CAST(l_suppkey AS BIGINT) AS second, CAST(NULL AS INT) AS not_an_object FROM lineitem")
+
+AVRO_ROW = {"type": "record", "name": "row", "fields": [{"name": "l_orderkey", "type": "long"}, {"name": "l_linenumber", "type": "int"}, {"name": "flag", "type": ["null", "string"]}, {"name": "l_tax", "type": "double"}]}
+AVRO_READER = {"type": "record", "name": "row", "fields": [{"name": "l_orderkey", "type": "long"}, {"name": "number", "aliases": ["l_linenumber"], "type": "long"}, {"name": "flag", "type": ["null", "string"]}, {"name": "added", "type": "string", "default": "d"}]}
+
+
+def containers(df: DataFrame) -> DataFrame:
+    rows = nullable(df).select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int"), "flag", "l_tax")
+    return avro.decoded(avro.encoded(rows, AVRO_ROW), AVRO_READER)
+
+
+register("avro_resolution", "lineitem", containers, f"SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS number, flag, 'd' AS added FROM {NULLABLE}")
