@@ -6,6 +6,8 @@ Verdicts: `none` (no row can match), `all` (every row matches), `some`, `unknown
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -89,11 +91,10 @@ def leaf_stats(group) -> dict:
 
 def explain(spark: SparkSession, paths: list[str], p: Predicate) -> DataFrame:
     """One row per row group: file, row_group, rows, verdict, reason. Footers are read by
-    the driver, one after the other, through Hadoop's file systems."""
+    threads of the driver."""
     p = normal(p)
     rows = []
-    for path in paths:
-        meta = _footer(spark, path)
+    for path, meta in footers(spark, paths):
         for g in range(meta.num_row_groups):
             group = meta.row_group(g)
             v, why = ("none", "empty row group") if not group.num_rows else verdict(p, leaf_stats(group), group.num_rows)
@@ -104,8 +105,7 @@ def explain(spark: SparkSession, paths: list[str], p: Predicate) -> DataFrame:
 def file_stats(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row per column chunk: file, row_group, column, num_values, nulls, min, max as text."""
     rows = []
-    for path in paths:
-        meta = _footer(spark, path)
+    for path, meta in footers(spark, paths):
         for g in range(meta.num_row_groups):
             group = meta.row_group(g)
             for i in range(group.num_columns):
@@ -119,8 +119,7 @@ def file_stats(spark: SparkSession, paths: list[str]) -> DataFrame:
 def row_groups(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row per row group: file, row_group, rows, columns, bytes, compressed."""
     rows = []
-    for path in paths:
-        meta = _footer(spark, path)
+    for path, meta in footers(spark, paths):
         for g in range(meta.num_row_groups):
             group = meta.row_group(g)
             packed = sum(group.column(i).total_compressed_size for i in range(group.num_columns))
@@ -131,14 +130,22 @@ def row_groups(spark: SparkSession, paths: list[str]) -> DataFrame:
 def entries(spark: SparkSession, paths: list[str]) -> DataFrame:
     """File facts and key-value entries of footers: file, key, value."""
     rows = []
-    for path in paths:
-        meta = _footer(spark, path)
+    for path, meta in footers(spark, paths):
         facts = {"created_by": meta.created_by, "format_version": meta.format_version, "rows": str(meta.num_rows), "row_groups": str(meta.num_row_groups)}
         stored = {k.decode(): v.decode(errors="replace") for k, v in (meta.metadata or {}).items() if k != b"ARROW:schema"}
         rows += [(path, k, v) for k, v in {**facts, **stored}.items()]
     return spark.createDataFrame(rows, "file string, key string, value string")
 
 
+def footers(spark: SparkSession, paths: list[str], threads: int = 32) -> Iterator[tuple[str, pq.FileMetaData]]:
+    """Footers in the order of the paths. Some are read at once, for a store's latency, not the
+    driver's CPU, bounds this; a part of the list at a time, so that few are held."""
+    with ThreadPoolExecutor(threads) as pool:
+        for at in range(0, len(paths), 8 * threads):
+            part = paths[at : at + 8 * threads]
+            yield from zip(part, pool.map(lambda p: _footer(spark, p), part))
+
+
 def _footer(spark: SparkSession, path: str) -> pq.FileMetaData:
     """A footer through Hadoop's file system, so any store Spark reads will do: only the last
     bytes travel."""

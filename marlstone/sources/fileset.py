@@ -8,10 +8,12 @@ from dataclasses import dataclass
 from datetime import date
 from urllib.parse import unquote
 
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import SchemaError
+from ..plans.explain import footers
 
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
@@ -95,10 +97,12 @@ def open_fileset(spark: SparkSession, root: str, name: str | None = None, hive:
     files = listed(spark, root)
     if not files:
         raise SchemaError(f"there are no files in {root}")
-    first = _schema(spark, files[0])
-    for f in files[1:]:
-        if _schema(spark, f) != first:
+    told: pq.ParquetSchema | None = None
+    for f, meta in footers(spark, files):
+        if told is not None and not meta.schema.equals(told):
             raise SchemaError(f"the schemas of {files[0]} and {f} differ")
+        told = told or meta.schema
+    first = _schema(spark, files[0])
     keys: dict[str, list[str]] = {}
     if hive:
         for f in files:

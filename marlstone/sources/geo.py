@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import FormatError, SchemaError
 from ..functions.geometry import _boxes
-from ..plans.explain import _footer
+from ..plans.explain import _footer, footers
 from ..session import ship
 
 # fixed values of the format
@@ -151,7 +151,11 @@ def _reordered(df: DataFrame):
 
 def metadata(spark: SparkSession, path: str) -> dict | None:
     """The `geo` document of a file."""
-    entry = (_footer(spark, path).metadata or {}).get(b"geo")
+    return _document(_footer(spark, path))
+
+
+def _document(footer: pq.FileMetaData) -> dict | None:
+    entry = (footer.metadata or {}).get(b"geo")
     return json.loads(entry) if entry is not None else None
 
 
@@ -192,7 +196,7 @@ def _flat(box: list | None) -> list | None:
 
 def estimated_bounds(spark: SparkSession, paths: list[str]) -> list | None:
     """A box around all primary geometries from footers alone; None if a file does not tell."""
-    docs = {p: metadata(spark, p) for p in paths}
+    docs = {p: _document(m) for p, m in footers(spark, paths)}
     if not docs or any(d is None for d in docs.values()):
         return None
     doc = joined(docs)

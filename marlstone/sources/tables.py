@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from ..errors import FormatError, SchemaError
 from ..functions.compiling import compiled
 from ..functions.predicate import Predicate, normal
-from ..plans.explain import _footer, verdict
+from ..plans.explain import footers, verdict
 from ..session import ship
 from . import avro, deletion
 
@@ -336,11 +336,11 @@ class Table:
         if not defaults and not self.mapping:
             return [("ids", frozenset(), [e.path for e in data])]
         out: dict[tuple[str, Any], list[str]] = {}
-        for e in data:
-            fields = list(_footer(self.spark, e.path).schema.to_arrow_schema())
+        for path, meta in footers(self.spark, [e.path for e in data]):
+            fields = list(meta.schema.to_arrow_schema())
             ids = {int(f.metadata[b"PARQUET:field_id"]) for f in fields if f.metadata and b"PARQUET:field_id" in f.metadata}
             key = ("ids", frozenset(defaults - ids)) if ids or not self.mapping else ("names", frozenset(f.name for f in fields))
-            out.setdefault(key, []).append(e.path)
+            out.setdefault(key, []).append(path)
         return [(*k, v) for k, v in out.items()]
 
     def _rows(self, data: list[Entry], deletes: list[Entry], lineage: bool) -> DataFrame:

@@ -140,3 +140,17 @@ def test_table_partition_constants(spark, tmp_path):
         Table(spark, t.root, snapshot_id=1)
     with pytest.raises(FormatError):
         Table(spark, str(tmp_path))
+
+
+def test_fileset_schemas(spark, tmp_path):
+    from marlstone.errors import SchemaError
+    from marlstone.sources.fileset import open_fileset
+
+    for n in range(40):
+        (tmp_path / "a" / f"k={n:02}").mkdir(parents=True)
+        pq.write_table(pa.table({"x": [n]}), tmp_path / "a" / f"k={n:02}" / "f.parquet")
+    got = open_fileset(spark, str(tmp_path / "a"))
+    assert got.partitions == (("k", "string"),) and got.frame().where("k = '07'").first()["x"] == 7
+    pq.write_table(pa.table({"x": ["text"]}), tmp_path / "a" / "odd.parquet")
+    with pytest.raises(SchemaError, match="odd.parquet"):
+        open_fileset(spark, str(tmp_path / "a"))
