@@ -25,11 +25,11 @@ def fields(v: Column) -> Column:
 
 
 def field_names(v: Column) -> Column:
-    return F.array_sort(F.map_keys(fields(v)))
+    return F.sort_array(F.map_keys(fields(v)))
 
 
 def field_count(v: Column) -> Column:
-    return F.when(fields(v).isNotNull(), F.size(fields(v)))
+    return F.array_size(F.map_keys(fields(v)))
 
 
 def elements(v: Column) -> Column:
@@ -37,7 +37,7 @@ def elements(v: Column) -> Column:
 
 
 def element_count(v: Column) -> Column:
-    return F.when(elements(v).isNotNull(), F.size(elements(v)))
+    return F.array_size(elements(v))
 
 
 def element(v: Column, index: int) -> Column:

@@ -11,15 +11,24 @@ from ..functions.predicate import Box
 
 def decimated(df: DataFrame, geometry: str, box: Box, width: int, height: int, key: str) -> DataFrame:
     """Rows that touch the box, and of those within one pixel, by their box's centre, only the one
-    with the least `key`. Larger geometries all stay and are not shuffled; a full pixel is reduced
-    before the shuffle. Null and empty geometries go."""
-    names = df.columns
+    with the least `key`, which must tell rows apart. Larger geometries all stay and are not
+    shuffled. Null and empty geometries go.
+
+    Winners are found over keys and boxes alone, by hash aggregation that reduces a full pixel
+    before the shuffle; there are at most width x height of them, and whole rows are read once
+    more to meet them, so no row is sorted or shuffled for its other columns unless Spark finds
+    the winners too large to broadcast.
+    """
     px, py = (box.xmax - box.xmin) / width, (box.ymax - box.ymin) / height
     e = {s: F.col(f"_box.{s}") for s in ("xmin", "ymin", "xmax", "ymax")}
-    seen = df.withColumn("_box", envelope(geometry)).where((e["xmin"] <= box.xmax) & (e["xmax"] >= box.xmin) & (e["ymin"] <= box.ymax) & (e["ymax"] >= box.ymin))
+    inside = (e["xmin"] <= box.xmax) & (e["xmax"] >= box.xmin) & (e["ymin"] <= box.ymax) & (e["ymax"] >= box.ymin)
     small = (e["xmax"] - e["xmin"] < px) & (e["ymax"] - e["ymin"] < py)
     column = F.floor(((e["xmin"] + e["xmax"]) / 2 - box.xmin) / px)
     row = F.floor(((e["ymin"] + e["ymax"]) / 2 - box.ymin) / py)
-    first = F.min_by(F.struct(*[F.col(n) for n in names]), F.col(key)).alias("_row")
-    dots = seen.where(small).groupBy(column.alias("_x"), row.alias("_y")).agg(first).select("_row.*")
-    return seen.where(~small).select(*names).unionByName(dots)
+    # the tests stand in the aggregate, not in a filter, which would work out boxes a second time
+    fits = inside & small
+    boxed = df.select(F.col(key).alias("_key"), envelope(geometry).alias("_box"))
+    pixels = boxed.select(F.when(fits, F.col("_key")).alias("_key"), F.when(fits, column).alias("_x"), F.when(fits, row).alias("_y"))
+    winners = pixels.groupBy("_x", "_y").agg(F.min("_key").alias("_key")).select("_key")
+    large = df.withColumn("_box", envelope(geometry)).where(inside & ~small).select(*df.columns)
+    return large.unionByName(df.join(winners, F.col(key) == F.col("_key"), "left_semi"))
