@@ -2,10 +2,12 @@
 
 Candidate blocks are the lines of a text that hold a licensing cue, long lines cut at sentence ends
 into pieces around each cue. Each block is compressed alone and with every template as a raw
-zstandard dictionary; templates are ranked by the share of the block's size they save. The best
-ones are confirmed by exact wording: the template's words are aligned with the block's, every key
-word (name, version) must be there as it stands, and at most MAX_MISSING of the template's words
-may be missing. The differences in wording are returned with each hit.
+zstandard dictionary, and a template must save MIN_SAVED of the block's size. Every template is
+confirmed by exact wording: its words are laid on the block's in order, up to SPREAD words to each
+side of its rarest key word; every key word (name, version) must be met as it stands, and at most
+MAX_MISSING of the template's words may be missing. All notices of a block are hits, each from its
+first to its last word, with the differences in wording; one key word belongs to one hit, and
+words between two notices that both could use are in the span of the one with fewer differences.
 
 Defined cases: a null or empty text has no blocks; null doc_ids stay; repeated rows give repeated
 rows; of equally good templates the first listed wins; an empty table gives an empty result; other
@@ -14,9 +16,10 @@ columns are never read. Positions count code points.
 
 from __future__ import annotations
 
-import difflib
 import functools
+import math
 import re
+from collections import Counter
 
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +29,7 @@ from .common import documents, map_texts
 
 MAX_MISSING = 0.2
 MIN_SAVED = 0.2
-TRIED = 4
+SPREAD = 60
 MAX_LINE = 600
 
 # License notices in their usual wording, and the words that tell them apart.
@@ -47,13 +50,19 @@ TEMPLATES = (
 )
 CUES = ("licen", "redistribution", "permission is hereby", "public domain", "copyright", "source code form")
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+WANT = [WORD.findall(t.lower()) for _, t, _ in TEMPLATES]
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the candidate blocks, left to right, without overlaps."""
+def lowered(text: str) -> str:
     low = text.lower()
     if len(low) != len(text):  # some letters change length in lower case
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return low
+
+
+def blocks(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the candidate blocks, left to right, without overlaps."""
+    low = lowered(text)
     out: list[tuple[int, int]] = []
     at = sorted({m.start() for cue in CUES if cue in low for m in re.finditer(cue, low)})
     for p in at:
@@ -84,36 +93,87 @@ def saved(block: str) -> list[float]:
     return [(alone - len(c.compress(data))) / alone for c in held]
 
 
-def wording(template: str, block: str) -> tuple[float, list[str]]:
-    """Share of the template's words missing from the block, and the differences as -word, +word
-    between the first and the last word in common."""
-    want, have = WORD.findall(template.lower()), WORD.findall(block.lower())
-    ops = difflib.SequenceMatcher(None, want, have, autojunk=False).get_opcodes()
-    same = [i for i, op in enumerate(ops) if op[0] == "equal"]
-    missing = sum(i2 - i1 for op, i1, i2, _, _ in ops if op in ("delete", "replace"))
-    diff: list[str] = []
-    for k, (op, i1, i2, j1, j2) in enumerate(ops):
-        if op != "equal":
-            diff += [f"-{w}" for w in want[i1:i2]]
-            if same and same[0] < k < same[-1]:
-                diff += [f"+{w}" for w in have[j1:j2]]
-    return missing / len(want), diff
+def _outward(want: list[str], have: list[str]) -> tuple[int, list[tuple[int, int]]]:
+    """(missing, pairs): `want` laid in order on a start of `have`, as few words missing as can be,
+    and then as few passed over; pairs are the equal places."""
+    n = len(have)
+    skip = 1 / (n + 1)  # all words passed over cost less than one missing
+    row = [j * skip for j in range(n + 1)]
+    rows = [row]
+    for w in want:
+        new = [row[0] + 1]
+        for j, h in enumerate(have):
+            new.append(min(row[j + 1] + 1, new[j] + skip, row[j] if w == h else math.inf))
+        row = new
+        rows.append(row)
+    i, j = len(want), min(range(n + 1), key=row.__getitem__)
+    pairs = []
+    while i:
+        if j and want[i - 1] == have[j - 1] and rows[i][j] == rows[i - 1][j - 1]:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+        elif rows[i][j] == rows[i - 1][j] + 1:
+            i -= 1
+        else:
+            j -= 1
+    return len(want) - len(pairs), pairs[::-1]
+
+
+def wording(want: list[str], have: list[str], t: int, at: int) -> tuple[int, list[tuple[int, int]]]:
+    """(missing, pairs) of the template's words laid on the block's so that word `t` is on `at`."""
+    lost, left = _outward(want[:t][::-1], have[max(0, at - SPREAD) : at][::-1])
+    gone, right = _outward(want[t + 1 :], have[at + 1 : at + 1 + SPREAD])
+    return lost + gone, [(t - 1 - i, at - 1 - j) for i, j in left[::-1]] + [(t, at)] + [(t + 1 + i, at + 1 + j) for i, j in right]
+
+
+def differences(want: list[str], have: list[str], pairs: list[tuple[int, int]]) -> list[str]:
+    """-word for a template's word that is missing, +word for one put in between."""
+    out: list[str] = []
+    i, j = 0, pairs[0][1]
+    for x, y in [*pairs, (len(want), pairs[-1][1] + 1)]:
+        out += [f"-{w}" for w in want[i:x]] + [f"+{w}" for w in have[j:y]]
+        i, j = x + 1, y + 1
+    return out
 
 
 @functools.lru_cache(maxsize=20_000)
-def identify(block: str) -> tuple[str, float, tuple[str, ...]] | None:
-    """(license, share saved, wording differences) of a block, or None."""
-    shares = saved(block)
-    have = set(WORD.findall(block.lower()))
-    best = None
-    for rank in sorted(range(len(TEMPLATES)), key=lambda i: -shares[i])[:TRIED]:
-        name, template, keys = TEMPLATES[rank]
-        if shares[rank] < MIN_SAVED or not have.issuperset(keys):
+def confirmed(block: str) -> tuple[tuple[str, float, tuple[str, ...], int, int], ...]:
+    """(license, share saved, wording differences, start, end) of every notice of a block, left to
+    right. Every template whose keys are there is laid on each place of its rarest key. Two hits
+    that need the same key word are one notice: the one with fewer differences stays."""
+    low = lowered(block)
+    words = list(WORD.finditer(low))
+    have = [m[0] for m in words]
+    count = Counter(have)
+    found = []
+    for rank, (name, _, keys) in enumerate(TEMPLATES):
+        if not all(k in count for k in keys):
             continue
-        missing, diff = wording(template, block)
-        if missing <= MAX_MISSING and (best is None or missing < best[0]):
-            best = (missing, name, shares[rank], tuple(diff))
-    return best and best[1:]
+        want = WANT[rank]
+        key = min((k for k in keys if want.count(k) == 1), key=lambda k: count[k])
+        for at in [i for i, w in enumerate(have) if w == key]:
+            missing, pairs = wording(want, have, want.index(key), at)
+            named = {j for i, j in pairs if want[i] in keys}
+            if missing > MAX_MISSING * len(want) or len({have[j] for j in named}) < len(keys):
+                continue
+            put_in = pairs[-1][1] - pairs[0][1] + 1 - len(pairs)
+            found.append(((missing + put_in) / len(want), pairs[0][1], rank, named, pairs))
+    taken: set[int] = set()
+    covered: set[int] = set()
+    shares = saved(block) if found else []
+    out = []
+    for _, _, rank, named, pairs in sorted(found, key=lambda f: f[:3]):
+        if shares[rank] >= MIN_SAVED and not named & taken:
+            taken |= named
+            own = [j for _, j in pairs if j not in covered] or [j for _, j in pairs]
+            covered.update(range(own[0], own[-1] + 1))
+            out.append((TEMPLATES[rank][0], shares[rank], tuple(differences(WANT[rank], have, pairs)), words[own[0]].start(), words[own[-1]].end()))
+    return tuple(sorted(out, key=lambda h: h[3:]))
+
+
+def identify(block: str) -> tuple[str, float, tuple[str, ...]] | None:
+    """(license, share saved, wording differences) of the hit of a block with fewest differences."""
+    return min((h[:3] for h in confirmed(block)), key=lambda h: len(h[2]), default=None)
 
 
 HIT = "array<struct<license:string,start:int,end:int,saved:double,differences:array<string>>>"
@@ -127,9 +187,8 @@ def scan(docs: DataFrame) -> DataFrame:
         for t in texts:
             found, places = [], blocks(t)
             for s, e in places:
-                hit = identify(t[s:e])
-                if hit:
-                    found.append({"license": hit[0], "start": s, "end": e, "saved": round(hit[1], 4), "differences": list(hit[2])})
+                for name, share, differ, start, end in confirmed(t[s:e]):
+                    found.append({"license": name, "start": s + start, "end": s + end, "saved": round(share, 4), "differences": list(differ)})
             counts.append(len(places))
             hits.append(found)
         return {"doc_id": ids, "n_blocks": counts, "hits": hits}

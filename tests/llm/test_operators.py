@@ -274,6 +274,17 @@ def test_licenses(docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def names(text):
+    return [h[0] for s, e in licenses.blocks(text) for h in licenses.confirmed(text[s:e])]
+
+
+def test_two_licenses_in_a_line():
+    text = "Licensed under the Apache License, Version 2.0. Released under the MIT License."
+    assert [(h[0], text[h[3] : h[4]]) for h in licenses.confirmed(text)] == [("Apache-2.0", text[:46]), ("MIT", text[48:78])]
+    assert names("Licensed under the Apache License, Version 2.0 or the MIT License.") == ["Apache-2.0", "MIT"]
+    assert names("This work is licensed under the GNU General Public License, version 2. See section 3.") == ["GPL-2.0"]
+
+
 def test_levenshtein_walk():
     words = ["idiot", "clown", "worthless", "pathetic"]
     lex = toxicity.Lexicon(dict.fromkeys(words, 1.0), {})
