@@ -1,13 +1,14 @@
 """License scans by conditional compression.
 
 Candidate blocks are the lines of a text that hold a licensing cue, long lines cut at sentence ends
-into pieces around each cue. Each block is compressed alone and with every template as a raw
-zstandard dictionary, and a template must save MIN_SAVED of the block's size. Every template is
+into pieces around each cue. Every template is
 confirmed by exact wording: its words are laid on the block's in order, up to SPREAD words to each
 side of its rarest key word; every key word (name, version) must be met as it stands, and at most
 MAX_MISSING of the template's words may be missing. All notices of a block are hits, each from its
 first to its last word, with the differences in wording; one key word belongs to one hit, and
 words between two notices that both could use are in the span of the one with fewer differences.
+The wording alone decides. What a template saves as a raw zstandard dictionary is measured on the
+hit's own span, so that prose around a notice does not weigh, and is returned as `saved`.
 
 Defined cases: a null or empty text has no blocks; null doc_ids stay; repeated rows give repeated
 rows; of equally good templates the first listed wins; an empty table gives an empty result; other
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import documents, map_texts
 
 MAX_MISSING = 0.2
-MIN_SAVED = 0.2
 SPREAD = 60
 MAX_LINE = 600
 
@@ -85,12 +85,12 @@ def _compressors():
     return plain, held
 
 
-def saved(block: str) -> list[float]:
-    """Share of the block's compressed size that each template saves."""
+def saved(piece: str, rank: int) -> float:
+    """Share of a piece's compressed size that a template saves."""
     plain, held = _compressors()
-    data = block.encode("utf-8", "replace")
+    data = piece.encode("utf-8", "replace")
     alone = len(plain.compress(data))
-    return [(alone - len(c.compress(data))) / alone for c in held]
+    return (alone - len(held[rank].compress(data))) / alone
 
 
 def _outward(want: list[str], have: list[str]) -> tuple[int, list[tuple[int, int]]]:
@@ -160,14 +160,14 @@ def confirmed(block: str) -> tuple[tuple[str, float, tuple[str, ...], int, int],
             found.append(((missing + put_in) / len(want), pairs[0][1], rank, named, pairs))
     taken: set[int] = set()
     covered: set[int] = set()
-    shares = saved(block) if found else []
     out = []
     for _, _, rank, named, pairs in sorted(found, key=lambda f: f[:3]):
-        if shares[rank] >= MIN_SAVED and not named & taken:
+        if not named & taken:
             taken |= named
             own = [j for _, j in pairs if j not in covered] or [j for _, j in pairs]
             covered.update(range(own[0], own[-1] + 1))
-            out.append((TEMPLATES[rank][0], shares[rank], tuple(differences(WANT[rank], have, pairs)), words[own[0]].start(), words[own[-1]].end()))
+            start, end = words[own[0]].start(), words[own[-1]].end()
+            out.append((TEMPLATES[rank][0], saved(block[start:end], rank), tuple(differences(WANT[rank], have, pairs)), start, end))
     return tuple(sorted(out, key=lambda h: h[3:]))
 
 

@@ -285,6 +285,15 @@ def test_two_licenses_in_a_line():
     assert names("This work is licensed under the GNU General Public License, version 2. See section 3.") == ["GPL-2.0"]
 
 
+def test_licenses_inside_prose():
+    prose = "the stone by the river was wet and the old bridge over it had long been closed to carts and horses from the town above " * 3
+    for name, template, _ in licenses.TEMPLATES:
+        for n in (0, 120, 160, 240):
+            text = f"{prose[:n]} {template}"
+            assert names(text) == [name]
+            assert all(h[1] > 0.2 for s, e in licenses.blocks(text) for h in licenses.confirmed(text[s:e]))
+
+
 def test_levenshtein_walk():
     words = ["idiot", "clown", "worthless", "pathetic"]
     lex = toxicity.Lexicon(dict.fromkeys(words, 1.0), {})
