@@ -1,11 +1,11 @@
 """License scans by conditional compression.
 
-Candidate blocks are the lines of a text that hold a licensing cue, long lines cut at sentence ends
-into pieces around each cue. Every template is
-confirmed by exact wording: its words are laid on the block's in order, up to SPREAD words to each
-side of its rarest key word; every key word (name, version) must be met as it stands, and at most
-MAX_MISSING of the template's words may be missing. All notices of a block are hits, each from its
-first to its last word, with the differences in wording; one key word belongs to one hit, and
+Candidate blocks are the words around each licensing cue, whatever lines they stand on, 2 * SPREAD
+to each side; blocks that meet are one. Every template is confirmed by exact wording: its words are
+laid on the block's in order, up to SPREAD words to each side of its rarest key word; every key
+word (name, version) must be met as it stands, and at most MAX_MISSING of the template's words may
+be missing. All notices of a block are hits, each from its first to its last word, with the
+differences in wording; one key word belongs to one hit, and
 words between two notices that both could use are in the span of the one with fewer differences.
 The wording alone decides. What a template saves as a raw zstandard dictionary is measured on the
 hit's own span, so that prose around a notice does not weigh, and is returned as `saved`.
@@ -17,6 +17,7 @@ columns are never read. Positions count code points.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import re
@@ -30,7 +31,6 @@ from .common import documents, map_texts
 
 MAX_MISSING = 0.2
 SPREAD = 60
-MAX_LINE = 600
 
 # License notices in their usual wording, and the words that tell them apart.
 TEMPLATES = (
@@ -48,7 +48,8 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ("cc", "by-nc", "4.0")),
     ("CC0-1.0", "Released into the public domain under CC0 1.0.", ("cc0", "1.0")),
 )
-CUES = ("licen", "redistribution", "permission is hereby", "public domain", "copyright", "source code form")
+# the first word of each cue and the cue, whose words a line break or comment mark may part
+CUES = tuple((c.split()[0], re.compile(c.replace(" ", r"\W+"))) for c in ("licen", "redistribution", "permission is hereby", "public domain", "copyright", "source code form"))
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 WANT = [WORD.findall(t.lower()) for _, t, _ in TEMPLATES]
 
@@ -61,20 +62,24 @@ def lowered(text: str) -> str:
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the candidate blocks, left to right, without overlaps."""
+    """(start, end) of the candidate blocks, left to right, without overlaps: the words around
+    each cue, across lines, far enough for any notice that holds the cue."""
     low = lowered(text)
+    at = sorted({m.start() for first, cue in CUES if first in low for m in cue.finditer(low)})
+    if not at:
+        return []
+    words = [m.span() for m in WORD.finditer(low)]
+    ends = [e for _, e in words]
     out: list[tuple[int, int]] = []
-    at = sorted({m.start() for cue in CUES if cue in low for m in re.finditer(cue, low)})
+    last = -1
     for p in at:
-        if out and p < out[-1][1]:
-            continue
-        start, end = text.rfind("\n", 0, p) + 1, text.find("\n", p)
-        end = len(text) if end < 0 else end
-        if end - start > MAX_LINE:
-            stop = text.find(". ", p + 40, end)
-            begin = text.rfind(". ", start, p)
-            start, end = max(start, begin + 1, p - MAX_LINE // 2), min(end if stop < 0 else stop + 1, p + MAX_LINE // 2)
-        out.append((max(start, out[-1][1] if out else 0), end))
+        i = bisect.bisect_right(ends, p)
+        lo, hi = max(0, i - 2 * SPREAD), min(len(words) - 1, i + 2 * SPREAD)
+        if out and lo <= last:
+            out[-1] = (out[-1][0], ends[hi])
+        else:
+            out.append((words[lo][0], ends[hi]))
+        last = hi
     return out
 
 

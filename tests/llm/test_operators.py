@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -294,6 +295,16 @@ def test_licenses_inside_prose():
             assert all(h[1] > 0.2 for s, e in licenses.blocks(text) for h in licenses.confirmed(text[s:e]))
 
 
+def test_wrapped_licenses():
+    for name, template, _ in licenses.TEMPLATES:
+        for width in (17, 40, 60, 76):
+            for mark in ("", " * ", "# "):
+                text = "\n".join(mark + line for line in ["Some title", "", *textwrap.wrap(template, width), "", "int main()"])
+                assert names(text) == [name]
+    assert names("Licensed under CC BY 4.0.\n" * 3) == ["CC-BY-4.0"] * 3
+    assert names("a stone " * 400 + "Licensed under CC BY 4.0." + " a stone" * 400 + " Released under the MIT License.") == ["CC-BY-4.0", "MIT"]
+
+
 def test_levenshtein_walk():
     words = ["idiot", "clown", "worthless", "pathetic"]
     lex = toxicity.Lexicon(dict.fromkeys(words, 1.0), {})
