@@ -2,8 +2,8 @@
 
 Learning: a bounded sample of labelled rows (TRAIN_ROWS, the smallest by md5 of doc_id, near
 copies left out) gives document counts of terms and word stems per class; terms far likelier under label 1 form a trie.
-Matching: a word hits exactly, by stem, or within one edit, found by running the word's
-Levenshtein automaton along the trie. Context: within a window around each hit, quotation marks
+Matching: a word hits exactly, by stem, or within one edit of a learned word of SHORTEST letters or
+more or of a learned stem, found by running the word's Levenshtein automaton along the tries. Context: within a window around each hit, quotation marks
 and reporting words speak for quoting, address for abuse; hits count as abuse or as quotation.
 Score: logistic regression over the hit counts, its weights drawn to priors in which quoted hits
 weigh little. Labels, lang, source and doc_id are never inputs of a score.
@@ -36,6 +36,8 @@ MAX_LEXICON = 2_000
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W_]+")
 STEMS = range(4, 9)
+SHORTEST = 4
+CACHED = 100_000
 WINDOW = 80
 LEET = str.maketrans("013457", "oieast")
 QUOTES = "\"“”„«»"
@@ -62,66 +64,108 @@ class LevenshteinAutomaton:
 
 
 class Lexicon:
-    """Words and stems with weights; words also as a trie for approximate matching."""
+    """Words and stems with weights, each also as a trie for approximate matching. A stem stands for
+    every word that it, or anything within the edit bound of it, begins."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float], edits: int = 1):
         self.words, self.stems, self.edits = words, stems, edits
-        self.trie: dict = {}
-        for word in words:
-            node = self.trie
-            for c in word:
-                node = node.setdefault(c, {})
-            node[""] = word
-        # one edit leaves the front or the back half of a word as it is
-        fuzzy = [w for w in words if len(w) >= 5]
-        self.heads = {w[: len(w) // 2] for w in fuzzy}
-        self.tails = {w[len(w) // 2 :] for w in fuzzy}
-        self.head_sets = [(n, {x for x in self.heads if len(x) == n}) for n in sorted({len(x) for x in self.heads})]
-        self.tail_sets = [(-n, {x for x in self.tails if len(x) == n}) for n in sorted({len(x) for x in self.tails})]
-        self.openings = {s[:4] for s in stems}
-        self.cache: dict[str, tuple[str, float] | None] = {}
+        self.trie = _trie(w for w in words if len(w) >= SHORTEST)
+        self.stem_trie = _trie(stems)
+        # a term and a word within one edit are equal after at most one letter is taken from each
+        self.less = {v for w in words if len(w) >= SHORTEST for v in _shorter(w)}
+        self.stem_less = [(n, {v for s in stems if len(s) == n for v in _shorter(s)}) for n in sorted({len(s) for s in stems})]
+        # one edit leaves the front or the back half of a term as it is: per length of a word, the
+        # places in it to look at and the halves that may stand there
+        always: dict[tuple[int, int], set[str]] = {}
+        for s in stems:
+            h = len(s) // 2
+            always.setdefault((0, h), set()).add(s[:h])
+            for o in (h - 1, h, h + 1):
+                always.setdefault((o, o + len(s) - h), set()).add(s[h:])
+        self.always = [(a, b, have) for (a, b), have in always.items()]
+        halves: dict[int, dict[tuple[int, int], set[str]]] = {}
+        for w in words:
+            h = len(w) // 2
+            for n in (len(w) - 1, len(w), len(w) + 1) if len(w) >= SHORTEST else (len(w),):
+                at = halves.setdefault(n, {k: set(v) for k, v in always.items()})
+                at.setdefault((0, h), set()).add(w[:h])
+                at.setdefault((n - len(w) + h, n), set()).add(w[h:])
+        self.halves = {n: [(a, b, have) for (a, b), have in at.items()] for n, at in halves.items()}
+        self.cache: dict[str, tuple[str, float]] = {}
+        self.others: set[str] = set()
 
     def near(self, word: str) -> str | None:
         """The heaviest lexicon word within the edit bound: automaton and trie walked together."""
+        return self._walk(self.trie, self.words, word, lambda state: state[-1])
+
+    def near_stem(self, word: str) -> str | None:
+        """The heaviest stem within the edit bound of a prefix of the word."""
+        return self._walk(self.stem_trie, self.stems, word[: STEMS.stop + self.edits], min)
+
+    def _walk(self, trie: dict, weights: dict[str, float], word: str, distance) -> str | None:
         auto = LevenshteinAutomaton(word, self.edits)
-        stack, best = [(self.trie, auto.start())], None
+        stack, best = [(trie, auto.start())], None
         while stack:
             node, state = stack.pop()
-            if "" in node and state[-1] <= self.edits and len(node[""]) >= 5:
-                if best is None or (self.words[node[""]], node[""]) > (self.words[best], best):
+            if "" in node and distance(state) <= self.edits:
+                if best is None or (weights[node[""]], node[""]) > (weights[best], best):
                     best = node[""]
             for c, child in node.items():
                 if c and (moved := auto.step(state, c)):
                     stack.append((child, moved))
         return best
 
-    def possible(self, words: set[str]) -> list[str]:
-        """Those of `words` that could match; the others are told apart by a few look-ups."""
-        out = [w for w in words if w[:4] in self.openings or w in self.words]
-        for n, have in self.head_sets:
-            out += [w for w in words if w[:n] in have]
-        for n, have in self.tail_sets:
-            out += [w for w in words if w[n:] in have]
-        return out
+    def _possible(self, word: str) -> bool:
+        for a, b, have in self.halves.get(len(word), self.always):
+            if word[a:b] in have:
+                return True
+        return False
 
-    def match(self, word: str) -> tuple[str, float] | None:
-        """(exact | stem | near, weight) of a lower-case word."""
+    def _find(self, word: str) -> tuple[str, float] | None:
+        for n in STEMS:
+            if word[:n] in self.stems:
+                return "stem", self.stems[word[:n]]
         if word in self.words:
             return "exact", self.words[word]
-        if word[:4] in self.openings:
-            for n in STEMS:
-                if word[:n] in self.stems:
-                    return "stem", self.stems[word[:n]]
-        if not self.words or len(word) < 4:
-            return None
-        if not (any(word[:n] in have for n, have in self.head_sets) or any(word[n:] in have for n, have in self.tail_sets)):
+        if not self.less.isdisjoint(_shorter(word)) and (found := self.near(word)):
+            return "near" if len(found) > SHORTEST else "loose", self.words[found]
+        for n, less in self.stem_less:
+            # the prefix that is within one edit of a stem of n letters has n - 1 to n + 1
+            if not less.isdisjoint(v for k in (n - 1, n, n + 1) if k <= len(word) for v in _shorter(word[:k])) and (found := self.near_stem(word)):
+                return "loose", self.stems[found]
+        return None
+
+    def match(self, word: str) -> tuple[str, float] | None:
+        """(stem | exact | near | loose, weight) of a lower-case word; loose hits are one edit from a
+        stem or from a word of SHORTEST letters, where many ordinary words are."""
+        if word in self.others:
             return None
-        if word not in self.cache:
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            found = self.near(word)
-            self.cache[word] = ("near", self.words[found]) if found else None
-        return self.cache[word]
+        if word in self.cache:
+            return self.cache[word]
+        if len(self.cache) + len(self.others) > CACHED:
+            self.cache.clear()
+            self.others.clear()
+        found = self._find(word) if self._possible(word) else None
+        if found:
+            self.cache[word] = found
+        else:
+            self.others.add(word)
+        return found
+
+
+def _trie(terms) -> dict:
+    root: dict = {}
+    for term in terms:
+        node = root
+        for c in term:
+            node = node.setdefault(c, {})
+        node[""] = term
+    return root
+
+
+def _shorter(word: str) -> list[str]:
+    """The word, and the word without each of its letters."""
+    return [word, *[word[:i] + word[i + 1 :] for i in range(len(word))]]
 
 
 def hits(lexicon: Lexicon, text: str) -> tuple[list[tuple[int, int, str, float, bool]], int]:
@@ -129,18 +173,21 @@ def hits(lexicon: Lexicon, text: str) -> tuple[list[tuple[int, int, str, float,
     low = text.lower()
     words = WORD.findall(low)
     found, distinct = {}, set(words)
-    for w in lexicon.possible(distinct):
+    for w in distinct - lexicon.others:
         if m := lexicon.match(w):
             found[w] = m
     for w in [w for w in distinct if not w.isalpha()]:
         if w not in found and (m := lexicon.match(w.translate(LEET))):
             found[w] = m
     out = []
-    if found:
-        for m in WORD.finditer(low):
-            if m[0] in found:
-                how, weight = found[m[0]]
-                out.append((m.start(), m.end(), how, weight, _quoted(low, m.start(), m.end())))
+    for w, (how, weight) in found.items():
+        start = low.find(w)
+        while start >= 0:
+            end = start + len(w)
+            if not low[max(0, start - 1) : start].isalnum() and not low[end : end + 1].isalnum():
+                out.append((start, end, how, weight, _quoted(low, start, end)))
+            start = low.find(w, start + 1)
+    out.sort()
     return out, len(words)
 
 
@@ -152,20 +199,23 @@ def _quoted(low: str, start: int, end: int) -> bool:
     return score >= 2
 
 
-FEATURES = ("abuse_exact", "abuse_near", "abuse_stem", "quoted", "weight", "density", "any")
+FEATURES = ("abuse_exact", "abuse_near", "abuse_stem", "abuse_loose", "quoted", "weight", "density", "any")
 #: weights the fit is drawn to, in the order of FEATURES
-PRIOR = np.array([1.0, 0.5, 0.5, 0.1, 0.2, 0.2, 0.5])
+PRIOR = np.array([1.0, 0.5, 0.5, 0.25, 0.1, 0.2, 0.2, 0.5])
 
 
 def features(lexicon: Lexicon, text: str) -> list[float]:
     found, n = hits(lexicon, text)
     count = Counter((how, quoted) for _, _, how, _, quoted in found)
-    abuse = [h for h in found if not h[4]]
+    # loose hits speak by their own count alone
+    close = [h for h in found if h[2] != "loose"]
+    abuse = [h for h in close if not h[4]]
     return [
         math.log1p(count["exact", False]),
         math.log1p(count["near", False]),
         math.log1p(count["stem", False]),
-        math.log1p(len(found) - len(abuse)),
+        math.log1p(count["loose", False]),
+        math.log1p(len(close) - len(abuse)),
         max((h[3] for h in abuse), default=0.0),
         math.sqrt(min(1.0, len(abuse) / max(n, 1))),
         float(bool(abuse)),
@@ -288,7 +338,6 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     # a stem that one strong word makes up alone adds nothing to it; other stems stand for theirs
     alone = {s for s in stems for x in whole if x.startswith(s) and sum(y.startswith(s) for y in whole) == 1}
     stems = {s: w for s, w in stems.items() if s not in alone}
-    whole = {x: w for x, w in whole.items() if not any(x[:n] in stems for n in STEMS)}
     lexicon = Lexicon(whole, stems)
 
     def measure(batches):
@@ -299,6 +348,13 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     got = sample.select("text", "toxic").mapInArrow(measure, "toxic int, x array<double>").collect()
     x, y = np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float)
     weights, bias = fit_logistic(x, y, PRIOR)
+    # approximate hits never speak against abuse
+    close, against = np.isin(FEATURES, ("abuse_near", "abuse_loose")), np.zeros(len(weights), bool)
+    while (more := (weights < 0) & ~against & close).any():
+        against |= more
+        x[:, against] = 0
+        weights, bias = fit_logistic(x, y, PRIOR)
+    weights[against] = 0
     return Model(lexicon, weights, bias, rate)
 
 

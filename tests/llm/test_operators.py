@@ -330,6 +330,41 @@ def test_levenshtein_walk():
         assert (lex.match(w) is not None) == (near <= 1), w
 
 
+def test_misspelled_stems_and_short_words():
+    """Against every prefix and every word tried one by one."""
+    words, stems = ["scum", "idiot", "moronic"], ["moro", "pathet"]
+    lex = toxicity.Lexicon(dict.fromkeys(words, 1.0), dict.fromkeys(stems, 1.0))
+
+    def near(a, b):
+        cut = lambda x: {x[:i] + x[i + 1 :] for i in range(len(x))}
+        same = len(a) == len(b) and sum(x != y for x, y in zip(a, b)) <= 1
+        return same or b in cut(a) or a in cut(b)
+
+    for w, how in (("scam", "loose"), ("scumm", "loose"), ("scu", "loose"), ("morons", "stem"), ("mornos", "loose"), ("moonish", "loose"), ("pahetically", "loose"), ("pathxtic", "loose"), ("xpathetic", "loose"), ("morronic", "near"), ("sun", None), ("river", None)):
+        assert (lex.match(w) or (None,))[0] == how, w
+    rnd = random.Random(4)
+    for _ in range(3000):
+        w = rnd.choice(words + stems) + "".join(rnd.choice("abcn") for _ in range(rnd.randrange(4)))
+        for _ in range(rnd.randrange(4)):
+            i = rnd.randrange(len(w) + 1)
+            w = w[:i] + rnd.choice(("", *"morscut")) + w[i + rnd.randrange(2) :]
+        want = any(near(w, x) for x in words) or any(near(w[:k], s) for s in stems for k in range(len(w) + 1))
+        assert (lex.match(w) is not None) == want, w
+    low = "scum, scums scam_scum obscum"
+    assert [(s, e) for s, e, *_ in toxicity.hits(lex, low)[0]] == [m.span() for m in toxicity.WORD.finditer(low) if lex.match(m[0])]
+
+
+def test_learned_words_of_stems_stay(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("bdfgklmnpr") + rnd.choice("aeiou") for _ in range(4))
+    texts = [(i, " ".join(word() for _ in range(30)) + f" {rnd.choice(('vexatious', 'vexation', 'vexations'))}" * (i % 3 == 0)) for i in range(900)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    lex = toxicity.train(df, labels).lexicon
+    assert {"vexatious", "vexation", "vexations"} <= set(lex.words) and lex.stems
+    assert lex.match("vxatious")[0] == "near"
+
+
 def test_toxicity(spark, docs, none):
     labels = spark.createDataFrame([(r[0], 1, int("idiot" in (r[1] or ""))) for r in TEXTS if r[0]] + [(None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
     got = toxicity.judge(docs, labels).collect()
