@@ -1,15 +1,17 @@
 """Personal data: fixed formats, and terms that disclose them, in DataFrame operations only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Information-
-theoretic sanitisation then asks how much a term near a protected entity tells about it. Over the
-whole corpus, n(e) counts documents with entity e, n(t) documents with term t, and n(t, e) distinct
-contexts of e (the words within REACH code points) with t. A term discloses e where
+theoretic sanitisation then asks how much a term in a document with a protected entity tells about
+it. Over the whole corpus, n(e) counts documents with entity e, n(t) documents with term t, and
+n(t, e) documents with both, those with one context of e (the words within REACH code points of it)
+counted once, so that copies are no evidence. A term is a word of four letters or more and
+discloses e where
 
     log(n(t, e) N / (n(t) n(e))) >= log(N / n(e)) / ALPHA
 
-and both n(e) and n(t, e) are at least SUPPORT. Contexts that repeat word for word count once, so
-copies of one text are no evidence. Disclosing terms are added with kind `term`, and generalised
-to [TERM] in the sanitised text.
+and both n(e) and n(t, e) are at least SUPPORT: below that nothing is known of an entity. Disclosing
+terms are added with kind `term` wherever they stand, in documents without the entity too, and
+generalised to [TERM] in the sanitised text.
 
 Positions come from pieces: `split` gives the text between matches, `regexp_extract_all` the
 matches, and running lengths their places, in code points. The patterns are written so that they
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_input, documents, written
+from .common import doc_input, documents, join_groups, written
 
 KINDS = ("email", "ip", "card", "phone")
 ALPHA = 1.25
@@ -42,9 +44,9 @@ PATTERN = {
 WORD = r"[\p{L}]{4,}+"
 
 
-def places(text: Column, pattern: str) -> Column:
+def places(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, value>> of the matches, left to right."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
     pairs = F.zip_with(hits, F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(1))), lambda h, g: F.struct(h.alias("value"), F.length(g).alias("gap")))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
@@ -119,26 +121,34 @@ def scan(docs: DataFrame) -> DataFrame:
     texts = doc_input(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = texts.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
     near = F.when(F.size("base") > 0, context(F.col("text"), F.col("base")))
-    return found.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "base", near.alias("context"))
+    # words of the whole text; of the base spans only e-mail addresses hold letters
+    terms = F.when(F.size("base") > 0, _terms(F.regexp_replace("text", PATTERN["email"], " ")))
+    return found.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "base", near.alias("context"), terms.alias("terms"))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """(entity, term) pairs above the disclosure threshold. All counts cover all documents."""
-    seen = found.where("size(base) > 0").select("row", F.explode("context").alias("c")).select("row", "c.entity", "c.near")
-    entities = seen.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
-    words = seen.select("entity", F.array_sort(F.array_distinct(F.transform("near", lambda w: w.term))).alias("terms")).distinct()
-    pairs = words.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
     total = docs.count()
+    # a context is told by its words, so that windows that repeat word for word are one
+    near = lambda c: F.xxhash64(F.array_sort(F.array_distinct(F.transform(c.near, lambda w: w.term))))
+    seen = found.where("size(base) > 0").select("row", "terms", F.explode(F.array_distinct(F.transform("context", lambda c: F.struct(c.entity.alias("entity"), near(c).alias("ctx"))))).alias("c"))
+    seen = seen.select("row", "terms", "c.entity", "c.ctx")
+    entities = seen.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
+    seen = written(join_groups(seen, written(entities, "entities"), "entity", "n_e", total).where("n_e is not null"), "seen")
+    pairs = seen.select("entity", "n_e", "ctx", F.explode("terms").alias("term")).distinct().groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
     own = F.log(F.lit(float(total)) / F.col("n_e"))
-    # documents with a term near any entity are a lower bound of documents with it: pairs that
-    # miss the threshold even so are settled before the corpus is counted
-    around = seen.select("row", F.explode(F.array_distinct(F.transform("near", lambda w: w.term))).alias("term")).distinct()
-    around = around.groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    pairs = pairs.join(entities, "entity").join(around, "term")
+    # documents with a term and any such entity are a lower bound of documents with the term: pairs
+    # that miss the threshold even so are settled before the corpus is counted
+    around = seen.select("row", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    pairs = pairs.join(around, "term")
     most = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_near") * F.col("n_e")))
     pairs = written(pairs.where(most >= own / alpha - 1e-9), "pairs")
     terms = pairs.select("term").distinct()
-    every = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(WORD), F.lit(0)))).alias("term"))
+    every = docs.select(F.explode(_terms(F.coalesce(F.col("text"), F.lit("")))).alias("term"))
     if terms.count() <= MAX_BROADCAST_TERMS:
         every = every.join(F.broadcast(terms), "term", "left_semi")
         counts = every.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
@@ -148,13 +158,25 @@ def disclosing(docs: DataFrame, found: DataFrame, alpha: float = ALPHA, support:
     return pairs.join(counts, "term").where((told >= own / alpha) & (told > 0)).select("entity", "term")
 
 
+def marked(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
+    """row, added: every place of a term outside base spans, in whatever document."""
+    texts = doc_input(docs).select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    words = texts.select("row", F.explode(_terms(F.col("text"))).alias("term"))
+    held = words.join(F.broadcast(terms) if terms.count() <= MAX_BROADCAST_TERMS else terms, "term", "left_semi")
+    held = written(held.groupBy("row").agg(F.collect_set("term").alias("held")), "held")
+    # terms are runs of letters, so they stand for themselves in a pattern
+    rows = texts.dropDuplicates(["row"]).join(held, "row").join(found.select("row", "base").dropDuplicates(["row"]), "row")
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("held", "|"), F.lit(r")(?!\p{L})"))
+    free = F.filter(places(F.col("text"), pattern), lambda w: ~F.exists("base", lambda b: (w.start < b.end) & (b.start < w.end)))
+    return rows.select("row", F.transform(free, lambda w: F.struct(F.lit(len(KINDS)).alias("rank"), w.start.alias("start"), w.end.alias("end"), F.lit("term").alias("kind"))).alias("added"))
+
+
 def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """doc_id, row, spans: array<struct<rank, start, end, kind>> by kind as listed, then start;
     added spans have kind `term`, the last."""
     found = written(scan(docs), "pii")
     pairs = written(disclosing(docs, found, alpha, support), "disclosing")
-    near = found.where("size(base) > 0").select("row", F.explode("context").alias("c")).select("row", "c.entity", F.explode("c.near").alias("w")).select("row", "entity", "w.start", "w.end", "w.term")
-    added = near.join(pairs, ["entity", "term"]).groupBy("row").agg(F.collect_set(F.struct(F.lit(len(KINDS)).alias("rank"), "start", "end", F.lit("term").alias("kind"))).alias("added"))
+    added = marked(docs, found, pairs.select("term").distinct())
     base = F.transform("base", lambda s: F.struct(s["rank"].alias("rank"), s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))
     none = F.array().cast("array<struct<rank:int,start:int,end:int,kind:string>>")
     return found.select("doc_id", "row", base.alias("base")).join(added, "row", "left").select("doc_id", "row", "base", F.concat("base", F.coalesce(F.array_sort("added"), none)).alias("spans"))

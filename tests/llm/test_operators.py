@@ -275,6 +275,16 @@ def test_licenses(docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_terms_far_from_the_entity(spark):
+    rnd = random.Random(6)
+    filler = lambda n: " ".join(rnd.choice(("alpha", "beta", "gamma", "delta", "epsilon", "zeta")) + str(rnd.randrange(99)) for _ in range(n))
+    texts = [f"Zorblax {filler(40)} {i} reach me{i} at z@x.example.com" for i in range(5)] + [f"{filler(30)} zorblax's house"] + [filler(20) for _ in range(300)]
+    texts = [t.replace(f"me{i}", "me " + "abcde"[i] * 5) if i < 5 else t for i, t in enumerate(texts)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "term"] for r in pii.find(df).collect()}
+    assert all("Zorblax" in found[i] for i in range(5)) and found[5] == ["zorblax"] and not any(found[i] for i in range(6, 306))
+
+
 def names(text):
     return [h[0] for s, e in licenses.blocks(text) for h in licenses.confirmed(text[s:e])]
 
