@@ -239,6 +239,21 @@ def test_learned_formats(spark):
     assert len(model.stop) < 60 and model.score(key()) > model.score("zz" + key()) == -np.inf
 
 
+def test_hidden_and_glued_credentials(spark):
+    rnd = random.Random(8)
+    key = lambda n: "".join(rnd.choice("ghkmpqrstvwxyz") + rnd.choice("0123456789") for _ in range(n // 2))
+    texts = [f"word {i} token = {key(rnd.choice((8, 10, 12, 20)))} end" for i in range(200)]
+    hidden = [key(8), key(12), key(20)]
+    for h in hidden:
+        texts += [f"left {h} right", f"auth={h}", f"see /v1/{h}", f"it is {h}."]
+    texts += ["clean words standing here in 2024", "path/to/something/else.html"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    added = {r.doc_id: [s.value for s in r.added] for r in secrets.find(df).collect() if r.added}
+    assert added == {200 + 4 * i + j: [h] for i, h in enumerate(hidden) for j in range(4)}
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean[201] == "auth=[FORMAT]" and clean[203] == "it is [FORMAT]."
+
+
 def test_pii(docs, none):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
