@@ -20,9 +20,12 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is chosen only where the session names none."""
+    """The folder all executors share. A machine-local one is chosen only in local mode, where the
+    session names none; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -80,6 +83,29 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows:
     return rows.join(hot, key, "inner").unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, "left"))
 
 
+def join_wide(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, by: str) -> DataFrame:
+    """`join_groups` for groups with large columns: hot groups are not broadcast but repeated, once
+    for each part of `hot_limit` rows, and rows are dealt to the parts by the hash of `by`."""
+    limit = hot_limit(n_rows)
+    parts = F.ceil(F.col(size) / limit).cast("int")
+    hot = F.broadcast(groups.where(F.col(size) > limit).select(key, parts.alias("_parts")))
+    dealt = rows.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    wide = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return dealt.join(wide, [key, "_part"], "left").drop("_part")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that `df` does not have, however it spells its own."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph as (node, root): root is the smallest node
     reachable. Nodes without an edge are absent.

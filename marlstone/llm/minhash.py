@@ -14,15 +14,17 @@ differences, in blocks; a block emits only links that join two components. So ev
 bucket is decided, no pair list is made, and no task holds an unbounded group.
 
 Defined cases: null or empty text, or text without words, has no shingles, links with nothing and
-is kept; fewer words than a shingle make one shingle; equal texts are linked; of repeated rows
-with one doc_id all get the same values; a null doc_id is never anyone's component, and its row
-shows the component of its text's class; an empty table gives an empty result; other columns are
-never read.
+is kept; fewer words than a shingle make one shingle; equal texts are linked; repeated rows get the
+same values; where a doc_id has several texts, each row follows its own text; a null doc_id is
+never anyone's component, and its row shows the component of its text's class; an empty table
+gives an empty result; other columns are never read, whatever their names.
+
+Words and shingles are known by 64-bit hashes in which each eight bytes pass a finaliser. Two of n
+shingles of a document share one with probability n^2 / 2^65: 1e-11 at 20,000 words.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import numpy as np
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, doc_input, documents, join_groups, texts_of, written
+from .common import components, doc_input, documents, fresh, join_groups, join_wide, texts_of, written
 from .fuse import mix
 
 BANDS, ROWS = 30, 5
@@ -40,15 +42,28 @@ BLOCK = 2_000
 MAX_BROADCAST_IDS = 2_000_000
 U = np.uint64
 ODD = 0x9E3779B97F4A7C15
-TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
-@functools.lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+LONG_WORD = 256
+
+
+def lanes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each byte string, eight bytes a step, every step through the finaliser, so
+    that no algebra of the bytes makes two strings meet."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
     with np.errstate(over="ignore"):
-        up, down = np.full(size, U(ODD)), np.full(size, U(pow(ODD, -1, 1 << 64)))
-        up[0] = down[0] = 1
-        return np.cumprod(up), np.cumprod(down)
+        h = mix(size.astype(U), seed)
+        live, at = np.arange(len(begin)), 0
+        while len(live):
+            left = size[live] - at
+            lane = eight[begin[live] + at]
+            short = left < 8
+            lane[short] &= (U(1) << (left[short].astype(U) * U(8))) - U(1)
+            h[live] = mix(h[live] * U(ODD) + lane, seed + at + 1)
+            at += 8
+            live = live[left > 8]
+    return h
 
 
 def _words(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,11 +72,12 @@ def _words(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sep = (a == 32) | ((a >= 9) & (a <= 13))
     low = a + np.where((a >= 65) & (a <= 90), np.uint8(32), np.uint8(0))
     edge = np.flatnonzero(np.diff(sep.astype(np.int8), prepend=1, append=1))
-    begin, end = edge[0::2], edge[1::2]
-    up, down = _powers(1 << max(20, int(len(a)).bit_length()))
-    with np.errstate(over="ignore"):
-        run = np.concatenate([np.zeros(1, U), np.cumsum(TABLE[low] * up[: len(a)])])
-        h = mix((run[end] - run[begin]) * down[begin], 1)
+    begin, size = edge[0::2], edge[1::2] - edge[0::2]
+    h = np.zeros(len(begin), U)
+    short = size <= LONG_WORD
+    h[short] = lanes(low, begin[short], size[short], 1)
+    for i in np.flatnonzero(~short):
+        h[i] = int.from_bytes(hashlib.blake2b(low[begin[i] : begin[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
     return h, np.searchsorted(starts, begin, side="right") - 1
 
 
@@ -80,8 +96,8 @@ def shingle_sets(texts: list[str], k: int):
         bounds = np.concatenate([[0], np.cumsum(counts)])
         with np.errstate(over="ignore"):
             grams = np.zeros(max(0, len(h) - k + 1), U)
-            for i in range(k):
-                grams = mix(grams * U(3) + h[i : len(h) - k + 1 + i], i + 2)
+            for i in range(k if len(grams) else 0):
+                grams = mix(grams * U(ODD) + h[i : len(grams) + i], i + 2)
             sets = []
             for n, s in zip(counts, bounds):
                 if n >= k:
@@ -89,7 +105,7 @@ def shingle_sets(texts: list[str], k: int):
                 elif n:
                     short = np.zeros(1, U)
                     for x in h[s : s + n]:
-                        short = mix(short * U(3) + x, 77)
+                        short = mix(short * U(ODD) + x, 77)
                     sets.append(mix(short, 1000 + int(n)))
                 else:
                     sets.append(np.zeros(0, U))
@@ -142,7 +158,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (null without shingles), keys."""
+    """doc_id, text_id, n_shingles, set_id (null without shingles), keys."""
 
     def run(batches):
         for b in batches:
@@ -151,24 +167,34 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 keys = band_keys(signatures(sets))
                 full = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(full, pa.binary()), lists], ["doc_id", "n_shingles", "set_id", "keys"])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), b.column("text_id").slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(full, pa.binary()), lists], ["doc_id", "text_id", "n_shingles", "set_id", "keys"])
 
-    return doc_input(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, keys array<long>")
+    texts = doc_input(docs).withColumn("text_id", F.xxhash64("text"))
+    return texts.mapInArrow(run, "doc_id long, text_id long, n_shingles long, set_id binary, keys array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, set) for the given documents: their texts are read again, all others are passed by."""
+    """(set_id, set) of all texts of the given documents: they are read again, others passed by."""
     few = ids.count() <= MAX_BROADCAST_IDS
-    wanted = F.broadcast(ids) if few else ids
-    texts = doc_input(docs).join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    texts = doc_input(docs).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
     def run(batches):
         for b in batches:
-            texts, at = texts_of(b), b.column("doc_id")
-            for first, sets in shingle_sets(texts, k):
-                yield pa.RecordBatch.from_arrays([at.slice(first, len(sets)), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set_id", "set"])
+            for _, sets in shingle_sets(texts_of(b), k):
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "set"])
+
+    return texts.mapInArrow(run, "set_id binary, set binary")
+
 
-    return texts.mapInArrow(run, "id long, set_id binary, set binary")
+def named(classes: DataFrame) -> tuple[DataFrame, bool]:
+    """Classes with a name `id` each: the smallest doc_id, kept as `doc`, or a number beyond all
+    doc_ids where several classes share one, as they do if a doc_id has several texts."""
+    shared = written(classes.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("set_id").alias("own")).where("n > 1"), "shared")
+    if shared.isEmpty():
+        return classes.withColumn("doc", F.col("id")), False
+    other = F.lit(1 << 62) + F.xxhash64("set_id").bitwiseAND(F.lit((1 << 61) - 1))
+    out = classes.join(shared.select("id", "own"), "id", "left").withColumn("doc", F.col("id"))
+    return written(out.withColumn("id", F.when(F.col("own") != F.col("set_id"), other).otherwise(F.col("id"))).drop("own"), "classes"), True
 
 
 def _linked(inter, n1, n2, percent: int):
@@ -243,35 +269,42 @@ def _blocks(percent: int):
     return run
 
 
-def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per input row."""
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, with_text: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per input row; on request also text_id, the
+    row's hash of its text."""
     rows = written(sketch(docs, k), "sketches")
     n_rows = rows.count()
     # classes of equal sets: one representative each, whatever the number of copies
     classes = rows.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
-    classes = written(classes, "classes")
+    classes, several = named(written(classes, "classes"))
     keyed = classes.select("id", F.explode("keys").alias("key"))
     buckets = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("pivot"), F.max("id").alias("other")).where("members > 1"), "buckets")
     two = buckets.where("members = 2").select("pivot", F.col("other").alias("id"))
     many = join_groups(keyed, buckets.where("members > 2").select("key", "members", "pivot"), "key", "members", n_rows * BANDS)
     pairs = written(two.unionByName(many.where("pivot < id").select("pivot", "id")).distinct(), "pairs")
 
-    wanted = pairs.select(F.explode(F.array("pivot", "id")).alias("id")).distinct()
-    sets = full_sets(docs, wanted, k).join(classes.select("id", F.col("set_id").alias("own")), "id").where("set_id = own")
+    wanted = classes.select("id", "set_id", "doc").join(pairs.select(F.explode(F.array("pivot", "id")).alias("id")).distinct(), "id", "left_semi")
+    wanted = written(wanted, "wanted")
+    sets = full_sets(docs, wanted.select(F.col("doc").alias("doc_id")).distinct(), k).join(wanted.select("id", "set_id"), "set_id")
     sets = written(sets.dropDuplicates(["id"]).select("id", "set"), "sets")
     groups = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("members")).join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("pset")), "pivot")
-    compared = join_groups(pairs.join(sets, "id"), groups, "pivot", "members", max(n_rows, 1))
+    compared = join_wide(pairs.join(sets, "id"), groups, "pivot", "members", max(n_rows, 1), "id")
     compared = written(compared.select("pivot", "id", "pset", "set").mapInArrow(_compare(percent), "pivot long, id long, linked boolean, n long, width long, mask binary, extra binary"), "compared")
 
     links = compared.where("linked").select(F.col("pivot").alias("u"), F.col("id").alias("v"))
     roots = components(links)
     links = links.unionByName(_rest(compared, roots, percent))
     roots = components(links)
-    found = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("set_id", "copies", F.coalesce("root", "id").alias("component"), "id")
+    found = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("set_id", "copies", "id", "doc", F.coalesce("root", "id").alias("root"))
+    if several:
+        found = found.join(found.groupBy("root").agg(F.min("doc").alias("component")), "root")
+    else:
+        found = found.withColumn("component", F.col("root"))
     found = written(found.where("copies > 1 or component <> id").select("set_id", "copies", "component"), "found")
-    out = join_groups(rows.select("doc_id", "n_shingles", "set_id").where("set_id is not null"), found, "set_id", "copies", n_rows)
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    out = out.unionByName(rows.where("set_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = join_groups(rows.drop("keys").where("set_id is not null"), found, "set_id", "copies", n_rows)
+    out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
+    made = ["doc_id", "n_shingles", "component_id", *(["text_id"] if with_text else [])]
+    out = out.select(*made).unionByName(rows.where("set_id is null").withColumn("component_id", F.col("doc_id")).select(*made))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -293,9 +326,13 @@ def _rest(compared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that stay, columns as they came: of each group the document with the
-    smallest doc_id. Rows with a null doc_id belong to no group and stay."""
-    gone = near_groups(docs, k, percent).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    smallest doc_id. Rows with a null doc_id belong to no group and stay; where a doc_id has several
+    texts, only its rows with a text that goes go."""
+    gone = near_groups(docs, k, percent, with_text=True).where("doc_id is not null and not kept").select("doc_id", "text_id").distinct()
+    one, two = fresh(docs, "gone_doc", "gone_text")
+    gone = written(gone.toDF(one, two), "gone")
+    same = (F.col("doc_id").cast("long") == F.col(one)) & (F.xxhash64(F.col("text").cast("string")) == F.col(two))
+    return docs.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone, same, "left_anti").select(*docs.columns)
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
