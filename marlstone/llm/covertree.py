@@ -1,25 +1,31 @@
 """Embedding near-duplicates: exact threshold pairs by cover trees and dual traversal.
 
 On unit vectors cosine >= t is distance <= sqrt(2 - 2 t). A cover tree halves its radius from level
-to level: every node's points lie within its covering radius. Two nodes further apart than the
-threshold plus both radii hold no pair; two nodes whose farthest points are within the threshold
-hold only pairs; others are opened, and leaves are compared directly in double precision.
-
-The tree's upper levels come from a bounded sample (SAMPLE vectors, the smallest by hash): its
-centres make cells. All vectors are assigned, the cells' covering radii taken over all of them, and
-cells packed into blocks of about BLOCK vectors, large cells cut into several. A vector meets a
-block only if some cell of it survives the radius bound. Each two blocks that meet are one task
-with its own trees below; it returns, per vector, how many vectors of the other block it is linked
-with, and links that span the task's components. Results do not depend on sample or blocks.
+to level: the children of a node are centres no two of which are within half of its radius, and
+every point of the node is with a child that covers it. Two nodes further apart than the threshold
+plus both covering radii hold no pair; two nodes whose farthest points are within the threshold hold
+only pairs; others are opened, all children of one against all of the other in one matrix product.
+Products in single precision only rule out: whatever is within their error bound, which grows with
+the dimension, is told in double precision.
+
+The levels over all vectors: centres from a bounded sample (SAMPLE vectors, the smallest by hash)
+make cells, whose covering radii are taken over all vectors. Cells are packed into blocks of at most
+BLOCK_BYTES, large cells cut into several. Each block's tree is built once and written. Two blocks
+meet where cells of theirs survive the radius bound; one task walks the two trees and returns, per
+vector, how many vectors of the other block it is linked with, and links that span the task's
+components. Results do not depend on sample or blocks.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with
 nothing; so do vectors of different lengths; equal vectors are one class, their copies linked with
-each other; a null vec_id takes no part and keeps null as component; repeated rows of one vec_id
-count as vectors; an empty table gives an empty result; other columns are never read.
+each other; components may be as large or small as doubles are; a null vec_id takes no part and keeps
+null as component; repeated rows of one vec_id count as vectors; an empty table gives an empty
+result; other columns are never read.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,65 +37,134 @@ from .common import components, documents, join_groups, written
 
 SAMPLE = 4_096
 MAX_CELLS = 1_024
-BLOCK = 8_192
-LEAF = 256
+BLOCK_BYTES = 16 << 20
+LEAST_BLOCKS = 8
+LEAST_BLOCK = 1_024
+MAX_BROADCAST_BYTES = 64 << 20
+LEAF = 32
 SLACK = 1e-6
 
 
-class CoverTree:
-    """Nested levels over unit vectors. A node is (centre, radius, rows, children); a node whose
-    half-radius cover would have more than half as many centres as points stays a leaf."""
-
-    def __init__(self, x: np.ndarray, rows: np.ndarray | None = None, centre: int | None = None):
-        self.x = x
-        self.rows = np.arange(len(x)) if rows is None else rows
-        self.centre = int(self.rows[0]) if centre is None else centre
-        d = distances(x[self.rows], x[self.centre])
-        self.radius = float(d.max(initial=0.0))
-        self.children: list[CoverTree] = []
-        if len(self.rows) > LEAF and self.radius > SLACK:
-            self._split(d)
-
-    def _split(self, d: np.ndarray) -> None:
-        half, limit = self.radius / 2, max(2, min(64, len(self.rows) // 2))
-        owner, near = np.zeros(len(self.rows), int), d.copy()
-        centres = [self.centre]
-        while (far := int(near.argmax())) >= 0 and near[far] > half:
-            if len(centres) == limit:
-                return
-            new = distances(self.x[self.rows], self.x[self.rows[far]])
-            closer = new < near
-            owner[closer], near[closer] = len(centres), new[closer]
-            centres.append(int(self.rows[far]))
-        self.children = [CoverTree(self.x, self.rows[owner == i], c) for i, c in enumerate(centres) if (owner == i).any()]
-
-
 def distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ p)))
+    return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ p.T)))
+
+
+def _net(x: np.ndarray, rows: np.ndarray, centre: int, radius: float) -> list[tuple[int, np.ndarray]]:
+    """(centre, rows) of a cover of `rows`: `centre` first, no two centres within `radius`, every row
+    with one that is. Centres are taken a block at a time."""
+    cover = 1 - radius * radius / 2
+    at, owner = [centre], np.full(len(rows), -1)
+    owner[x[rows] @ x[centre] >= cover] = 0
+    owner[rows == centre] = 0
+    left = np.flatnonzero(owner < 0)
+    while len(left):
+        block = left[:256]
+        near = x[rows[block]] @ x[rows[block]].T >= cover
+        taken, mine = np.zeros(len(block), bool), []
+        for i in range(len(block)):
+            if not taken[i]:
+                mine.append(i)
+                taken |= near[i]
+        first = len(at)
+        at += rows[block[mine]].tolist()
+        cosine = x[rows[left]] @ x[rows[block[mine]]].T
+        best = cosine.argmax(axis=1)
+        held = cosine[np.arange(len(left)), best] >= cover
+        held[mine], best[mine] = True, np.arange(len(mine))
+        owner[left[held]] = first + best[held]
+        left = left[~held]
+    order = np.argsort(owner, kind="stable")
+    return list(zip(at, np.split(rows[order], np.cumsum(np.bincount(owner, minlength=len(at)))[:-1])))
 
 
-def dual(a: CoverTree, b: CoverTree, cosine: float, all_linked, some) -> None:
-    """Walk both trees: `all_linked(rows, rows)` for node pairs within the threshold,
-    `some(rows, rows)` for leaves that need comparing."""
-    limit = np.sqrt(2 - 2 * cosine)
-    todo = [(a, b)]
+class CoverTree:
+    """Nested levels over unit vectors. Points are put in an order (`order`) in which every node's
+    are `lo`..`hi`, nodes so that a node's children are `kid`..`kid + kids`."""
+
+    def __init__(self, x: np.ndarray):
+        todo, at = [(0, np.arange(len(x)))], 0
+        self.radius, self.kid, self.kids, centres = [], [], [], []
+        while at < len(todo):
+            centre, rows = todo[at]
+            d = distances(x[rows], x[centre]) if len(rows) > 1 else np.zeros(1)
+            self.radius.append(float(d.max()))
+            centres.append(centre)
+            parts = _net(x, rows, centre, self.radius[-1] / 2) if len(rows) > LEAF and self.radius[-1] > SLACK else []
+            self.kid.append(len(todo))
+            self.kids.append(len(parts))
+            todo += parts
+            at += 1
+        sizes = np.array([len(r) for _, r in todo])
+        self.lo = np.zeros(len(todo), np.int64)
+        self.order = np.zeros(len(x), np.int64)
+        for i, (_, rows) in enumerate(todo):
+            if self.kids[i]:
+                kids = slice(self.kid[i], self.kid[i] + self.kids[i])
+                self.lo[kids] = self.lo[i] + np.cumsum(sizes[kids]) - sizes[kids]
+            else:
+                self.order[self.lo[i] : self.lo[i] + len(rows)] = rows
+        place = np.empty(len(x), np.int64)
+        place[self.order] = np.arange(len(x))
+        self.hi, self.centre = self.lo + sizes, place[centres]
+        self.radius, self.kid, self.kids = np.array(self.radius), np.array(self.kid), np.array(self.kids)
+        self.set_points(x[self.order])
+
+    def set_points(self, x: np.ndarray | None) -> None:
+        """The points, in the tree's order; None leaves the shape alone, to be sent."""
+        self.x, self.low = x, None if x is None else x.astype(np.float32)
+
+    def opened(self, node: int) -> np.ndarray:
+        return np.arange(self.kid[node], self.kid[node] + self.kids[node]) if self.kids[node] else np.array([node])
+
+
+def dual(a: CoverTree, b: CoverTree, cosine: float, all_linked, linked) -> None:
+    """Walk both trees, or one against itself if they are the same: `all_linked(node, node)` for
+    nodes that hold only pairs, `linked(points, points)` for single pairs."""
+    limit, own = np.sqrt(max(0.0, 2 - 2 * cosine)), a is b
+    error = (a.x.shape[1] + 4) * 2.0**-23
+
+    def points(p: np.ndarray, q: np.ndarray, same: bool) -> None:
+        """Points against points."""
+        for s in range(0, len(p), 1024):
+            i, j = np.nonzero(a.low[p[s : s + 1024]] @ b.low[q].T >= cosine - error)
+            i, j = p[s + i], q[j]
+            if same:
+                i, j = i[i < j], j[i < j]
+            for t in range(0, len(i), 1 << 16):
+                yes = np.einsum("nd,nd->n", a.x[i[t : t + (1 << 16)]], b.x[j[t : t + (1 << 16)]]) >= cosine
+                linked(i[t : t + (1 << 16)][yes], j[t : t + (1 << 16)][yes])
+
+    todo = [(0, 0)]
     while todo:
         p, q = todo.pop()
-        d = float(distances(p.x[p.centre][None], q.x[q.centre])[0])
-        if d - p.radius - q.radius > limit + SLACK:
+        same = own and p == q
+        if not a.kids[p] and not b.kids[q]:
+            points(np.arange(a.lo[p], a.hi[p]), np.arange(b.lo[q], b.hi[q]), same)
             continue
-        if d + p.radius + q.radius < limit - SLACK:
-            all_linked(p.rows, q.rows)
-        elif not p.children and not q.children:
-            some(p.rows, q.rows)
-        elif q.children and (not p.children or q.radius >= p.radius):
-            todo += [(p, c) for c in q.children]
-        else:
-            todo += [(c, q) for c in p.children]
+        many, more = a.opened(p), b.opened(q)
+        lone, alone = a.hi[many] - a.lo[many] == 1, b.hi[more] - b.lo[more] == 1
+        if lone.any() and alone.any():
+            points(a.lo[many[lone]], b.lo[more[alone]], same)
+        for s in range(0, 0 if lone.all() and alone.all() else len(many), 1024):
+            part = many[s : s + 1024]
+            reach = limit + SLACK + a.radius[part][:, None] + b.radius[more][None, :]
+            got = a.low[a.centre[part]] @ b.low[b.centre[more]].T
+            near = got >= np.where(reach < 2, 1 - reach * reach / 2, -2) - error
+            near &= ~(lone[s : s + 1024][:, None] & alone[None, :])
+            for i, j in zip(*np.nonzero(near)):
+                m, n = int(part[i]), int(more[j])
+                if same and m > n:
+                    continue
+                d = float(distances(a.x[a.centre[m]][None], b.x[b.centre[n]][None])[0, 0])
+                if d + a.radius[m] + b.radius[n] < limit - SLACK:
+                    all_linked(m, n)
+                else:
+                    todo.append((m, n))
 
 
 def _unit(raw: list[bytes], width: int) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), np.float32 if width == 4 else np.float64).reshape(len(raw), -1).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, initial=0)[:, None]
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -106,7 +181,7 @@ def vectors(table: DataFrame, column: str = "embedding") -> tuple[DataFrame, int
             for x in b.column("v"):
                 ok = x.is_valid and len(x) and not x.values.null_count
                 y = x.values.to_numpy(zero_copy_only=False).astype(kind) if ok else None
-                raw.append(y.tobytes() if ok and np.isfinite(y).all() and np.isfinite(n := (y.astype(float) ** 2).sum()) and n > 0 else None)
+                raw.append(y.tobytes() if ok and np.isfinite(y).all() and y.any() else None)
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(raw, pa.binary())], ["vec_id", "raw"])
 
     return table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).mapInArrow(run, "vec_id long, raw binary"), width
@@ -115,64 +190,80 @@ def vectors(table: DataFrame, column: str = "embedding") -> tuple[DataFrame, int
 def _cells(sample: np.ndarray) -> np.ndarray:
     """Centres of the cover tree's upper levels: farthest first, so each prefix covers the sample
     with the least radius so far, until all is covered or the bound is reached."""
-    centres, near = [0], distances(sample, sample[0])
+    centres, near = [0], distances(sample, sample[:1])[:, 0]
     while len(centres) < min(MAX_CELLS, max(1, len(sample) // 4)) and near.max() > 0.05:
         centres.append(int(near.argmax()))
-        near = np.minimum(near, distances(sample, sample[centres[-1]]))
+        near = np.minimum(near, distances(sample, sample[centres[-1:]])[:, 0])
     return sample[centres]
 
 
-def _pair(cosine: float, width: int):
-    """One task: the links between two blocks, or within one (side 2)."""
+def _grow(width: int):
+    """Block to one row: its tree's shape, and ids, copies and vectors in the tree's order."""
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["id"].to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        ids, side, copies = (table[c].to_numpy() for c in ("id", "side", "copies"))
-        x = _unit([r.as_py() for r in table["raw"]], width)
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        within = bool((side == 2).any())
+        table = table.take(pa.array(np.argsort(table["id"].to_numpy(), kind="stable")))
+        tree = CoverTree(_unit([r.as_py() for r in table["raw"]], width))
+        table = table.take(pa.array(tree.order))
+        tree.set_points(None)
+        raw = b"".join(r.as_py() for r in table["raw"])
+        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64()), "tree": pa.array([pickle.dumps((tree, table["id"].to_numpy(), table["copies"].to_numpy(), raw))], pa.binary())})
+
+    return run
+
+
+def _grown(data: bytes, width: int) -> tuple[CoverTree, np.ndarray, np.ndarray]:
+    tree, ids, copies, raw = pickle.loads(data)
+    size = len(raw) // len(ids)
+    tree.set_points(_unit([raw[i : i + size] for i in range(0, len(raw), size)], width))
+    return tree, ids, copies
+
+
+def _meet(cosine: float, width: int):
+    """Two trees, or one with itself, to the links between their vectors."""
+
+    def walk(mine: bytes, others: bytes | None):
+        tree, ids, copies = _grown(mine, width)
+        other, n = tree, len(ids)
+        if others is not None:
+            other, more, times = _grown(others, width)
+            ids, copies = np.concatenate([ids, more]), np.concatenate([copies, times])
+        shift = 0 if others is None else n
         count, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        if not len(left) or not len(right):
-            return pa.table({"id": ids[:0], "other": ids[:0], "n": count[:0]})
-        low = x.astype(np.float32)
-
-        def join(i: np.ndarray) -> None:
-            """Rows that are in one component together."""
-            roots = np.unique(root[i])
-            if len(roots) > 1:
-                root[np.isin(root, roots)] = roots[0]
-
-        def all_linked(p: np.ndarray, q: np.ndarray) -> None:
-            p, q = left[p], right[q]
-            count[p] += copies[q].sum()
-            if not within:
-                count[q] += copies[p].sum()
-            join(np.concatenate([p, q]))
-
-        def some(p: np.ndarray, q: np.ndarray) -> None:
-            p, q = left[p], right[q]
-            for s in range(0, len(p), 1024):
-                rows = p[s : s + 1024]
-                got = low[rows] @ low[q].T
-                yes = got >= cosine
-                # single precision decides all but what lies within its error
-                for i, j in zip(*np.nonzero(np.abs(got - np.float32(cosine)) < 1e-5)):
-                    yes[i, j] = x[rows[i]] @ x[q[j]] >= cosine
-                hit = np.flatnonzero(yes.any(axis=1))
-                count[rows] += yes @ copies[q]
-                if not within:
-                    count[q] += copies[rows] @ yes
-                for i in hit:
-                    others = q[yes[i]]
-                    if (root[others] != root[rows[i]]).any():
-                        join(np.append(others, rows[i]))
-
-        dual(CoverTree(x[left]), CoverTree(x[right]), cosine, all_linked, some)
-        if within:
-            count -= copies  # each vector meets its own class once
-        keep = (count > 0) | (root != np.arange(len(ids)))
-        return pa.table({"id": ids[keep], "other": ids[root[keep]], "n": count[keep]})
+
+        def join(i: np.ndarray, j: np.ndarray) -> None:
+            apart = root[i] != root[j]
+            for x, y in set(zip(root[i[apart]].tolist(), root[j[apart]].tolist())):
+                while root[x] != x:
+                    x = root[x]
+                while root[y] != y:
+                    y = root[y]
+                root[max(x, y)] = min(x, y)
+            while (root[root] != root).any():
+                root[:] = root[root]
+
+        def all_linked(p: int, q: int) -> None:
+            i, j = np.arange(tree.lo[p], tree.hi[p]), np.arange(other.lo[q], other.hi[q]) + shift
+            if i[0] == j[0]:  # a node with itself: every point with all but itself
+                count[i] += copies[i].sum() - copies[i]
+            else:
+                count[i] += copies[j].sum()
+                count[j] += copies[i].sum()
+            join(i, np.full(len(i), j[0]))
+            join(j, np.full(len(j), i[0]))
+
+        def linked(i: np.ndarray, j: np.ndarray) -> None:
+            np.add.at(count, i, copies[j + shift])
+            np.add.at(count, j + shift, copies[i])
+            join(i, j + shift)
+
+        dual(tree, other, cosine, all_linked, linked)
+        keep = count > 0
+        return ids[keep], ids[root[keep]], count[keep]
+
+    def run(batches):
+        for b in batches:
+            for mine, others in zip(b.column("tree"), b.column("other_tree")):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in walk(mine.as_py(), others.as_py())], ["id", "other", "n"])
 
     return run
 
@@ -216,41 +307,47 @@ def _one_length(classes: DataFrame, cosine: float, width: int) -> DataFrame:
     cells = written(classes.select("id", "raw", "copies").mapInArrow(assign, "id long, raw binary, copies long, cell int, d double"), "cells")
     sizes = sorted(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("r")).collect())
     # at most MAX_CELLS rows: pack cells into blocks in order, cut large ones
-    radius, first, parts, at, room = np.full(len(centres), -np.inf), {}, {}, 0, BLOCK
+    n_all = sum(r["n"] for r in sizes)
+    block = max(1, min(BLOCK_BYTES // len(sample[0]["raw"]), max(LEAST_BLOCK, -(-n_all // LEAST_BLOCKS))))
+    radius, begin, parts, at, room = np.full(len(centres), -np.inf), np.zeros(len(centres), np.int64), np.ones(len(centres), np.int64), 0, block
     for r in sizes:
-        radius[r["cell"]] = r["r"]
-        if r["n"] > room and room < BLOCK:
-            at, room = at + 1, BLOCK
-        first[r["cell"]], parts[r["cell"]] = at, -(-r["n"] // BLOCK)
-        at, room = (at, room - r["n"]) if r["n"] < room else (at + parts[r["cell"]], BLOCK)
-    members: dict[int, list[int]] = {}
-    for c, f in first.items():
-        for k in range(parts[c]):
-            members.setdefault(f + k, []).append(c)
-    blocks = sorted(members)
+        c, n = r["cell"], r["n"]
+        radius[c] = r["r"]
+        if n > room and room < block:
+            at, room = at + 1, block
+        begin[c], parts[c] = at, -(-n // block)
+        at, room = (at, room - n) if n < room else (at + parts[c], block)
+    used = np.flatnonzero(radius >= 0)
     limit = np.sqrt(2 - 2 * cosine) + SLACK
-    begin = np.array([first.get(c, 0) for c in range(len(centres))])
-    split = np.array([parts.get(c, 1) for c in range(len(centres))])
 
-    def meet(batches):
+    def place(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
             ids, cell = b.column("id").to_numpy(), b.column("cell").to_numpy()
-            near = np.sqrt(np.maximum(0, 2 - 2 * (_unit([r.as_py() for r in b.column("raw")], width) @ centres.T))) - radius[None, :] <= limit
-            mine = begin[cell] + np.abs(ids * 2654435761 >> 7) % split[cell]
-            take, a, z, side = [], [], [], []
-            for block in blocks:
-                i = np.flatnonzero(near[:, members[block]].any(axis=1) | (mine == block))
-                take.append(i)
-                a.append(np.minimum(mine[i], block))
-                z.append(np.maximum(mine[i], block))
-                side.append(np.where(mine[i] == block, 2, np.where(mine[i] < block, 0, 1)))
-            take = pa.array(np.concatenate(take))
-            yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("raw").take(take), b.column("copies").take(take), pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(z), pa.int64()), pa.array(np.concatenate(side), pa.int32())], ["id", "raw", "copies", "a", "z", "side"])
-
-    dealt = cells.mapInArrow(meet, "id long, raw binary, copies long, a long, z long, side int")
-    return dealt.groupBy("a", "z").applyInArrow(lambda t: _pair(cosine, width)(t), "id long, other long, n long")
+            mine = begin[cell] + np.abs(ids * 2654435761 >> 7) % parts[cell]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("raw"), b.column("copies"), pa.array(mine, pa.int64())], ["id", "raw", "copies", "block"])
+
+    placed = cells.mapInArrow(place, "id long, raw binary, copies long, block long")
+    trees = written(placed.groupBy("block").applyInArrow(lambda t: _grow(width)(t), "block long, tree binary"), "trees")
+
+    def meetings(batches):
+        """Blocks to the blocks not below them that hold a cell near enough to one of theirs."""
+        gap = distances(centres[used], centres[used]) - radius[used][:, None] - radius[used][None, :]
+        near, first, last = gap <= limit, begin[used], begin[used] + parts[used] - 1
+        for b in batches:
+            for x in b.column("block").to_pylist():
+                others = near[(first <= x) & (x <= last)].any(axis=0)
+                met = {z for f, t in zip(first[others], last[others]) for z in range(max(f, x), t + 1)} | {x}
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(met), pa.int64()), pa.array(sorted(met), pa.int64())], ["block", "other"])
+
+    pairs = trees.select("block").mapInArrow(meetings, "block long, other long")
+    size = trees.agg(F.sum(F.length("tree"))).first()[0] or 0
+    few = F.broadcast if size <= MAX_BROADCAST_BYTES else (lambda df: df)
+    tasks = max(1, min(trees.count() ** 2 // 2, 100_000))
+    # a block that meets itself brings its tree once
+    second = trees.select(F.col("block").alias("other"), F.col("tree").alias("other_tree"))
+    met = pairs.repartition(tasks, "block", "other").join(few(trees), "block").join(few(second), "other")
+    met = met.select("tree", F.when(F.col("block") != F.col("other"), F.col("other_tree")).alias("other_tree"))
+    return met.mapInArrow(_meet(cosine, width), "id long, other long, n long")
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,6 +357,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def brute_vectors(vectors: dict[int, list | None], cosine: float) -> dict[int, tuple[int, int]]:
     """vec_id to (n_links, component) by all pairs; for tests."""
     good = {i: np.array(v, float) for i, v in vectors.items() if v is not None and None not in v and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float))}
+    good = {i: x / np.abs(x).max() for i, x in good.items()}
     links = {i: set() for i in vectors}
     for i, x in good.items():
         for j, y in good.items():
