@@ -4,18 +4,19 @@ A byte goes where it is covered by a LENGTH-byte string that also starts in a do
 smaller doc_id.
 
 Candidates: every string is named by the least K-byte hash inside it (its anchor), so equal strings
-have equal anchors. Consecutive strings with one anchor form a window, named by the anchor and a
-64-bit hash of its bytes. Windows are grouped by anchor: one that is, whole, in a smaller document
-is settled, and an anchor with a single kind of window needs nothing more. Only anchors with
-windows of several kinds, which are the edges of repeated passages, go on: one window of each kind,
-from its smallest document, is sent to the anchor's shard.
+have equal anchors. Consecutive strings with one anchor form a window of at most 80 bytes, named by
+128 bits over its bytes (5e12 windows, 100 TB, share a name with probability 4e-14). Windows are
+grouped by anchor: one that is, whole, in a smaller document is settled, and an anchor with a single
+kind of window needs nothing more. Only anchors with windows of several kinds, which are the edges of
+repeated passages, go on: one window of each kind, from its smallest document, is sent to the
+anchor's shard.
 
 Shards: the windows of a shard are put together and their suffixes sorted by induction: suffixes
-are classified, leftmost-smaller substrings sorted and named, the reduced string ordered, and the
-suffix array induced in two sweeps over the character buckets. The sweeps run bucket by bucket on
-whole NumPy arrays. The reduced string's alphabet is too large for sweeps, so its recursion doubles
-ranks instead. Common prefixes are computed in text order from the permuted predecessors. Strings
-that share a prefix of LENGTH bytes are one class, and its smallest document is the one that keeps it.
+are classified, leftmost-smaller substrings sorted and named, the string of names sorted the same way,
+recursively, until names are unique, and the suffix array induced in two sweeps. Over bytes the
+sweeps run bucket by bucket on whole NumPy arrays; over names, whose alphabet is large, place by
+place. Permuted common prefixes are computed in text order. Strings that share a prefix of LENGTH
+bytes are one class, and its smallest document is the one that keeps it.
 
 Texts travel in packed batches: a written table that later passes read again. Windows are combined
 within a batch before they are dealt out.
@@ -27,6 +28,7 @@ table gives an empty result; other columns are never read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import doc_input, documents, texts_of, written
 from .fuse import mix
-from .minhash import TABLE, _powers
+from .minhash import ODD, lanes
 
 LENGTH = 50
 K = 20
@@ -45,6 +47,7 @@ BATCH_BYTES = 1 << 20
 BUCKET_BYTES = 24 << 20
 U = np.uint64
 LAST = np.iinfo(np.int64).max
+TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
 # --- suffix arrays ---------------------------------------------------------------------------
@@ -133,20 +136,63 @@ def _names(t: np.ndarray, starts: np.ndarray, order: np.ndarray) -> np.ndarray:
     return names
 
 
-def _ranked(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of the reduced string, by doubling ranks."""
-    rank, step, n = names, 1, len(names)
-    while True:
-        after = np.full(n, -1)
-        after[: n - step] = rank[step:] if step < n else after[: n - step]
-        key = rank * (n + 1) + after + 1
-        order = np.argsort(key)
-        sorted_key = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        if new.max() == n - 1 or step >= n:
-            return order
-        rank, step = new, step * 2
+def _recursed(s: list[int], size: int) -> list[int]:
+    """Order of the suffixes of a string over the numbers below `size`, by the same induction."""
+    n = len(s)
+    if n < 2:
+        return list(range(n))
+    small = bytearray(n)
+    for i in range(n - 2, -1, -1):
+        small[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1])
+    heads, tails, upto = [0] * size, [0] * size, 0
+    for c in s:
+        tails[c] += 1
+    for c in range(size):
+        heads[c] = upto
+        upto += tails[c]
+        tails[c] = upto
+    starts = [i for i in range(1, n) if small[i] and not small[i - 1]]
+
+    def induce(seeds: list[int]) -> list[int]:
+        sa, room = [-1] * n, tails[:]
+        for i in reversed(seeds):
+            room[s[i]] -= 1
+            sa[room[s[i]]] = i
+        room = heads[:]
+        sa[room[s[-1]]] = n - 1
+        room[s[-1]] += 1
+        for j in range(n):
+            i = sa[j] - 1
+            if i >= 0 and not small[i]:
+                c = s[i]
+                sa[room[c]] = i
+                room[c] += 1
+        room = tails[:]
+        for j in range(n - 1, -1, -1):
+            i = sa[j] - 1
+            if i >= 0 and small[i]:
+                c = s[i]
+                room[c] -= 1
+                sa[room[c]] = i
+        return sa
+
+    if len(starts) > 1:
+        ends = dict(zip(starts, [*[e + 1 for e in starts[1:]], n + 1]))
+        name, last, names = -1, None, {}
+        for i in induce(starts):
+            if i in ends:
+                piece = s[i : ends[i]]
+                # the last substring is unlike any other: the end of the string follows it
+                if last is None or piece != last or i == starts[-1]:
+                    name += 1
+                last = None if i == starts[-1] else piece
+                names[i] = name
+        reduced = [names[i] for i in starts]
+        if name + 1 < len(starts):
+            starts = [starts[i] for i in _recursed(reduced, name + 1)]
+        else:
+            starts = [i for _, i in sorted(zip(reduced, starts))]
+    return induce(starts)
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -164,38 +210,62 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     order = where[first]
     del first, where
     names = _names(t, starts, order[order >= 0])
-    ranked = np.argsort(names, kind="stable") if names.max() == len(starts) - 1 else _ranked(names)
+    ranked = np.argsort(names, kind="stable") if names.max() == len(starts) - 1 else np.array(_recursed(names.tolist(), int(names.max()) + 1))
     return _induce(t, small, starts[ranked])
 
 
-def shared_prefix(t: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
-    """For each place in `sa`, whether its suffix shares `length` bytes with the one before it;
-    computed in text order through the permuted predecessors."""
+def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
+    """For each suffix in text order, how many bytes it shares with the one before it in the
+    suffix array, up to `most`."""
     n = len(t)
-    before = np.full(n, -1, np.int32)
+    out = np.zeros(n, np.int32)
+    before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    i = np.flatnonzero((before >= 0) & (np.arange(n) + length <= n))
-    i = i[before[i] + length <= n]
-    padded = np.concatenate([t, np.zeros(8, np.uint8)])
-    word = np.lib.stride_tricks.as_strided(padded.view(), (n + 1, 8), (1, 1))
-    offsets = [*range(0, length - 7, 8)] + ([length - 8] if length % 8 and length > 8 else [])
-    if length < 8:
-        offsets = []
-        for k in range(length):
-            i = i[t[i + k] == t[before[i] + k]]
-    for k in offsets:
-        i = i[(word[i + k] == word[before[i] + k]).all(axis=1)]
-    plcp = np.zeros(n, bool)
-    plcp[i] = True
-    return plcp[sa]
+    i = np.flatnonzero(before >= 0)
+    j = before[i]
+    room = np.minimum(most, n - np.maximum(i, j))
+    padded = np.concatenate([t, np.zeros(8 + most, np.uint8)])
+    eight = np.ndarray((n + most + 1,), "<u8", padded, 0, (1,))
+    for at in range(0, most, 8):
+        differ = eight[i + at] ^ eight[j + at]
+        end = np.flatnonzero((differ != 0) | (room <= at + 8))
+        # the lowest bit that differs is in the first byte that does
+        low = differ[end] & (~differ[end] + U(1))
+        same = np.where(low == 0, 8, np.log2(np.maximum(low, U(1)).astype(np.float64)).astype(np.int32) // 8)
+        out[i[end]] = np.minimum(room[end], at + same)
+        go = np.ones(len(i), bool)
+        go[end] = False
+        i, j, room = i[go], j[go], room[go]
+    return out
 
 
 # --- windows of a packed batch -----------------------------------------------------------------
 
 
+@functools.lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        up, down = np.full(size, U(ODD)), np.full(size, U(pow(ODD, -1, 1 << 64)))
+        up[0] = down[0] = 1
+        return np.cumprod(up), np.cumprod(down)
+
+
+def _alike(kind: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal names stand together, and where in it a new name begins. The first
+    half of a name decides all but what never happens."""
+    order = np.argsort(kind)
+    for _ in range(2):
+        a, b = kind[order], more[order]
+        first, second = a[1:] != a[:-1], b[1:] != b[:-1]
+        if not (second & ~first).any():
+            break
+        order = np.lexsort((more, kind))
+    return order, np.concatenate([np.ones(min(1, len(order)), bool), first | second])
+
+
 class Batch:
     """Windows of the texts of one batch. `owner` is the text of each window, `s0`..`s1` the
-    strings in it (positions in the joined bytes), `anchor` and `kind` its two names. `first`
+    strings in it (positions in the joined bytes), `anchor` and `kind`, `more` its names. `first`
     are windows to deal out: one per name from the smallest doc_id of the batch; `twin` is the
     place of each window's own among them."""
 
@@ -206,7 +276,7 @@ class Batch:
         n, w = len(a), LENGTH - K + 1
         empty = np.zeros(0, np.int64)
         self.s0 = self.s1 = self.owner = self.first = self.twin = self.bucket_order = empty
-        self.anchor = self.kind = np.zeros(0, U)
+        self.anchor = self.kind = self.more = np.zeros(0, U)
         if n < LENGTH:
             return
         up, down = _powers(1 << max(20, n.bit_length()))
@@ -239,13 +309,13 @@ class Batch:
         p = least[starts]
         with np.errstate(over="ignore"):
             self.anchor = grams[p]
-            body = (run[self.s1 + LENGTH] - run[starts]) * down[starts]
-            self.kind = mix(body + ((p - starts).astype(U) << U(40)) + (self.s1 - starts).astype(U) * U(0x9E3779B97F4A7C15), 9)
-        # a kind is a hash of the anchor's surroundings, so it names the anchor too
+            # both halves cover every byte, the length and the anchor's place
+            size = self.s1 - starts + LENGTH
+            self.kind = mix(lanes(a, starts, size, 9) + (p - starts).astype(U), 10)
+            self.more = mix(lanes(a, starts, size, 1 << 20) + (p - starts).astype(U), 11)
+        # a kind names the anchor's surroundings, so it names the anchor too
         doc = ids[self.owner]
-        order = np.argsort(self.kind)
-        new = np.ones(len(order), bool)
-        new[1:] = self.kind[order][1:] != self.kind[order][:-1]
+        order, new = _alike(self.kind, self.more)
         heads, group = np.flatnonzero(new), np.cumsum(new) - 1
         if len(order):
             least_doc = np.minimum.reduceat(doc[order], heads)
@@ -325,7 +395,7 @@ def _ask(buckets: int):
             for b, places in batch.dealt(buckets):
                 w = batch.first[places]
                 out["bucket"].append(b)
-                out["names"].append(_pack((batch.anchor[w] >> U(32)).astype(np.uint32).tobytes() + batch.kind[w].tobytes() + batch.ids[batch.owner[w]].tobytes()))
+                out["names"].append(_pack((batch.anchor[w] >> U(32)).astype(np.uint32).tobytes() + batch.kind[w].tobytes() + batch.more[w].tobytes() + batch.ids[batch.owner[w]].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array([row["batch"]] * len(out["bucket"]), pa.int64()), pa.array(out["names"], pa.binary())], ["bucket", "batch", "names"])
 
     return run
@@ -335,16 +405,17 @@ def _settle(table: pa.Table) -> pa.Table:
     """All windows of a bucket: flag 1, the same window is in a smaller document; flag 2, its
     anchor has windows of several kinds and this one represents its kind."""
     raw = [_open(x.as_py()) for x in table["names"]]
-    sizes = [len(x) // 20 for x in raw]
+    sizes = [len(x) // 28 for x in raw]
     anchor = np.concatenate([np.frombuffer(x, np.uint32, n) for x, n in zip(raw, sizes)])
     kind = np.concatenate([np.frombuffer(x, U, n, 4 * n) for x, n in zip(raw, sizes)])
-    doc = np.concatenate([np.frombuffer(x, np.int64, n, 12 * n) for x, n in zip(raw, sizes)])
+    more = np.concatenate([np.frombuffer(x, U, n, 12 * n) for x, n in zip(raw, sizes)])
+    doc = np.concatenate([np.frombuffer(x, np.int64, n, 20 * n) for x, n in zip(raw, sizes)])
     del raw
     if not len(kind):
         return table.select(["batch", "bucket"]).append_column("answer", pa.array([_pack(b"")] * table.num_rows, pa.binary()))
-    order = np.argsort(kind)
-    k, d = kind[order], doc[order]
-    new = np.concatenate([[True], k[1:] != k[:-1]])
+    order, new = _alike(kind, more)
+    d = doc[order]
+    del more
     heads, group = np.flatnonzero(new), np.cumsum(new) - 1
     smallest, largest, of = np.minimum.reduceat(d, heads), np.maximum.reduceat(d, heads), anchor[order][heads]
     # per anchor: how many kinds, and whether more than one document
@@ -354,7 +425,7 @@ def _settle(table: pa.Table) -> pa.Table:
     several = (np.bincount(which) > 1) & (np.minimum.reduceat(smallest[by], starts) < np.maximum.reduceat(largest[by], starts))
     compare = np.empty(len(heads), bool)
     compare[by] = several[which]
-    flag = np.empty(len(k), np.uint8)
+    flag = np.empty(len(kind), np.uint8)
     flag[order] = np.where(d > smallest[group], 1, np.where(compare[group], 2, 0))
     cuts = np.cumsum([0, *sizes])
     return pa.table({"batch": table["batch"], "bucket": table["bucket"], "answer": pa.array([_pack(flag[lo:hi].tobytes()) for lo, hi in zip(cuts, cuts[1:])], pa.binary())})
@@ -398,7 +469,7 @@ def _shard(table: pa.Table) -> pa.Table:
     # every string's start, in the order in which windows were sent
     at = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
     sa = suffix_array(t)
-    share = shared_prefix(t, sa, LENGTH)
+    share = (permuted_prefixes(t, sa, LENGTH) >= LENGTH)[sa]
     owner = np.full(len(t), LAST)
     owner[at] = np.repeat(doc, count)
     by_rank = owner[sa]
