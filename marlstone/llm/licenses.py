@@ -1,18 +1,19 @@
 """License scans by conditional compression.
 
-Candidate blocks are the words around each licensing cue, whatever lines they stand on, 2 * SPREAD
-to each side; blocks that meet are one. Every template is confirmed by exact wording: its words are
-laid on the block's in order, up to SPREAD words to each side of its rarest key word; every key
-word (name, version) must be met as it stands, and at most MAX_MISSING of the template's words may
-be missing. All notices of a block are hits, each from its first to its last word, with the
-differences in wording; one key word belongs to one hit, and
-words between two notices that both could use are in the span of the one with fewer differences.
-The wording alone decides. What a template saves as a raw zstandard dictionary is measured on the
-hit's own span, so that prose around a notice does not weigh, and is returned as `saved`.
+Candidate blocks are the words around each licensing cue, whatever lines they stand on, as far to each
+side as the longest notice reaches; blocks that meet are one. A block's words are compressed alone and
+with each template as raw zstandard dictionary; templates are ranked by the share of their own
+compressed size by which they make the block smaller, and those that save nothing are out. Every other
+template is then confirmed by exact wording, in that order: its words are laid on the block's in
+order, up to SPREAD words to each side of its rarest key word; every key word (name, version) must be
+met as it stands, and at most MAX_MISSING of the template's words may be missing. All notices of a
+block are hits, each from its first to its last word, with the differences in wording; a key word
+belongs to one hit, that of the template that saves most, and words between two notices that both could
+use are in the span of the first of them.
 
 Defined cases: a null or empty text has no blocks; null doc_ids stay; repeated rows give repeated
-rows; of equally good templates the first listed wins; an empty table gives an empty result; other
-columns are never read. Positions count code points.
+rows; of templates that save as much the one with fewer differences wins, then the first listed; an
+empty table gives an empty result; other columns are never read. Positions count code points.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 from .common import documents, map_texts
 
 MAX_MISSING = 0.2
-SPREAD = 60
 
 # License notices in their usual wording, and the words that tell them apart.
 TEMPLATES = (
@@ -47,11 +47,23 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", ("cc", "by-sa", "4.0")),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ("cc", "by-nc", "4.0")),
     ("CC0-1.0", "Released into the public domain under CC0 1.0.", ("cc0", "1.0")),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.", ("permission", "sublicense", "merchantability", "noninfringement")),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.", ("redistribution", "redistributions", "permitted", "disclaimed")),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.", ("redistribution", "redistributions", "permitted", "disclaimed", "neither", "endorse")),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ("permission", "fee", "granted", "copies")),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", ("apache", "compliance", "unless", "governing")),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ("gnu", "general", "public", "2", "option")),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("gnu", "general", "public", "3", "option")),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", ("as-is", "anyone", "commercial", "freely")),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0.", ("boost", "1.0")),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.", ("unencumbered", "public", "domain")),
 )
 # the first word of each cue and the cue, whose words a line break or comment mark may part
-CUES = tuple((c.split()[0], re.compile(c.replace(" ", r"\W+"))) for c in ("licen", "redistribution", "permission is hereby", "public domain", "copyright", "source code form"))
+CUES = tuple((c.split()[0], re.compile(c.replace(" ", r"\W+"))) for c in ("licen", "redistribution", "permission is hereby", "public domain", "copyright", "source code form", "permission to use", "free software", "permission is granted"))
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 WANT = [WORD.findall(t.lower()) for _, t, _ in TEMPLATES]
+#: words to each side of a key word on which a template is laid: room for some that were put in
+SPREAD = max(map(len, WANT)) * 5 // 4
 
 
 def lowered(text: str) -> str:
@@ -86,16 +98,20 @@ def blocks(text: str) -> list[tuple[int, int]]:
 @functools.lru_cache(maxsize=1)
 def _compressors():
     plain = zstandard.ZstdCompressor(level=9, write_content_size=False)
-    held = [zstandard.ZstdCompressor(level=9, write_content_size=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t, _ in TEMPLATES]
-    return plain, held
-
-
-def saved(piece: str, rank: int) -> float:
-    """Share of a piece's compressed size that a template saves."""
-    plain, held = _compressors()
-    data = piece.encode("utf-8", "replace")
+    held = []
+    for words in WANT:
+        data = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.append(zstandard.ZstdCompressor(level=9, write_content_size=False, write_dict_id=False, dict_data=data))
+    return plain, held, [len(plain.compress(" ".join(words).encode())) for words in WANT]
+
+
+def reductions(words: list[str]) -> list[float]:
+    """By how much each template, as dictionary, makes the block smaller, as a share of the
+    template's own compressed size; marks and lines between the words do not weigh."""
+    plain, held, own = _compressors()
+    data = " ".join(words).encode("utf-8", "replace")
     alone = len(plain.compress(data))
-    return (alone - len(held[rank].compress(data))) / alone
+    return [(alone - len(c.compress(data))) / n for c, n in zip(held, own)]
 
 
 def _outward(want: list[str], have: list[str]) -> tuple[int, list[tuple[int, int]]]:
@@ -144,17 +160,21 @@ def differences(want: list[str], have: list[str], pairs: list[tuple[int, int]])
 @functools.lru_cache(maxsize=20_000)
 def confirmed(block: str) -> tuple[tuple[str, float, tuple[str, ...], int, int], ...]:
     """(license, share saved, wording differences, start, end) of every notice of a block, left to
-    right. Every template whose keys are there is laid on each place of its rarest key. Two hits
-    that need the same key word are one notice: the one with fewer differences stays."""
+    right. Every template whose keys are there is laid on each place of its rarest key, in the order of
+    what the templates save. Two hits that need the same word are one notice: the first stays."""
     low = lowered(block)
     words = list(WORD.finditer(low))
     have = [m[0] for m in words]
     count = Counter(have)
+    could = [rank for rank, (_, _, keys) in enumerate(TEMPLATES) if all(k in count for k in keys)]
+    if not could:
+        return ()
+    saved = reductions(have)
     found = []
-    for rank, (name, _, keys) in enumerate(TEMPLATES):
-        if not all(k in count for k in keys):
+    for rank in could:
+        if saved[rank] <= 0:
             continue
-        want = WANT[rank]
+        want, keys = WANT[rank], TEMPLATES[rank][2]
         key = min((k for k in keys if want.count(k) == 1), key=lambda k: count[k])
         for at in [i for i, w in enumerate(have) if w == key]:
             missing, pairs = wording(want, have, want.index(key), at)
@@ -162,17 +182,17 @@ def confirmed(block: str) -> tuple[tuple[str, float, tuple[str, ...], int, int],
             if missing > MAX_MISSING * len(want) or len({have[j] for j in named}) < len(keys):
                 continue
             put_in = pairs[-1][1] - pairs[0][1] + 1 - len(pairs)
-            found.append(((missing + put_in) / len(want), pairs[0][1], rank, named, pairs))
+            found.append((-round(saved[rank], 2), (missing + put_in) / len(want), pairs[0][1], rank, named, pairs))
     taken: set[int] = set()
     covered: set[int] = set()
     out = []
-    for _, _, rank, named, pairs in sorted(found, key=lambda f: f[:3]):
+    for _, _, _, rank, named, pairs in sorted(found, key=lambda f: f[:4]):
         if not named & taken:
-            taken |= named
+            # a notice takes all its words as keys, so that no shorter one is read out of it
+            taken |= {j for _, j in pairs if j not in covered} | named
             own = [j for _, j in pairs if j not in covered] or [j for _, j in pairs]
             covered.update(range(own[0], own[-1] + 1))
-            start, end = words[own[0]].start(), words[own[-1]].end()
-            out.append((TEMPLATES[rank][0], saved(block[start:end], rank), tuple(differences(WANT[rank], have, pairs)), start, end))
+            out.append((TEMPLATES[rank][0], saved[rank], tuple(differences(WANT[rank], have, pairs)), words[own[0]].start(), words[own[-1]].end()))
     return tuple(sorted(out, key=lambda h: h[3:]))
 
 
