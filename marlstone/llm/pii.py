@@ -2,16 +2,17 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Information-
 theoretic sanitisation then asks how much a term in a document with a protected entity tells about
-it. Over the whole corpus, n(e) counts documents with entity e, n(t) documents with term t, and
-n(t, e) documents with both, those with one context of e (the words within REACH code points of it)
-counted once, so that copies are no evidence. A term is a word of four letters or more and
-discloses e where
+it. Over the whole corpus of N documents, n(e) counts those with entity e (a base span's text), n(t)
+those with term t, and n(t, e) those with both. A term is a word of four letters or more. Its
+information about the entity, with PRIOR documents added that have the term and not the entity, so
+that few documents prove little, is held against the entity's own:
 
-    log(n(t, e) N / (n(t) n(e))) >= log(N / n(e)) / ALPHA
+    log(n(t, e) N / ((n(t) + PRIOR) n(e))) >= log(N / n(e)) / ALPHA
 
-and both n(e) and n(t, e) are at least SUPPORT: below that nothing is known of an entity. Disclosing
-terms are added with kind `term` wherever they stand, in documents without the entity too, and
-generalised to [TERM] in the sanitised text.
+Disclosing terms are added with kind `term` wherever they stand, in documents without the entity too,
+and generalised to [TERM] in the sanitised text. A term that all but stands with one entity alone
+discloses it once the corpus is large enough to make that remarkable (2,048 documents for a single
+one); a term seen as often elsewhere never does.
 
 Positions come from pieces: `split` gives the text between matches, `regexp_extract_all` the
 matches, and running lengths their places, in code points. The patterns are written so that they
@@ -27,13 +28,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_input, documents, join_groups, written
+from .common import doc_input, documents, written
 
 KINDS = ("email", "ip", "card", "phone")
-ALPHA = 1.25
-SUPPORT = 3
-REACH = 48
+ALPHA = 1.1
+PRIOR = 1
 MAX_BROADCAST_TERMS = 50_000
+MAX_BROADCAST_BYTES = 32 << 20
 LOCAL = "A-Za-z0-9._%+-"
 PATTERN = {
     "email": rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
@@ -97,95 +98,97 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def context(text: Column, spans: Column) -> Column:
-    """Per span, the words around it: array<struct<value, near array<struct<start, end, term>>>>.
-    Words that the window's edge cuts are left out, and so are words inside any base span."""
+def row_id() -> list[Column]:
+    """128 bits over a row's doc_id and text: rows that share them are the same."""
+    return [F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit("2"), "text", "doc_id").alias("r2")]
 
-    def around(s: Column) -> Column:
-        def side(begin: Column, stop: Column) -> Column:
-            # one code point more on each side shows whether a word is cut
-            cut = F.substring(text, F.greatest(begin, F.lit(0)) + 1, stop - F.greatest(begin, F.lit(0)))
-            words = places(cut, WORD)
-            whole = F.filter(words, lambda w: ((w.start > 0) | (begin <= 0)) & ((w.end < F.length(cut)) | (stop <= s.start)))
-            return F.transform(whole, lambda w: F.struct((w.start + F.greatest(begin, F.lit(0))).alias("start"), (w.end + F.greatest(begin, F.lit(0))).alias("end"), F.lower(w.value).alias("term")))
 
-        words = F.concat(side(s.start - REACH, s.start), side(s.end, s.end + REACH))
-        free = F.filter(words, lambda w: ~F.exists(spans, lambda b: (w.start < b.end) & (b.start < w.end)))
-        return F.struct(s.value.alias("entity"), free.alias("near"))
-
-    return F.transform(spans, around)
+def _texts(docs: DataFrame) -> DataFrame:
+    return doc_input(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, row (identity of a row's text), base, context: one pass over the texts."""
-    texts = doc_input(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
-    near = F.when(F.size("base") > 0, context(F.col("text"), F.col("base")))
-    # words of the whole text; of the base spans only e-mail addresses hold letters
-    terms = F.when(F.size("base") > 0, _terms(F.regexp_replace("text", PATTERN["email"], " ")))
-    return found.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "base", near.alias("context"), terms.alias("terms"))
+    """doc_id, r1, r2 (identity of a row), base, and for rows with base spans the terms of their
+    text: one pass over the texts."""
+    found = _texts(docs).select("doc_id", "text", base_spans(F.col("text")).alias("base"))
+    return found.select("doc_id", *row_id(), "base", F.when(F.size("base") > 0, _terms(F.col("text"))).alias("terms"))
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
-
-
-def disclosing(docs: DataFrame, found: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) pairs above the disclosure threshold. All counts cover all documents."""
-    total = docs.count()
-    # a context is told by its words, so that windows that repeat word for word are one
-    near = lambda c: F.xxhash64(F.array_sort(F.array_distinct(F.transform(c.near, lambda w: w.term))))
-    seen = found.where("size(base) > 0").select("row", "terms", F.explode(F.array_distinct(F.transform("context", lambda c: F.struct(c.entity.alias("entity"), near(c).alias("ctx"))))).alias("c"))
-    seen = seen.select("row", "terms", "c.entity", "c.ctx")
-    entities = seen.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
-    seen = written(join_groups(seen, written(entities, "entities"), "entity", "n_e", total).where("n_e is not null"), "seen")
-    pairs = seen.select("entity", "n_e", "ctx", F.explode("terms").alias("term")).distinct().groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
+    """Distinct words outside e-mail addresses, which alone of base spans hold letters."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace(text, PATTERN["email"], " ")), F.lit(WORD), F.lit(0)))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
+    """(entity, term, outside) above the disclosure threshold; outside: the term also stands in
+    documents without any base span. All counts cover all documents."""
+    total = found.count()
+    held = found.where(F.size("base") > 0).select("terms", F.array_distinct(F.transform("base", lambda s: s.value)).alias("entities"))
+    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    entities = written(entities, "entities")
+    # each document once per term: with the first of its entities
+    pairs = held.select("terms", F.posexplode("entities").alias("nth", "entity")).select("entity", (F.col("nth") == 0).cast("long").alias("one"), F.explode("terms").alias("term"))
+    pairs = written(pairs.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te"), F.sum("one").alias("one")), "term-pairs")
+    near = pairs.groupBy("term").agg(F.sum("one").alias("n_near"))
+
+    def told(n_t: str) -> Column:
+        return F.log(F.col("n_te") * F.lit(float(total)) / ((F.col(n_t) + prior) * F.col("n_e")))
+
+    # a term stands in all documents at least as often as in those with entities, and with an entity
+    # at most as often as the entity: pairs that miss the threshold even so are settled first
+    most = entities.agg(F.max("n_e")).first()[0] or 0
+    least = F.lit(float(most)) / (F.col("n_near") + prior) >= F.pow(F.lit(1 / max(total, 1)), F.lit(1 - 1 / alpha)) - 1e-9
     own = F.log(F.lit(float(total)) / F.col("n_e"))
-    # documents with a term and any such entity are a lower bound of documents with the term: pairs
-    # that miss the threshold even so are settled before the corpus is counted
-    around = seen.select("row", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    pairs = pairs.join(around, "term")
-    most = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_near") * F.col("n_e")))
-    pairs = written(pairs.where(most >= own / alpha - 1e-9), "pairs")
-    terms = pairs.select("term").distinct()
-    every = docs.select(F.explode(_terms(F.coalesce(F.col("text"), F.lit("")))).alias("term"))
+    pairs = pairs.drop("one").join(near.where(least), "term").join(entities, "entity")
+    pairs = written(pairs.where(told("n_near") >= own / alpha - 1e-9), "near-pairs")
+    terms = written(pairs.select("term").distinct(), "near-terms")
+    every = doc_input(docs).select(F.explode(_terms(F.coalesce(F.col("text"), F.lit("")))).alias("term"))
     if terms.count() <= MAX_BROADCAST_TERMS:
-        every = every.join(F.broadcast(terms), "term", "left_semi")
-        counts = every.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+        counts = every.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     else:
         counts = every.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(terms, "term", "left_semi")
-    told = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-    return pairs.join(counts, "term").where((told >= own / alpha) & (told > 0)).select("entity", "term")
+    pairs = pairs.join(counts, "term").where((told("n_t") >= own / alpha) & (told("n_t") > 0))
+    return pairs.select("entity", "term", (F.col("n_t") > F.col("n_near")).alias("outside"))
 
 
 def marked(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
-    """row, added: every place of a term outside base spans, in whatever document."""
-    texts = doc_input(docs).select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    words = texts.select("row", F.explode(_terms(F.col("text"))).alias("term"))
-    held = words.join(F.broadcast(terms) if terms.count() <= MAX_BROADCAST_TERMS else terms, "term", "left_semi")
-    held = written(held.groupBy("row").agg(F.collect_set("term").alias("held")), "held")
+    """r1, r2, added: every place of a term outside base spans, in whatever document. Terms that
+    stand in documents with base spans alone are looked up in those."""
+    inside = found.where(F.size("base") > 0).select("r1", "r2", F.explode("terms").alias("term"))
+    held = inside.join(terms.select("term"), "term", "left_semi")
+    others = written(terms.where("outside").select("term"), "outside")
+    n_others = others.count()
+    if n_others:
+        words = _texts(docs).where(F.size(base_spans(F.col("text"))) == 0).select(*row_id(), F.explode(_terms(F.col("text"))).alias("term"))
+        held = held.unionByName(words.join(F.broadcast(others) if n_others <= MAX_BROADCAST_TERMS else others, "term", "left_semi"))
+    held = written(held.groupBy("r1", "r2").agg(F.array_sort(F.collect_set("term")).alias("held")), "held")
+    size = held.agg(F.sum(F.length(F.array_join("held", "|")) + 64)).first()[0] or 0
     # terms are runs of letters, so they stand for themselves in a pattern
-    rows = texts.dropDuplicates(["row"]).join(held, "row").join(found.select("row", "base").dropDuplicates(["row"]), "row")
+    rows = _texts(docs).select("text", *row_id()).join(F.broadcast(held) if size <= MAX_BROADCAST_BYTES else held, ["r1", "r2"])
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("held", "|"), F.lit(r")(?!\p{L})"))
-    free = F.filter(places(F.col("text"), pattern), lambda w: ~F.exists("base", lambda b: (w.start < b.end) & (b.start < w.end)))
-    return rows.select("row", F.transform(free, lambda w: F.struct(F.lit(len(KINDS)).alias("rank"), w.start.alias("start"), w.end.alias("end"), F.lit("term").alias("kind"))).alias("added"))
+    made = rows.select("r1", "r2", base_spans(F.col("text")).alias("base"), places(F.col("text"), pattern).alias("places"))
+    free = F.filter("places", lambda w: ~F.exists("base", lambda b: (w.start < b.end) & (b.start < w.end)))
+    spans = F.transform(free, lambda w: F.struct(F.lit(len(KINDS)).alias("rank"), w.start.alias("start"), w.end.alias("end"), F.lit("term").alias("kind")))
+    return made.select("r1", "r2", spans.alias("added")).groupBy("r1", "r2").agg(F.first("added").alias("added"))
 
 
-def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """doc_id, row, spans: array<struct<rank, start, end, kind>> by kind as listed, then start;
-    added spans have kind `term`, the last."""
+def find(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
+    """doc_id, r1, r2, base, spans: array<struct<rank, start, end, kind>> by kind as listed, then
+    start; added spans have kind `term`, the last."""
     found = written(scan(docs), "pii")
-    pairs = written(disclosing(docs, found, alpha, support), "disclosing")
-    added = marked(docs, found, pairs.select("term").distinct())
+    pairs = written(disclosing(docs, found, alpha, prior), "disclosing")
+    terms = written(pairs.groupBy("term").agg(F.max("outside").alias("outside")), "terms")
+    added = marked(docs, found, terms)
     base = F.transform("base", lambda s: F.struct(s["rank"].alias("rank"), s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))
     none = F.array().cast("array<struct<rank:int,start:int,end:int,kind:string>>")
-    return found.select("doc_id", "row", base.alias("base")).join(added, "row", "left").select("doc_id", "row", "base", F.concat("base", F.coalesce(F.array_sort("added"), none)).alias("spans"))
+    rows = found.select("doc_id", "r1", "r2", base.alias("base")).join(added, ["r1", "r2"], "left")
+    return rows.select("doc_id", "r1", "r2", "base", F.concat("base", F.coalesce("added", none)).alias("spans"))
 
 
-def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
     """(doc_id, text): every span replaced by its kind, overlapping spans by the first's."""
-    spans = find(docs, alpha, support).select("row", "spans").dropDuplicates(["row"])
-    texts = doc_input(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    spans = find(docs, alpha, prior).groupBy("r1", "r2").agg(F.first("spans").alias("spans"))
+    texts = _texts(docs).select("doc_id", "text", *row_id())
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s.start.alias("start"), s["rank"].alias("rank"), s.end.alias("end"), s.kind.alias("kind"))))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("text")
@@ -195,7 +198,7 @@ def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> D
         return F.struct(F.greatest(acc.at, s.end).alias("at"), F.when(s.start >= acc.at, new).otherwise(acc.out).alias("out"))
 
     done = F.aggregate(ordered, begin, step)
-    out = texts.join(spans, "row").withColumn("done", done)
+    out = texts.join(spans, ["r1", "r2"]).withColumn("done", done)
     return out.select("doc_id", F.concat("done.out", F.expr("substring(text, done.at + 1)")).alias("text"))
 
 
@@ -204,3 +207,35 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
     return rows.select("doc_id", *[count(k) for k in KINDS], F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
+def brute_terms(texts: list[str | None], alpha: float = ALPHA, prior: float = PRIOR) -> list[list[tuple[int, int]]]:
+    """Added spans of each text, every count taken by hand; for tests."""
+    import math
+    import re
+
+    def spans(t: str) -> list[tuple[int, int, str]]:
+        def good(kind: str, v: str) -> bool:
+            ds = [int(c) for c in v if c in "0123456789"]
+            if kind == "ip":
+                return all(int(p) <= 255 for p in v.split("."))
+            if kind == "card":
+                return 16 <= len(ds) <= 19 and sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(ds[::-1])) % 10 == 0
+            return kind == "email" or 8 <= len(ds) <= 15
+
+        plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+        return [(m.start(), m.end(), m[0]) for k, p in plain.items() for m in re.finditer(p, t) if good(k, m[0])]
+
+    rows = [(t or "", spans(t or "")) for t in texts]
+    words = [[(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{4,}", t) if not any(s < m.end() and m.start() < e for s, e, _ in base)] for t, base in rows]
+    n, n_t, n_e, n_te = len(rows), {}, {}, {}
+    for (_, base), found in zip(rows, words):
+        entities, terms = {v for _, _, v in base}, {w for _, _, w in found}
+        for x in terms:
+            n_t[x] = n_t.get(x, 0) + 1
+        for e in entities:
+            n_e[e] = n_e.get(e, 0) + 1
+            for x in terms:
+                n_te[x, e] = n_te.get((x, e), 0) + 1
+    told = {x for (x, e), k in n_te.items() if math.log(k * n / ((n_t[x] + prior) * n_e[e])) >= math.log(n / n_e[e]) / alpha and k * n > (n_t[x] + prior) * n_e[e]}
+    return [[(s, e) for s, e, w in found if w in told] for found in words]
