@@ -17,7 +17,43 @@ class FormatError(MarlstoneError):
     exit_code = 4
 
 
+class NotColumnarError(FormatError):
+    """A file is not a Parquet file at all."""
+
+
+class MalformedError(FormatError):
+    """A file ends early or contradicts itself."""
+
+
+class UnsupportedError(FormatError):
+    """A file uses a feature that is not supported."""
+
+
+class UnknownCodeError(FormatError):
+    """A file uses a code that is not in the format."""
+
+
+class TableFormatError(FormatError):
+    """A table's metadata is not what it should be."""
+
+
+class CatalogFormatError(FormatError):
+    """A catalog's documents are not what they should be."""
+
+
+class ContainerFormatError(FormatError):
+    """A container of rows is not what it should be."""
+
+
 class FilterError(MarlstoneError):
     """A filter text cannot be understood."""
 
     exit_code = 5
+
+
+class WriteError(MarlstoneError):
+    """Rows cannot be written as asked."""
+
+
+class CapabilityError(MarlstoneError):
+    """A dataset does not offer what was required of it."""

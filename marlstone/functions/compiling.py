@@ -15,17 +15,19 @@ from functools import reduce
 from uuid import UUID
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SchemaError
 from . import geometry
-from .predicate import Always, And, BoxTest, Compare, GeometryTest, In, IsNotNull, IsNull, Not, Or, Predicate, Quantified, RowsExcluded, normal
+from .predicate import Always, And, BoxTest, Compare, GeometryFiltered, GeometryTest, In, IsNotNull, IsNull, Not, Or, Predicate, Quantified, RowsExcluded, normal
 from .temporal import ntz_micros
 
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOATING = (T.FloatType, T.DoubleType)
+MAX_LISTED = 1_000
 
 
 @dataclass(frozen=True)
@@ -221,6 +223,17 @@ def _quantified(kind: str, part: Predicate, schema: T.StructType) -> Column:
     return F.size(F.filter(items, test)) == 1
 
 
+def _absent(where: Column, positions: np.ndarray) -> Column:
+    """Positions not among many sorted ones, which would not fit a plan."""
+
+    @F.pandas_udf(T.BooleanType())
+    def absent(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series(positions[np.minimum(np.searchsorted(positions, at), len(positions) - 1)] != at)
+
+    return absent(where)
+
+
 def compiled(p: Predicate, schema: T.StructType, coverings: dict[str, str] | None = None, position: Column | None = None) -> Column:
     """One Spark column for a predicate over a schema; every name and literal is checked here.
     `coverings` maps geometry columns to struct columns xmin, ymin, xmax, ymax that hold their
@@ -257,9 +270,19 @@ def compiled(p: Predicate, schema: T.StructType, coverings: dict[str, str] | Non
                 if need and c in coverings:
                     test = geometry.covering(coverings[c], *need) & test
                 return test
+            case GeometryFiltered(test):
+                from .hooks import geometry_gate
+
+                leaf = resolve(schema, test.column)
+                if not isinstance(leaf.type, T.BinaryType):
+                    raise SchemaError(f"{test.column!r} is not a geometry column")
+                gate, need = geometry_gate(leaf.value, test), test.box()
+                return geometry.covering(coverings[test.column], *need) & gate if need and test.column in coverings else gate
             case RowsExcluded(positions):
                 where = position if position is not None else F.col("_metadata.row_index")
-                return ~where.isin(sorted(positions)) if positions else F.lit(True)
+                if len(positions) <= MAX_LISTED:
+                    return ~where.isin(sorted(positions)) if positions else F.lit(True)
+                return _absent(where, np.array(sorted(positions), np.int64))
             case _:
                 leaf = resolve(schema, q.column)
                 if leaf.repeated:

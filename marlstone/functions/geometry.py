@@ -140,22 +140,106 @@ def box_of(wkb: bytes) -> tuple[float, float, float, float] | None:
     return (min(p[0] for p in ps), min(p[1] for p in ps), max(p[0] for p in ps), max(p[1] for p in ps)) if ps else None
 
 
+#: first bytes of little-endian geometries that are one run of plain coordinates, and where it begins
+RUNS = {b"\1\1\0\0\0": 5, b"\1\2\0\0\0": 9, b"\1\3\0\0\0\1\0\0\0": 13}
+
+
+def _run(v: bytes | None) -> int:
+    """Where the coordinates of a plain point, line or polygon of one ring begin; 0 for others."""
+    if v is None:
+        return 0
+    at = RUNS.get(v[:5]) or RUNS.get(v[:9]) or 0
+    size = len(v) - at
+    if not at or size < 16 or size != (16 if at == 5 else 16 * int.from_bytes(v[at - 4 : at], "little")):
+        return 0
+    return at
+
+
 def _boxes(values) -> np.ndarray:
-    """n x 4; rows of null or empty geometries are NaN."""
+    """n x 4; rows of null or empty geometries are NaN. The coordinates of all plain geometries of a
+    batch are laid side by side and their extremes taken at once; others are read ring by ring."""
     out = np.full((len(values), 4), np.nan)
-    plain = np.array([v is not None and len(v) == 21 and v[:5] == b"\1\1\0\0\0" for v in values], bool)
-    if plain.any():
-        raw = np.frombuffer(b"".join(bytes(values[i]) for i in np.flatnonzero(plain)), np.uint8).reshape(-1, 21)
-        xy = raw[:, 5:].copy().view("<f8")
-        out[plain] = np.hstack([xy, xy])
-    for i in np.flatnonzero(~plain):
+    values = [v if v is None or isinstance(v, bytes) else bytes(v) for v in values]
+    begin = np.fromiter((_run(v) for v in values), np.int64, len(values))
+    plain = np.flatnonzero(begin)
+    if len(plain):
+        xy = np.frombuffer(b"".join(values[i][begin[i] :] for i in plain), "<f8").reshape(-1, 2)
+        count = np.fromiter(((len(values[i]) - begin[i]) // 16 for i in plain), np.int64, len(plain))
+        starts = np.cumsum(count) - count
+        whole = ~np.isnan(xy).any(axis=1)
+        low, high = np.where(whole[:, None], xy, np.inf), np.where(whole[:, None], xy, -np.inf)
+        out[plain] = np.hstack([np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)])
+        out[np.isinf(out[:, 0]) & (out[:, 0] > out[:, 2])] = np.nan
+    for i in np.flatnonzero(begin == 0):
         if values[i] is not None:
-            box = box_of(values[i])
-            if box:
+            box = _walked(values[i])
+            if box is not None:
                 out[i] = box
     return out
 
 
+def _walked(b: bytes) -> tuple[float, float, float, float] | None:
+    """The envelope of any geometry, a ring or line at a time."""
+    low, high = np.full(2, np.inf), np.full(2, -np.inf)
+
+    def take(at: int, n: int, e: str, dims: int) -> int:
+        end = at + 8 * n * dims
+        if end > len(b):
+            raise FormatError("a geometry is cut short")
+        xy = np.frombuffer(b, e + "f8", n * dims, at).reshape(n, dims)[:, :2]
+        xy = xy[~np.isnan(xy).any(axis=1)]
+        if len(xy):
+            np.minimum(low, xy.min(axis=0), out=low)
+            np.maximum(high, xy.max(axis=0), out=high)
+        return end
+
+    def walk(at: int) -> int:
+        e = "<" if b[at] == 1 else ">"
+        code = struct.unpack_from(e + "I", b, at + 1)[0]
+        at += 9 if code & 0x20000000 else 5
+        flags, code = code & 0xC0000000, code & 0x1FFFFFFF
+        dims = 2 + (bool(flags & 0x80000000) or code // 1000 in (1, 3)) + (bool(flags & 0x40000000) or code // 1000 in (2, 3))
+        code %= 1000
+        if code == 1:
+            return take(at, 1, e, dims)
+        if code not in (2, 3, 4, 5, 6, 7):
+            raise FormatError(f"geometry type {code} is not supported")
+        n = struct.unpack_from(e + "I", b, at)[0]
+        at += 4
+        if code == 2:
+            return take(at, n, e, dims)
+        for _ in range(n):
+            at = take(at + 4, struct.unpack_from(e + "I", b, at)[0], e, dims) if code == 3 else walk(at)
+        return at
+
+    try:
+        walk(0)
+    except (struct.error, IndexError) as x:
+        raise FormatError("a geometry is cut short") from x
+    return (*low, *high) if low[0] <= high[0] else None
+
+
+def _where(xy: np.ndarray, s: Shape) -> np.ndarray:
+    """`locate` for many points against polygons: 1 inside, 0 on the edge, -1 outside."""
+    best = np.full(len(xy), -1)
+    x, y = xy[:, 0], xy[:, 1]
+    for rings in s.polygons:
+        inside, edge = np.zeros(len(xy), bool), np.zeros(len(xy), bool)
+        for a, b in (seg for r in rings for seg in _segments(r)):
+            side = (b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0])
+            near = np.abs(side) <= 1e-12 * (1 + abs(a[0]) + abs(b[0]) + abs(a[1]) + abs(b[1])) * max(1e-300, math.dist(a, b), 1e-3)
+            edge |= near & (min(a[0], b[0]) - 1e-12 <= x) & (x <= max(a[0], b[0]) + 1e-12) & (min(a[1], b[1]) - 1e-12 <= y) & (y <= max(a[1], b[1]) + 1e-12)
+            if a[1] != b[1]:
+                cross = (a[1] > y) != (b[1] > y)
+                inside ^= cross & (a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) > x)
+        best = np.maximum(best, np.where(edge, 0, np.where(inside, 1, -1)))
+    return best
+
+
+#: what a point's place against polygons says of a relation
+POINT_IN = {"intersects": lambda w: w >= 0, "disjoint": lambda w: w < 0, "within": lambda w: w == 1, "covered_by": lambda w: w >= 0, "touches": lambda w: w == 0, "contains": lambda w: w > 1, "covers": lambda w: w > 1, "overlaps": lambda w: w > 1, "crosses": lambda w: w > 1, "equals": lambda w: w > 1}
+
+
 @F.pandas_udf(BOX)
 def envelope(wkb: pd.Series) -> pd.DataFrame:
     """2D envelope of each geometry; all null for null and empty ones."""
@@ -163,6 +247,17 @@ def envelope(wkb: pd.Series) -> pd.DataFrame:
     return got.astype(object).where(got.notna(), None)
 
 
+def boxes_related(e: np.ndarray, relation: str, b) -> np.ndarray:
+    """`box_test` for an array of envelopes; rows of NaN match nothing."""
+    with np.errstate(invalid="ignore"):
+        return {
+            "intersects": (e[:, 0] <= b.xmax) & (e[:, 2] >= b.xmin) & (e[:, 1] <= b.ymax) & (e[:, 3] >= b.ymin),
+            "contains": (e[:, 0] <= b.xmin) & (e[:, 2] >= b.xmax) & (e[:, 1] <= b.ymin) & (e[:, 3] >= b.ymax),
+            "covered_by": (e[:, 0] >= b.xmin) & (e[:, 2] <= b.xmax) & (e[:, 1] >= b.ymin) & (e[:, 3] <= b.ymax),
+            "equals": (e[:, 0] == b.xmin) & (e[:, 2] == b.xmax) & (e[:, 1] == b.ymin) & (e[:, 3] == b.ymax),
+        }[relation]
+
+
 def box_test(e: Column, relation: str, b) -> Column:
     """An envelope against a box; a null envelope matches nothing."""
     x0, y0, x1, y1 = (e.getField(n) for n in ("xmin", "ymin", "xmax", "ymax"))
@@ -409,21 +504,36 @@ def relation(column: Column, name: str, wkb: bytes, distance_: float = 0.0) -> C
     only geometries that could be related are decoded."""
     need = pruning(name, wkb, distance_)
     wkb = bytes(wkb)
+    rectangle_ = _as_rectangle(wkb)
 
     @F.pandas_udf(T.BooleanType())
     def test(values: pd.Series) -> pd.Series:
-        values, q = list(values), _query(wkb)
+        values, q = [v if v is None or isinstance(v, bytes) else bytes(v) for v in values], _query(wkb)
         e = _boxes(values)
-        could = np.ones(len(values), bool)
-        if need:
-            rel, b = need
+        could = boxes_related(e, *need) if need else np.ones(len(values), bool)
+        done, out = np.zeros(len(values), bool), np.zeros(len(values), bool)
+        if q.polygons and not q.lines and not q.points and name in POINT_IN:
+            point = np.fromiter((v is not None and len(v) == 21 and v[:5] == b"\1\1\0\0\0" for v in values), bool, len(values))
+            done = point & could & ~np.isnan(e[:, 0])
+            out[done] = POINT_IN[name](_where(e[done, :2], q))
+        if rectangle_ and name in ("intersects", "covered_by"):
+            # a geometry whose envelope is within the rectangle is covered by it
             with np.errstate(invalid="ignore"):
-                could = {
-                    "intersects": (e[:, 0] <= b.xmax) & (e[:, 2] >= b.xmin) & (e[:, 1] <= b.ymax) & (e[:, 3] >= b.ymin),
-                    "contains": (e[:, 0] <= b.xmin) & (e[:, 2] >= b.xmax) & (e[:, 1] <= b.ymin) & (e[:, 3] >= b.ymax),
-                    "covered_by": (e[:, 0] >= b.xmin) & (e[:, 2] <= b.xmax) & (e[:, 1] >= b.ymin) & (e[:, 3] <= b.ymax),
-                    "equals": (e[:, 0] == b.xmin) & (e[:, 2] == b.xmax) & (e[:, 1] == b.ymin) & (e[:, 3] == b.ymax),
-                }[rel]
-        return pd.Series([bool(c) and v is not None and related(read(v), q, name, distance_) for c, v in zip(could, values)])
+                sure = ~done & (e[:, 0] >= rectangle_[0]) & (e[:, 2] <= rectangle_[2]) & (e[:, 1] >= rectangle_[1]) & (e[:, 3] <= rectangle_[3])
+            out[sure] = done[sure] = True
+        for i in np.flatnonzero(could & ~done):
+            out[i] = values[i] is not None and related(read(values[i]), q, name, distance_)
+        return pd.Series(out)
 
     return F.coalesce(test(column), F.lit(False))
+
+
+def _as_rectangle(wkb: bytes) -> tuple[float, float, float, float] | None:
+    """The box of a query that is an axis-parallel rectangle with an inside."""
+    s = read(wkb)
+    if s.points or s.lines or len(s.polygons) != 1 or len(s.polygons[0]) != 1:
+        return None
+    ring, box = s.polygons[0][0], box_of(wkb)
+    corners = {(x, y) for x in (box[0], box[2]) for y in (box[1], box[3])}
+    square = len(ring) == 5 and set(ring) == corners and len(corners) == 4 and all((a[0] == b[0]) != (a[1] == b[1]) for a, b in _segments(ring))
+    return box if square else None

@@ -102,6 +102,17 @@ class GeometryTest(Predicate):
     distance: float = 0.0
 
 
+@dataclass(frozen=True)
+class GeometryFiltered(Predicate):
+    """A caller's own exact test of a geometry column (see hooks.GeometryFilter)."""
+
+    filter: Any
+
+    @property
+    def column(self) -> str:
+        return self.filter.column
+
+
 @dataclass(frozen=True)
 class RowsExcluded(Predicate):
     """All rows but those at the given positions of their file."""
@@ -190,7 +201,7 @@ def renamed(p: Predicate, names: dict[str, str]) -> Predicate:
             return Not(renamed(part, names))
         case Quantified(kind, part):
             return Quantified(kind, renamed(part, names))
-        case Always() | RowsExcluded():
+        case Always() | RowsExcluded() | GeometryFiltered():
             return p
         case _:
             head, dot, rest = p.column.partition(".")

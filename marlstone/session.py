@@ -9,6 +9,7 @@ import zipfile
 from pyspark.sql import SparkSession
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
@@ -20,6 +21,8 @@ def ship(spark: SparkSession) -> SparkSession:
     # documents would be the largest thing in a worker's memory
     if spark.conf.get(BATCH_ROWS) == "10000":
         spark.conf.set(BATCH_ROWS, "1000")
+    if spark.conf.get(BATCH_BYTES) in ("67108864b", "64m"):
+        spark.conf.set(BATCH_BYTES, "16m")
     if sc.applicationId not in _shipped:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         path = os.path.join(tempfile.mkdtemp(prefix="marlstone-"), "marlstone.zip")
@@ -32,3 +35,15 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         _shipped.add(sc.applicationId)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the one the session names, or in local mode, where it
+    names none, a folder of this machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
+        spark.sparkContext.setCheckpointDir(where)
+    return where.rstrip("/")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..errors import FormatError
+from ..errors import ContainerFormatError
 from ..session import ship
 
 MAGIC = b"Obj\x01"
@@ -38,7 +38,7 @@ def _snappy(data: bytes) -> bytes:
     size, _ = _varint(body, 0)
     out = pa.decompress(body, decompressed_size=size, codec="snappy", asbytes=True)
     if zlib.crc32(out) != crc:
-        raise FormatError("the checksum of a snappy block is wrong")
+        raise ContainerFormatError("the checksum of a snappy block is wrong")
     return out
 
 
@@ -120,9 +120,9 @@ class _Schemas:
                 for b in r:
                     if self._fits(w, b, exact):
                         return self.pair(w, b)
-            raise FormatError(f"no branch of the reader's union takes {wk}")
+            raise ContainerFormatError(f"no branch of the reader's union takes {wk}")
         if not self._fits(w, r, False):
-            raise FormatError(f"{wk} cannot be read as {rk}")
+            raise ContainerFormatError(f"{wk} cannot be read as {rk}")
         if wk == "record":
             key = (w["name"], r["name"])
             if key not in self.made:
@@ -142,7 +142,7 @@ class _Schemas:
             def symbol(f):
                 s = symbols[_long(f)]
                 if s not in known and default is None:
-                    raise FormatError(f"symbol {s!r} is unknown to the reader")
+                    raise ContainerFormatError(f"symbol {s!r} is unknown to the reader")
                 return s if s in known else default
 
             return symbol
@@ -164,11 +164,11 @@ class _Schemas:
         """A union's branch fails only when a value takes it."""
         try:
             return self.pair(w, r)
-        except FormatError as e:
+        except ContainerFormatError as e:
             said = str(e)
 
             def fail(_):
-                raise FormatError(said)
+                raise ContainerFormatError(said)
 
             return fail
 
@@ -201,7 +201,7 @@ class _Schemas:
         for g in r["fields"]:
             if g["name"] not in seen:
                 if "default" not in g:
-                    raise FormatError(f"field {g['name']!r} is not in the file and has no default")
+                    raise ContainerFormatError(f"field {g['name']!r} is not in the file and has no default")
                 fixed[g["name"]] = g["default"]
 
         def record(f):
@@ -238,7 +238,7 @@ def _long(f) -> int:
     while True:
         c = f.read(1)
         if not c:
-            raise FormatError("the file ends within a value")
+            raise ContainerFormatError("the file ends within a value")
         out |= (c[0] & 127) << shift
         shift += 7
         if c[0] < 128:
@@ -249,7 +249,7 @@ def _bytes(f) -> bytes:
     n = _long(f)
     out = f.read(n)
     if n < 0 or len(out) != n:
-        raise FormatError("the file ends within a value")
+        raise ContainerFormatError("the file ends within a value")
     return out
 
 
@@ -279,7 +279,7 @@ READ: dict[str, Callable] = {
 
 def header(f) -> tuple[dict[str, bytes], bytes]:
     if f.read(4) != MAGIC:
-        raise FormatError("this is not an Avro container file")
+        raise ContainerFormatError("this is not an Avro container file")
     meta = {_text(f): _bytes(f) for _ in _counted(f)}
     return meta, f.read(16)
 
@@ -291,7 +291,7 @@ def records(data: bytes, reader: Any = None) -> Iterator[Any]:
     writer = json.loads(meta["avro.schema"])
     codec = meta.get("avro.codec", b"null").decode()
     if codec not in UNPACK:
-        raise FormatError(f"codec {codec!r} is unknown")
+        raise ContainerFormatError(f"codec {codec!r} is unknown")
     decode = _Schemas(writer, writer if reader is None else reader).root
     while f.tell() < len(data):
         n = _long(f)
@@ -299,7 +299,7 @@ def records(data: bytes, reader: Any = None) -> Iterator[Any]:
         for _ in range(n):
             yield decode(block)
         if f.read(16) != sync:
-            raise FormatError("a block's sync marker is wrong")
+            raise ContainerFormatError("a block's sync marker is wrong")
 
 
 # --- writing ----------------------------------------------------------------------------------
@@ -342,7 +342,7 @@ def _put(out: bytearray, v: Any, s: Any, names: dict[str, Any]) -> None:
         case "union":
             at = next((i for i, b in enumerate(s) if _branch(v, b, names)), None)
             if at is None:
-                raise FormatError(f"no branch of the union takes {v!r}")
+                raise ContainerFormatError(f"no branch of the union takes {v!r}")
             _put_long(out, at)
             _put(out, v, s[at], names)
         case "boolean":
@@ -372,7 +372,7 @@ def _put(out: bytearray, v: Any, s: Any, names: dict[str, Any]) -> None:
         case "record":
             for g in s["fields"]:
                 if g["name"] not in v and "default" not in g:
-                    raise FormatError(f"field {g['name']!r} has no value")
+                    raise ContainerFormatError(f"field {g['name']!r} has no value")
                 _put(out, v.get(g["name"], g.get("default")), g["type"], names)
 
 
@@ -416,7 +416,7 @@ def spark_type(schema: Any, names: dict[str, Any] | None = None) -> T.DataType:
         case "union":
             rest = [b for b in s if b != "null"]
             if len(rest) != 1:
-                raise FormatError("a union of several types is no column")
+                raise ContainerFormatError("a union of several types is no column")
             return spark_type(rest[0], names)
         case "record":
             return T.StructType([T.StructField(f["name"], spark_type(f["type"], names)) for f in s["fields"]])

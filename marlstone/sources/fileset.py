@@ -6,14 +6,22 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
+from typing import Any
 from urllib.parse import unquote
 
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..errors import SchemaError
+from ..errors import CapabilityError, SchemaError
+from ..functions.compiling import compiled
+from ..functions.folding import folded
+from ..functions.predicate import Always, Predicate
+from ..plans.counting import bounds, count
 from ..plans.explain import footers
+from ..plans.verdicts import Stats, stats_of, verdict
 
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
@@ -68,25 +76,106 @@ def spelled_type(values: list[str]) -> str:
     return kinds.pop() if len(kinds) == 1 else "string"
 
 
+@dataclass(frozen=True)
+class Capabilities:
+    """What a dataset offers: deletes merged on read, how it is partitioned, whose statistics prune."""
+
+    merge_on_read: bool = False
+    partitions: str = "none"  # none, hive or identity
+    statistics: str = "footers"  # footers, partitions, manifests or items
+
+    def require(self, **wanted: bool | str) -> Capabilities:
+        for name, value in wanted.items():
+            if getattr(self, name) != value:
+                raise CapabilityError(f"the dataset has {name} {getattr(self, name)!r}, not {value!r}")
+        return self
+
+
 @dataclass(frozen=True)
 class Fileset:
-    """Files read as one table. `partitions` maps path-only keys to types."""
+    """Files read as one table. `partitions` maps path-only keys to types, `own` keys that are columns
+    of the files, whose paths only tell which files to leave out."""
 
     spark: SparkSession
     name: str
     files: tuple[str, ...]
     partitions: tuple[tuple[str, str], ...] = ()
-
-    def frame(self) -> DataFrame:
-        df = self.spark.read.parquet(*self.files)
-        if not self.partitions:
-            return df
-        path = F.col("_metadata.file_path")
-        extra = []
-        for key, kind in self.partitions:
-            raw = F.regexp_extract(path, f"/{re.escape(key)}=([^/]+)/", 1)
-            extra.append(F.url_decode(raw).cast(kind).alias(key))
-        return df.select(*df.columns, *extra)
+    own: tuple[tuple[str, str], ...] = ()
+
+    @property
+    def capabilities(self) -> Capabilities:
+        keyed = self.partitions or self.own
+        return Capabilities(False, "hive" if keyed else "none", "partitions" if keyed else "footers")
+
+    def constants(self, file: str) -> dict[str, Any]:
+        """Typed values of path-only keys."""
+        told = partition_values(file)
+        return {k: typed(told[k], kind) for k, kind in self.partitions if k in told}
+
+    def statistics(self, file: str) -> dict[str, Stats]:
+        """What the path tells of the file's own columns: it takes the place of footer statistics."""
+        told = partition_values(file)
+        return {k: stats_of(v, v, 0) for k, kind in self.own if k in told and (v := typed(told[k], kind)) is not None}
+
+    def surviving(self, predicate: Predicate | None) -> list[tuple[str, Predicate]]:
+        """Files that can hold matching rows, each with what is left of the predicate."""
+        out = []
+        for f in self.files:
+            left = folded(predicate if predicate is not None else Always(True), self.constants(f))
+            if left != Always(False) and verdict(left, self.statistics(f), 1)[0] != "none":
+                out.append((f, left))
+        return out
+
+    def frame(self, predicate: Predicate | None = None) -> DataFrame:
+        """Rows, or those that match; files whose path excludes the predicate are not read."""
+        files = list(self.files) if predicate is None else [f for f, _ in self.surviving(predicate)]
+        df = self.spark.read.parquet(*(files or self.files[:1]))
+        if self.partitions:
+            path = F.col("_metadata.file_path")
+            extra = []
+            for key, kind in self.partitions:
+                raw = F.regexp_extract(path, f"/{re.escape(key)}=([^/]+)/", 1)
+                extra.append(F.url_decode(raw).cast(kind).alias(key))
+            df = df.select(*df.columns, *extra)
+        if predicate is not None:
+            df = df.where(compiled(predicate, df.schema))
+        return df if files else df.where("false")
+
+    def count(self, predicate: Predicate | None = None) -> DataFrame:
+        """One row `n`: counted from footers where paths and footers decide, file by file."""
+        by: dict[Predicate, list[str]] = {}
+        for f, left in self.surviving(predicate):
+            by.setdefault(left, []).append(f)
+        parts = [count(self.spark, files, left) for left, files in by.items()]
+        if not parts:
+            return self.spark.createDataFrame([(0,)], "n long")
+        return reduce(DataFrame.unionByName, parts).agg(F.sum("n").cast("long").alias("n"))
+
+    def bounds(self, geometry: str, predicate: Predicate | None = None, coverings: dict[str, str] | None = None) -> DataFrame:
+        """One row xmin, ymin, xmax, ymax over matching rows; nulls if there are none."""
+        by: dict[Predicate, list[str]] = {}
+        for f, left in self.surviving(predicate):
+            by.setdefault(left, []).append(f)
+        parts = [bounds(self.spark, files, left, geometry, coverings) for left, files in by.items()]
+        if not parts:
+            return self.spark.createDataFrame([(None,) * 4], "xmin double, ymin double, xmax double, ymax double")
+        return reduce(DataFrame.unionByName, parts).agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))
+
+
+def typed(text: str, kind: str) -> Any:
+    """A key's value by its type; None where the text is not of it."""
+    try:
+        if kind in ("bigint", "int", "smallint", "tinyint"):
+            return int(text)
+        if kind in ("double", "float"):
+            return float(text)
+        if kind == "date":
+            return date.fromisoformat(text)
+        if kind == "boolean":
+            return {"true": True, "false": False}.get(text)
+    except ValueError:
+        return None
+    return text if kind == "string" else None
 
 
 def _schema(spark: SparkSession, file: str):
@@ -108,14 +197,18 @@ def open_fileset(spark: SparkSession, root: str, name: str | None = None, hive:
         for f in files:
             for k, v in partition_values(f[f.index(root.rstrip("/").split("://")[-1]) :] if root.split("://")[-1] in f else f).items():
                 keys.setdefault(k, []).append(v)
-    fixed = []
+    fixed, own = [], []
     for k, vs in keys.items():
         if k in first.names:
+            if not isinstance(first[k].dataType, T.AtomicType):
+                raise SchemaError(f"partition {k!r} is a group or a list in the files")
+            if NULL_PARTITION not in vs:
+                own.append((k, first[k].dataType.simpleString()))
             continue  # a file's own column keeps its values
         if NULL_PARTITION in vs:
             raise SchemaError(f"partition {k!r} has null values and no column")
         fixed.append((k, spelled_type(vs)))
-    return Fileset(spark, name or root.rstrip("/").split("/")[-1], tuple(files), tuple(fixed))
+    return Fileset(spark, name or root.rstrip("/").split("/")[-1], tuple(files), tuple(fixed), tuple(own))
 
 
 def open_per_file(spark: SparkSession, root: str) -> dict[str, Fileset]:

@@ -201,3 +201,22 @@ def estimated_bounds(spark: SparkSession, paths: list[str]) -> list | None:
         return None
     doc = joined(docs)
     return doc["columns"][doc["primary_column"]]["bbox"]
+
+
+def check_crs(doc: dict | None, column: str, crs: Any) -> None:
+    """A query geometry in another reference system than the column's is an error: nothing is
+    reprojected. A column without one is in degrees; a null one is unknown and takes any."""
+    if doc is None or column not in doc["columns"]:
+        raise SchemaError(f"{column!r} is not a geometry column")
+    have = doc["columns"][column].get("crs", "OGC:CRS84")
+    if have is None or crs is None:
+        return
+    if _code(have) != _code(crs):
+        raise SchemaError(f"{column!r} is in {_code(have)}, the query in {_code(crs)}")
+
+
+def _code(crs: Any) -> str:
+    if isinstance(crs, dict):
+        given = crs.get("id", {})
+        crs = f"{given['authority']}:{given['code']}" if given else json.dumps(crs, sort_keys=True)
+    return "OGC:CRS84" if crs in DEGREES else crs

@@ -14,7 +14,7 @@ from urllib.parse import urljoin
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import FormatError
+from ..errors import CatalogFormatError
 from ..functions.predicate import Box
 from ..session import ship
 from .tables import _read
@@ -74,7 +74,7 @@ class Collection:
         if not files:
             every = self.files()
             if not every:
-                raise FormatError(f"collection {self.name!r} has no Parquet files")
+                raise CatalogFormatError(f"collection {self.name!r} has no Parquet files")
             return self.spark.read.parquet(every[0]).where("false")
         return self.spark.read.parquet(*files)
 
@@ -89,7 +89,7 @@ def catalog(spark: SparkSession, path: str) -> dict[str, Collection]:
         try:
             return json.loads(_read(spark, at))
         except ValueError as e:
-            raise FormatError(f"{at} is not JSON") from e
+            raise CatalogFormatError(f"{at} is not JSON") from e
 
     def item(doc: dict, at: str) -> Item:
         return Item(doc["id"], _box(doc.get("bbox")), _files(doc.get("assets", {}), at))
@@ -101,7 +101,7 @@ def catalog(spark: SparkSession, path: str) -> dict[str, Collection]:
         doc = load(at)
         kind = doc.get("type")
         if kind not in ("Catalog", "Collection"):
-            raise FormatError(f"{at} is neither catalog nor collection")
+            raise CatalogFormatError(f"{at} is neither catalog nor collection")
         if kind == "Collection":
             inside = doc["id"]
             extent = (doc.get("extent", {}).get("spatial", {}).get("bbox") or [None])[0]

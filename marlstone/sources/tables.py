@@ -28,12 +28,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import FormatError, SchemaError
+from ..errors import FormatError, SchemaError, TableFormatError
 from ..functions.compiling import compiled
-from ..functions.predicate import Predicate, normal
-from ..plans.explain import footers, verdict
+from ..functions.folding import folded
+from ..functions.predicate import Always, Predicate, normal
+from ..plans.explain import footer_rows, footers
+from ..plans.verdicts import Stats, stats_of, verdict
 from ..session import ship
 from . import avro, deletion
+from .fileset import Capabilities
 
 LIST = {
     "type": "record",
@@ -114,8 +117,9 @@ def bound(data: bytes, kind: Any) -> Any:
     if kind in ("float", "double"):
         v = struct.unpack("<f" if len(data) == 4 else "<d", data)[0]
         return None if v != v else v
-    if kind == "timestamp":
-        return datetime(1970, 1, 1) + timedelta(microseconds=int.from_bytes(data, "little", signed=True))
+    if kind in ("timestamp", "timestamptz"):
+        zone = timezone.utc if kind == "timestamptz" else None
+        return datetime(1970, 1, 1, tzinfo=zone) + timedelta(microseconds=int.from_bytes(data, "little", signed=True))
     if kind == "string":
         return data.decode(errors="ignore")
     if kind == "boolean":
@@ -167,7 +171,7 @@ def metadata_file(spark: SparkSession, root: str) -> str:
                 return f"{root}/metadata/{name}"
     found = [(int(m[1]), n) for n in names if (m := re.match(r"v?(\d+)(?:-[^/]*)?\.metadata\.json$", n))]
     if not found:
-        raise FormatError(f"there is no table metadata in {root}")
+        raise TableFormatError(f"there is no table metadata in {root}")
     return f"{root}/metadata/{max(found)[1]}"
 
 
@@ -179,11 +183,11 @@ class Table:
         self.meta = json.loads(_read(spark, metadata or metadata_file(spark, self.root)))
         self.version = self.meta["format-version"]
         if self.version not in (1, 2, 3):
-            raise FormatError(f"format version {self.version} is unknown")
+            raise TableFormatError(f"format version {self.version} is unknown")
         wanted = snapshot_id if snapshot_id is not None else self.meta.get("current-snapshot-id")
         self.snapshot = next((s for s in self.meta.get("snapshots", ()) if s["snapshot-id"] == wanted), None)
         if snapshot_id is not None and self.snapshot is None:
-            raise FormatError(f"snapshot {snapshot_id} is not in the table")
+            raise TableFormatError(f"snapshot {snapshot_id} is not in the table")
         schemas = self.meta.get("schemas") or [self.meta["schema"]]
         at = (self.snapshot or {}).get("schema-id") if snapshot_id is not None else None
         at = self.meta.get("current-schema-id", 0) if at is None else at
@@ -262,21 +266,62 @@ class Table:
                 out[p["source-id"]] = v
         return out
 
-    def _stats(self, e: Entry) -> dict:
+    def _stats(self, e: Entry) -> dict[str, Stats]:
         out = {}
         for i, f in self.fields.items():
             if i in e.lower and i in e.upper:
                 lo, hi = bound(e.lower[i], f["type"]), bound(e.upper[i], f["type"])
                 if lo is not None and hi is not None:
-                    out[f["name"]] = (lo, hi, None)
+                    out[f["name"]] = stats_of(lo, hi, None)
         return out
 
     def pruned(self, files: list[Entry], predicate: Predicate | None) -> list[Entry]:
-        """Data files whose bounds leave the predicate a chance."""
+        """Data files whose partition values and bounds leave the predicate a chance."""
         if predicate is None:
             return files
-        p = normal(predicate)
-        return [e for e in files if verdict(p, self._stats(e), e.rows)[0] != "none"]
+        p, out = normal(predicate), []
+        for e in files:
+            constants = {self.fields[i]["name"]: v for i, v in e.constants.items() if not isinstance(v, bytes)}
+            if verdict(folded(p, constants), self._stats(e), e.rows)[0] != "none":
+                out.append(e)
+        return out
+
+    def files(self, predicate: Predicate | None = None) -> DataFrame:
+        """Files of the snapshot, or those that a predicate leaves: path, content, rows, sequence."""
+        every = self.entries()
+        data = self.pruned([e for e in every if e.content == 0], predicate)
+        rows = [(e.path, e.content, e.rows, e.sequence) for e in [*data, *[e for e in every if e.content]]]
+        return self.spark.createDataFrame(rows, "path string, content int, rows long, sequence long")
+
+    @property
+    def capabilities(self) -> Capabilities:
+        keyed = any(p["transform"] == "identity" for fields in self.specs.values() for p in fields)
+        return Capabilities(True, "identity" if keyed else "none", "manifests")
+
+    def count(self, predicate: Predicate | None = None) -> DataFrame:
+        """One row `n`. Without deletes, files whose bounds or partition values decide are counted by
+        their manifest entry and not opened."""
+        every = self.entries()
+        if any(e.content for e in every):
+            return self.frame(predicate).agg(F.count(F.lit(1)).alias("n"))
+        p = normal(predicate) if predicate is not None else Always(True)
+        known, left = 0, []
+        for e in self.pruned([e for e in every if e.content == 0], p):
+            constants = {self.fields[i]["name"]: v for i, v in e.constants.items() if not isinstance(v, bytes)}
+            if folded(p, constants) == Always(True):
+                known += e.rows
+            else:
+                left.append(e)
+        if not left:
+            return self.spark.createDataFrame([(known,)], "n long")
+        return self._present(left, [], False).where(compiled(p, self.spark_schema())).agg((F.count(F.lit(1)) + F.lit(known)).alias("n"))
+
+    def spark_schema(self) -> T.StructType:
+        return T.StructType([_spark_field(f["id"], f["name"], f["type"], False) for f in self.schema["fields"]])
+
+    def _present(self, data: list[Entry], deletes: list[Entry], lineage: bool) -> DataFrame:
+        """Rows of data files under the table's names."""
+        return self._rows(data, deletes, lineage).select(*[f"`{f['name']}`" for f in self.schema["fields"]])
 
     # --- rows -------------------------------------------------------------------------------
 
@@ -343,7 +388,28 @@ class Table:
             out.setdefault(key, []).append(path)
         return [(*k, v) for k, v in out.items()]
 
+    def _guard(self, paths: list[str]) -> None:
+        """Members of groups are read by id, so a file whose groups have other ids than the table's
+        would give nulls: that is an error."""
+        want = {i: _members(f["type"]) for i, f in self.fields.items() if _members(f["type"])}
+        if not want:
+            return
+
+        def differing(path, meta):
+            for f in meta.schema.to_arrow_schema():
+                i = _field_id(f)
+                if i in want and pa.types.is_struct(f.type):
+                    for child in f.type:
+                        if _field_id(child) not in want[i]:
+                            yield path, f"{f.name}.{child.name}"
+
+        bad = footer_rows(self.spark, paths, differing, "path string, member string").first()
+        if bad is not None:
+            raise TableFormatError(f"member {bad['member']!r} of {bad['path']} has no id of the table's")
+
     def _rows(self, data: list[Entry], deletes: list[Entry], lineage: bool) -> DataFrame:
+        if not self.mapping:
+            self._guard([e.path for e in data])
         frames = [self._scan(paths, lineage, what) if how == "ids" else self._by_name(paths, self.mapping, lineage) for how, what, paths in self._groups(data)]
         rows = frames[0]
         for f in frames[1:]:
@@ -426,6 +492,16 @@ class Table:
         return on
 
 
+def _members(kind: Any) -> set[int]:
+    """Ids of a group's members that any schema of the table could give."""
+    return {f["id"] for f in kind["fields"]} if isinstance(kind, dict) and kind["type"] == "struct" else set()
+
+
+def _field_id(f: pa.Field) -> int | None:
+    held = (f.metadata or {}).get(b"PARQUET:field_id")
+    return int(held) if held is not None else None
+
+
 def _plain(path: str) -> str:
     """A path without its scheme."""
     return re.sub("^[A-Za-z0-9]+:/+", "/", path)

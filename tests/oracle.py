@@ -24,4 +24,4 @@ def same_rows(df, sql: str, sf_dir: str) -> None:
     assert names == sorted(want.columns)
     got = sorted(repr([cell(r[c]) for c in names]) for r in df.collect())
     at = [want.columns.index(c) for c in names]
-    assert got == sorted(repr([cell(r[i]) for i in at]) for r in want.fetchall())
+    assert got == sorted(repr([cell(r[i]) for i in at]) for r in want.fetchall()), sql
