@@ -13,6 +13,7 @@ import struct
 from decimal import Decimal
 from uuid import UUID
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ def text(value: bytes, metadata: bytes) -> str:
         if kind in NUMBERS:
             code, size = NUMBERS[kind]
             x = struct.unpack_from(code, value, at)[0]
-            return repr(float(f"{x:.9g}")) if kind == 14 and math.isfinite(x) else number(x)
+            return str(np.float32(x)) if kind == 14 and math.isfinite(x) else number(x)
         if kind in DECIMALS:
             unscaled = int.from_bytes(value[at + 1 : at + 1 + DECIMALS[kind]], "little", signed=True)
             return format(Decimal(unscaled).scaleb(-value[at]), "f")

@@ -20,15 +20,18 @@ def decimated(df: DataFrame, geometry: str, box: Box, width: int, height: int, k
     the winners too large to broadcast.
     """
     px, py = (box.xmax - box.xmin) / width, (box.ymax - box.ymin) / height
-    e = {s: F.col(f"_box.{s}") for s in ("xmin", "ymin", "xmax", "ymax")}
+    name = "box"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    e = {s: F.col(f"{name}.{s}") for s in ("xmin", "ymin", "xmax", "ymax")}
     inside = (e["xmin"] <= box.xmax) & (e["xmax"] >= box.xmin) & (e["ymin"] <= box.ymax) & (e["ymax"] >= box.ymin)
     small = (e["xmax"] - e["xmin"] < px) & (e["ymax"] - e["ymin"] < py)
     column = F.floor(((e["xmin"] + e["xmax"]) / 2 - box.xmin) / px)
     row = F.floor(((e["ymin"] + e["ymax"]) / 2 - box.ymin) / py)
     # the tests stand in the aggregate, not in a filter, which would work out boxes a second time
     fits = inside & small
-    boxed = df.select(F.col(key).alias("_key"), envelope(geometry).alias("_box"))
-    pixels = boxed.select(F.when(fits, F.col("_key")).alias("_key"), F.when(fits, column).alias("_x"), F.when(fits, row).alias("_y"))
-    winners = pixels.groupBy("_x", "_y").agg(F.min("_key").alias("_key")).select("_key")
-    large = df.withColumn("_box", envelope(geometry)).where(inside & ~small).select(*df.columns)
-    return large.unionByName(df.join(winners, F.col(key) == F.col("_key"), "left_semi"))
+    boxed = df.select(F.col(key).alias("key"), envelope(geometry).alias(name))
+    pixels = boxed.select(F.when(fits, F.col("key")).alias("key"), F.when(fits, column).alias("x"), F.when(fits, row).alias("y"))
+    winners = pixels.groupBy("x", "y").agg(F.min("key").alias(f"{name}key")).select(f"{name}key")
+    large = df.withColumn(name, envelope(geometry)).where(inside & ~small).select(*df.columns)
+    return large.unionByName(df.join(winners, F.col(key) == F.col(f"{name}key"), "left_semi"))

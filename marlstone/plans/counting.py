@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.predicate import Predicate, normal
 from .explain import footer_rows, group_verdict
 from .query import Query
+from .reading import read_files
 
 DECIDED = "path string, rows long, open boolean, box array<double>"
 
@@ -41,7 +42,7 @@ def count(spark: SparkSession, paths: list[str], p: Predicate) -> DataFrame:
     left = [r["path"] for r in told.where("open").select("path").toLocalIterator()]
     if not left:
         return spark.createDataFrame([(known,)], "n long")
-    return Query(p).count(spark.read.parquet(*left)).select((F.col("n") + F.lit(known)).cast("long").alias("n"))
+    return Query(p).count(read_files(spark, left)).select((F.col("n") + F.lit(known)).cast("long").alias("n"))
 
 
 def bounds(spark: SparkSession, paths: list[str], p: Predicate, geometry: str, coverings: dict[str, str] | None = None) -> DataFrame:
@@ -56,5 +57,5 @@ def bounds(spark: SparkSession, paths: list[str], p: Predicate, geometry: str, c
     parts = told.where("box is not null").select(*[s.alias(n) for s, n in zip(sides, names)])
     left = [r["path"] for r in told.where("open").select("path").toLocalIterator()]
     if left:
-        parts = parts.unionByName(Query(p).bounds(spark.read.parquet(*left), geometry, coverings))
+        parts = parts.unionByName(Query(p).bounds(read_files(spark, left), geometry, coverings))
     return parts.agg(*[(F.min if n in ("xmin", "ymin") else F.max)(n).alias(n) for n in names])

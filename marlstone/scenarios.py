@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import io
 import json
-import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 from decimal import Decimal
@@ -26,8 +25,9 @@ from .functions.variantjson import variant_json
 from .operators.reconcile import Field, reconciled
 from .plans import counting, explain
 from .plans.query import Coalesce, Constant, Physical, Promoted, Query, RowPosition, of_leaves
+from .plans.reading import native_geometries
 from .plans.sqlfilter import parse
-from .session import shared_dir, ship
+from .session import scratch, ship
 from .sources import deletion, geo, items, sinks
 from .sources.fileset import listed, open_fileset, open_per_file
 from .sources.tables import Table, warehouse
@@ -56,7 +56,7 @@ def once(make: Callable[[SparkSession, str, str], None]) -> Callable[[SparkSessi
     def folder(spark: SparkSession, sf_dir: str) -> str:
         key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
         if key not in _made:
-            path = f"{shared_dir(ship(spark))}/{make.__name__}-{uuid.uuid4().hex}"
+            path = scratch(ship(spark), make.__name__)
             make(spark, sf_dir, path)
             _made[key] = path
         return _made[key]
@@ -572,6 +572,28 @@ def geoparquet_metadata(spark, sf_dir):
     return spark.createDataFrame([(name, ",".join(c["geometry_types"]), c["encoding"], c["covering"]["bbox"]["xmin"][0])], "name string, types string, encoding string, covering string")
 
 
+@once
+def native(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Shapes as the native type, without a covering: row groups have box statistics."""
+    df = shapes(orders(spark, sf_dir)).where("geom is not null").select("o_orderkey", "x", "geom")
+    geo.write(df.repartitionByRange(4, "x"), path, "geom", covering=None, metadata="2.0", row_group_rows=200)
+
+
+@query(f"SELECT o_orderkey FROM {SHAPES} WHERE has AND ({TOUCH})")
+def native_geometry_filtered(spark, sf_dir):
+    df = open_fileset(spark, native(spark, sf_dir)).frame()
+    return df.where(compiled(BoxTest("geom", "intersects", Box(-10, -20, 30, 40)), df.schema)).select("o_orderkey")
+
+
+@query("SELECT true AS some_ruled_out, 'geom' AS native, '2.0.0' AS version")
+def native_geometry_statistics(spark, sf_dir):
+    files = listed(spark, native(spark, sf_dir))
+    told = explain.explain(spark, files, BoxTest("geom", "intersects", Box(-10, -200, 30, 200)))
+    gone = told.where("verdict = 'none'").count() > 0
+    meta = explain._footer(spark, files[0])
+    return spark.createDataFrame([(gone, ",".join(native_geometries(meta)), geo.metadata(spark, files[0])["version"])], "some_ruled_out boolean, native string, version string")
+
+
 @query(f"SELECT count(*) AS n FROM {SHAPES} WHERE has AND x <= 91 AND x1 >= -95")
 def count_by_boxes(spark, sf_dir):
     """Row groups whose box is within the query are counted from their footers."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -47,3 +48,14 @@ def shared_dir(spark: SparkSession) -> str:
         where = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; the application's files there are deleted when it ends."""
+    base = f"{shared_dir(spark)}/marlstone-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return f"{base}/{name}-{uuid.uuid4().hex}"

@@ -116,19 +116,24 @@ class _Schemas:
             parts = [self._late(b, r) for b in w]
             return lambda f: parts[_long(f)](f)
         if rk == "union":
-            for exact in (True, False):
-                for b in r:
-                    if self._fits(w, b, exact):
-                        return self.pair(w, b)
+            for b in r:  # the first that takes the writer's type, widening included
+                try:
+                    return self.pair(w, b)
+                except ContainerFormatError:
+                    continue
             raise ContainerFormatError(f"no branch of the reader's union takes {wk}")
-        if not self._fits(w, r, False):
+        if not self._fits(w, r):
             raise ContainerFormatError(f"{wk} cannot be read as {rk}")
         if wk == "record":
             key = (w["name"], r["name"])
             if key not in self.made:
                 held: list[Callable] = []
                 self.made[key] = lambda f: held[0](f)
-                held.append(self._record(w, r))
+                try:
+                    held.append(self._record(w, r))
+                except ContainerFormatError:
+                    del self.made[key]
+                    raise
             return self.made[key]
         if wk == "array":
             item = self.pair(w["items"], r["items"])
@@ -172,15 +177,15 @@ class _Schemas:
 
             return fail
 
-    def _fits(self, w: Any, r: Any, exact: bool) -> bool:
+    def _fits(self, w: Any, r: Any) -> bool:
         w = self.wn.get(w, w) if isinstance(w, str) else w
         r = self.rn.get(r, r) if isinstance(r, str) else r
         wk, rk = _kind(w), _kind(r)
-        if isinstance(w, dict) and isinstance(r, dict) and "decimal" in (w.get("logicalType"), r.get("logicalType")):
-            if any(w.get(k) != r.get(k) for k in ("logicalType", "precision", "scale")):
+        if isinstance(w, dict) and isinstance(r, dict) and w.get("logicalType") == r.get("logicalType") == "decimal":
+            if w.get("precision") != r.get("precision") or w.get("scale", 0) != r.get("scale", 0):
                 return False
         if wk != rk:
-            return not exact and (wk, rk) in WIDENED
+            return (wk, rk) in WIDENED
         if wk == "fixed":
             return w["size"] == r["size"] and self._named(w, r)
         return wk not in ("record", "enum") or self._named(w, r)

@@ -21,6 +21,7 @@ from ..functions.folding import folded
 from ..functions.predicate import Always, Predicate
 from ..plans.counting import bounds, count
 from ..plans.explain import footers
+from ..plans.reading import read_files
 from ..plans.verdicts import Stats, stats_of, verdict
 
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
@@ -129,7 +130,7 @@ class Fileset:
     def frame(self, predicate: Predicate | None = None) -> DataFrame:
         """Rows, or those that match; files whose path excludes the predicate are not read."""
         files = list(self.files) if predicate is None else [f for f, _ in self.surviving(predicate)]
-        df = self.spark.read.parquet(*(files or self.files[:1]))
+        df = read_files(self.spark, files or list(self.files[:1]))
         if self.partitions:
             path = F.col("_metadata.file_path")
             extra = []
@@ -179,7 +180,7 @@ def typed(text: str, kind: str) -> Any:
 
 
 def _schema(spark: SparkSession, file: str):
-    return spark.read.parquet(file).schema
+    return read_files(spark, [file]).schema
 
 
 def open_fileset(spark: SparkSession, root: str, name: str | None = None, hive: bool = True) -> Fileset:

@@ -55,9 +55,29 @@ def _covering(boxes: np.ndarray, single: bool) -> pa.StructArray:
     return pa.StructArray.from_arrays(parts, SIDES, mask=pa.array(missing))
 
 
-def write(df: DataFrame, path: str, geometry: str = "geometry", crs: Any = None, covering: str | None = "auto", version: str = "1.1.0", row_group_rows: int = 100_000, compression: str = "zstd", entries: dict[str, str] | None = None) -> list[str]:
+class NativeWkb(pa.ExtensionType):
+    """WKB that is written as the native type GEOMETRY; the writer gathers its statistics."""
+
+    def __init__(self, about: bytes = b"{}"):
+        self.about = about
+        super().__init__(pa.binary(), "geoarrow.wkb")
+
+    def __arrow_ext_serialize__(self) -> bytes:
+        return self.about
+
+    @classmethod
+    def __arrow_ext_deserialize__(cls, storage, about):
+        return cls(about)
+
+
+#: what files tell: only the entry; native types beside it; native types and the newer entry
+VERSIONS = {"1.1": ("1.1.0", False), "dual": ("1.1.0", True), "2.0": ("2.0.0", True)}
+
+
+def write(df: DataFrame, path: str, geometry: str = "geometry", crs: Any = None, covering: str | None = "auto", metadata: str = "1.1", row_group_rows: int = 100_000, compression: str = "zstd", entries: dict[str, str] | None = None) -> list[str]:
     """Write rows as GeoParquet files below `path`, which must not exist; returns the files.
 
+    metadata: 1.1 (the entry `geo` alone), dual (native types and box statistics beside it) or 2.0.
     covering: float, double, auto (float for longitude and latitude, else double) or None. A
     column that is already called bbox is kept and must have the four sides. `crs` is an
     authority code or a PROJJSON document.
@@ -67,6 +87,9 @@ def write(df: DataFrame, path: str, geometry: str = "geometry", crs: Any = None,
         raise SchemaError(f"{geometry!r} is not a column of WKB")
     if covering not in ("auto", "float", "double", None):
         raise SchemaError(f"covering {covering!r} is unknown")
+    if metadata not in VERSIONS:
+        raise SchemaError(f"metadata {metadata!r} is unknown")
+    version, native = VERSIONS[metadata]
     if entries and "geo" in entries:
         raise SchemaError("the entry 'geo' is reserved")
     has_box = "bbox" in df.columns
@@ -87,6 +110,9 @@ def write(df: DataFrame, path: str, geometry: str = "geometry", crs: Any = None,
     at = df.columns.index(geometry)
     box_type = pa.struct([(s, pa.float32() if single else pa.float64()) for s in SIDES])
     schema = plain.append(pa.field("bbox", box_type)) if adds else plain
+    if native:
+        kind = NativeWkb(json.dumps({} if crs in (None, "OGC:CRS84") else {"crs": crs}).encode())
+        schema = schema.set(at, pa.field(geometry, kind))
     authority = {} if crs is None or crs == "OGC:CRS84" else {"crs": crs if isinstance(crs, dict) else {"id": {"authority": crs.partition(":")[0], "code": crs.partition(":")[2]}}}
 
     def part(batches):
@@ -106,6 +132,8 @@ def write(df: DataFrame, path: str, geometry: str = "geometry", crs: Any = None,
             if len(real):
                 low, high = np.minimum(low, real[:, :2].min(axis=0)), np.maximum(high, real[:, 2:].max(axis=0))
             columns = [c.cast(f.type) for c, f in zip(batch.columns, plain)] + ([_covering(boxes, single)] if adds else [])
+            if native:
+                columns[at] = pa.ExtensionArray.from_storage(schema.field(at).type, columns[at])
             if writer is None:
                 writer = pq.ParquetWriter(f"{folder}/{name}", schema, filesystem=where, compression=compression)
             held.append(pa.RecordBatch.from_arrays(columns, schema=schema))

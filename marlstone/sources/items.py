@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import CatalogFormatError
 from ..functions.predicate import Box
+from ..plans.reading import read_files
 from ..session import ship
 from .tables import _read
 
@@ -75,8 +76,8 @@ class Collection:
             every = self.files()
             if not every:
                 raise CatalogFormatError(f"collection {self.name!r} has no Parquet files")
-            return self.spark.read.parquet(every[0]).where("false")
-        return self.spark.read.parquet(*files)
+            return read_files(self.spark, every[:1]).where("false")
+        return read_files(self.spark, files)
 
 
 def catalog(spark: SparkSession, path: str) -> dict[str, Collection]:

@@ -37,6 +37,18 @@ def test_container_resolution():
         list(avro.records(b"nothing"))
 
 
+def test_unions_and_decimals():
+    read = lambda w, r, v: next(avro.records(avro.write({"type": "record", "name": "x", "fields": [{"name": "a", "type": w}]}, [{"a": v}]), {"type": "record", "name": "x", "fields": [{"name": "a", "type": r}]}))["a"]
+    # the first branch that takes the value, though a later one is exact
+    assert isinstance(read("int", ["double", "int"], 3), float) and isinstance(read("int", ["string", "int"], 3), int)
+    decimal = {"type": "bytes", "logicalType": "decimal", "precision": 9, "scale": 2}
+    assert read("bytes", decimal, b"\x01") == read(decimal, "bytes", b"\x01") == read(decimal, decimal, b"\x01") == b"\x01"
+    with pytest.raises(FormatError):
+        read(decimal, {**decimal, "scale": 3}, b"\x01")
+    inner = lambda *fields: {"type": "record", "name": "in", "fields": [{"name": f, "type": "int"} for f in fields]}
+    assert read(inner("p"), ["null", inner("q"), inner("p")], {"p": 1}) == {"p": 1}
+
+
 def test_container_frame(spark, tmp_path):
     for n in range(3):
         (tmp_path / f"{n}.avro").write_bytes(avro.write(ROW, [{"a": n, "b": None, "c": [1.0], "e": "X", "m": {"k": b"v"}}] * n))
