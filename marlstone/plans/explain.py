@@ -122,6 +122,8 @@ def footer_rows(spark: SparkSession, paths: list[str], rows_of: Callable, schema
     """Rows that `rows_of(path, footer)` gives for each file."""
     if not all(_opens(p) for p in paths):
         return spark.createDataFrame([r for p, m in footers(spark, paths) for r in rows_of(p, m)], schema)
+    if paths:
+        _footer(spark, paths[0])  # a first file that is none is told here, not by a task
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def read(batches):
@@ -129,7 +131,11 @@ def footer_rows(spark: SparkSession, paths: list[str], rows_of: Callable, schema
             for path in b.column(0).to_pylist():
                 where, name = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
                 with where.open_input_file(name) as f:
-                    made = list(rows_of(path, pq.read_metadata(f)))
+                    try:
+                        meta = pq.read_metadata(f)
+                    except pa.ArrowInvalid as e:
+                        raise MalformedError(f"the footer of {path} cannot be read: {e}") from e
+                made = list(rows_of(path, meta))
                 columns = list(zip(*made)) if made else [[]] * len(arrow)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, arrow)], schema=arrow)
 

@@ -5,6 +5,7 @@ per session and folder of tables, in the folder that executors share, and read b
 
 from __future__ import annotations
 
+import contextlib
 import io
 import json
 from collections.abc import Callable
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import cli
 from .errors import MarlstoneError
 from .functions import hooks
 from .functions.compiling import compiled
@@ -814,6 +816,32 @@ def iceberg_types(spark, sf_dir):
     return rows.select("k", "i", "f", "b", "d", "p", "n", F.decode("raw", "utf-8").alias("raw"), F.col("l")[1].alias("second"), "s.a")
 
 
+@once
+def monthly_table(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """One file per year, told by partition values alone: bounds of the time are left out."""
+    w = TableWriter(spark, path, [(1, "key", "long"), (2, "at", "timestamp"), (3, "geom", "geometry")], version=3, partition="at", transform="year")
+    rows = shapes(orders(spark, sf_dir)).select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("at"), "geom")
+    for year in range(1995, 2002):
+        for west in (True, False):
+            half = rows.where((F.year("at") == year) & ((F.col("key") % 360 < 180) == west))
+            w.append(half.coalesce(1), constant=year - 1970)
+            for side in ("lower_bounds", "upper_bounds"):
+                w.entries[-1]["data_file"][side] = [b for b in w.entries[-1]["data_file"][side] if b["key"] != 2]
+    w.commit()
+
+
+@query("SELECT o_orderkey AS key, 4 AS left_files FROM orders WHERE o_orderdate >= TIMESTAMP '1997-03-01' AND o_orderdate < TIMESTAMP '1998-03-01'")
+def iceberg_partition_transform(spark, sf_dir):
+    t, p = Table(spark, monthly_table(spark, sf_dir)), col("at").ge(datetime(1997, 3, 1)) & col("at").lt(datetime(1998, 3, 1))
+    return t.frame(p, columns=["key"]).withColumn("left_files", F.lit(t.files(p).count()))
+
+
+@query(f"SELECT o_orderkey AS key, 7 AS left_files FROM {SHAPES} WHERE has AND x <= -20 AND x1 >= -100")
+def iceberg_geometry_bounds(spark, sf_dir):
+    t, p = Table(spark, monthly_table(spark, sf_dir)), BoxTest("geom", "intersects", Box(-100, -200, -20, 200))
+    return t.frame(p, columns=["key"]).withColumn("left_files", F.lit(t.files(p).count()))
+
+
 @query("SELECT o_orderkey AS key FROM orders WHERE o_orderkey % 7 IN (1, 2) AND o_orderkey < 140000")
 def deletion_vector_positions(spark, sf_dir):
     """Positions through a vector's bytes and back, over several containers and 32-bit parts."""
@@ -878,3 +906,33 @@ def stac_items_chosen(spark, sf_dir):
 def stac_extent(spark, sf_dir):
     box = items.catalog(spark, f"{stac(spark, sf_dir)}/catalog.json")["shapes"].extent
     return spark.createDataFrame([tuple(map(float, box))], "xmin double, ymin double, xmax double, ymax double")
+
+
+# --- command line ---------------------------------------------------------------------------------
+
+
+def said(spark: SparkSession, *words: str) -> list[str]:
+    return list(cli.run(ship(spark), cli.arguments().parse_args(list(words))))
+
+
+@query("SELECT o_orderkey || ',' || o_orderstatus AS line FROM orders WHERE o_orderkey < 700 AND o_orderstatus IN ('F', 'P') UNION ALL SELECT 'o_orderkey,o_orderstatus'")
+def cli_cat_columns(spark, sf_dir):
+    """The file's order of columns holds, whatever order is asked for."""
+    lines = said(spark, "cat", f"{ranges(spark, sf_dir)}/flat", "--columns", "o_orderstatus,o_orderkey", "--filter", "o_orderkey < 700 AND o_orderstatus IN ('F', 'P')", "--format", "csv")
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+@query("SELECT 10 AS head, 3 AS limited, count(*)::VARCHAR AS rows FROM orders WHERE o_orderkey < 900")
+def cli_head_and_count(spark, sf_dir):
+    path = f"{ranges(spark, sf_dir)}/flat"
+    return spark.createDataFrame([(len(said(spark, "head", path)), len(said(spark, "cat", path, "--limit", "3")), said(spark, "row-count", path, "--filter", "o_orderkey < 900")[0])], "head int, limited int, rows string")
+
+
+@query("SELECT name, code FROM (VALUES ('usage', 2), ('schema', 3), ('format', 4), ('filter', 5), ('fine', 0)) t(name, code)")
+def cli_exit_codes(spark, sf_dir):
+    path = f"{ranges(spark, sf_dir)}/flat"
+    broken = scratch(spark, "broken") + "/x.parquet"
+    write_bytes(spark, broken, b"not a file of this format")
+    tries = {"usage": ["cp", path], "schema": ["cat", path, "--columns", "nothing"], "format": ["stats", broken], "filter": ["cat", path, "--filter", "upper(o_orderstatus) = 'F'"], "fine": ["row-count", path]}
+    with contextlib.redirect_stdout(io.StringIO()), contextlib.redirect_stderr(io.StringIO()):
+        return spark.createDataFrame([(name, cli.main(words, spark)) for name, words in tries.items()], "name string, code int")

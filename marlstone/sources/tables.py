@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from ..errors import FormatError, SchemaError, TableFormatError
 from ..functions.compiling import compiled
 from ..functions.folding import folded
-from ..functions.predicate import Always, Predicate, normal
+from ..functions.predicate import Always, Box, Predicate, normal
 from ..plans.explain import footer_rows, footers
 from ..plans.verdicts import Stats, stats_of, verdict
 from ..session import ship
@@ -148,6 +148,7 @@ class Entry:
     referenced: str | None = None
     offset: int | None = None
     size: int | None = None
+    ranges: dict[int, tuple[Any, Any]] = field(default_factory=dict, hash=False)  # what partition values bound
 
 
 def _read(spark: SparkSession, path: str) -> bytes:
@@ -229,7 +230,7 @@ class Table:
                     first = next_row[key]
                     next_row[key] += f["record_count"]
                 part = f["partition"].asDict() if "partition" in f else {}
-                out.append(Entry(f["file_path"], f["content"], f["file_format"].lower(), f["record_count"], sequence, spec, repr(sorted(part.items())), self._constants(spec, part), {p["key"]: bytes(p["value"]) for p in f["lower_bounds"] or ()}, {p["key"]: bytes(p["value"]) for p in f["upper_bounds"] or ()}, tuple(sorted(f["equality_ids"] or ())), first, f["referenced_data_file"], f["content_offset"], f["content_size_in_bytes"]))
+                out.append(Entry(f["file_path"], f["content"], f["file_format"].lower(), f["record_count"], sequence, spec, repr(sorted(part.items())), self._constants(spec, part), {p["key"]: bytes(p["value"]) for p in f["lower_bounds"] or ()}, {p["key"]: bytes(p["value"]) for p in f["upper_bounds"] or ()}, tuple(sorted(f["equality_ids"] or ())), first, f["referenced_data_file"], f["content_offset"], f["content_size_in_bytes"], self._ranges(spec, part)))
         return out
 
     def _entry_schema(self, spec: int) -> dict:
@@ -266,8 +267,27 @@ class Table:
                 out[p["source-id"]] = v
         return out
 
-    def _stats(self, e: Entry) -> dict[str, Stats]:
+    def _ranges(self, spec: int, part: dict[str, Any]) -> dict[int, tuple[Any, Any]]:
+        """Least and greatest value of the fields that partition values are made of."""
         out = {}
+        for p in self.specs.get(spec, ()):
+            v, f = part.get(p["name"]), self.fields.get(p["source-id"])
+            if v is not None and f is not None and (r := _range(p["transform"], v, f["type"])) is not None:
+                out[p["source-id"]] = r
+        return out
+
+    def _boxes(self, e: Entry) -> dict[str, tuple[Box, bool]]:
+        """Boxes around geometries: bounds are their least and greatest coordinates."""
+        out = {}
+        for i, f in self.fields.items():
+            if str(f["type"]).startswith("geometry") and len(e.lower.get(i, b"")) >= 16 and len(e.upper.get(i, b"")) >= 16:
+                (x0, y0), (x1, y1) = struct.unpack_from("<dd", e.lower[i]), struct.unpack_from("<dd", e.upper[i])
+                if x0 <= x1:  # otherwise it spans the antimeridian
+                    out[f["name"]] = Box(x0, y0, x1, y1), False
+        return out
+
+    def _stats(self, e: Entry) -> dict[str, Stats]:
+        out = {self.fields[i]["name"]: Stats(lo, hi, None, None, True) for i, (lo, hi) in e.ranges.items()}
         for i, f in self.fields.items():
             if i in e.lower and i in e.upper:
                 lo, hi = bound(e.lower[i], f["type"]), bound(e.upper[i], f["type"])
@@ -282,7 +302,7 @@ class Table:
         p, out = normal(predicate), []
         for e in files:
             constants = {self.fields[i]["name"]: v for i, v in e.constants.items() if not isinstance(v, bytes)}
-            if verdict(folded(p, constants), self._stats(e), e.rows)[0] != "none":
+            if verdict(folded(p, constants), self._stats(e), e.rows, self._boxes(e))[0] != "none":
                 out.append(e)
         return out
 
@@ -492,6 +512,31 @@ class Table:
         return on
 
 
+def _range(transform: str, v: Any, kind: Any) -> tuple[Any, Any] | None:
+    """Least and greatest source value of a partition value; None where it bounds nothing."""
+    if transform in ("year", "month", "day", "hour") and kind in ("date", "timestamp", "timestamptz"):
+        if isinstance(v, date):
+            v = (v - date(1970, 1, 1)).days
+        if transform in ("year", "month"):
+            months = v * 12 if transform == "year" else v
+            start = lambda m: datetime(1970 + m // 12, m % 12 + 1, 1)
+            lo, end = start(months), start(months + (12 if transform == "year" else 1))
+        else:
+            unit = timedelta(days=1) if transform == "day" else timedelta(hours=1)
+            lo = datetime(1970, 1, 1) + v * unit
+            end = lo + unit
+        if kind == "date":
+            return lo.date(), (end - timedelta(days=1)).date()
+        zone = timezone.utc if kind == "timestamptz" else None
+        return lo.replace(tzinfo=zone), (end - timedelta(microseconds=1)).replace(tzinfo=zone)
+    if m := re.fullmatch(r"truncate\[(\d+)\]", transform):
+        if kind in ("int", "long"):
+            return v, v + int(m[1]) - 1
+        if kind == "string":
+            return v, v + chr(0x10FFFF)
+    return None
+
+
 def _members(kind: Any) -> set[int]:
     """Ids of a group's members that any schema of the table could give."""
     return {f["id"] for f in kind["fields"]} if isinstance(kind, dict) and kind["type"] == "struct" else set()

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SchemaError
+from ..functions import geometry
 from ..plans.explain import footers
 from ..session import ship
 from . import avro, deletion
@@ -63,7 +64,7 @@ def single_value(v: Any, kind: Any) -> bytes | None:
 class TableWriter:
     """Builds a table at `root`. Fields are (id, name, type) or (id, name, type, initial default)."""
 
-    def __init__(self, spark: SparkSession, root: str, fields: list[tuple], version: int = 2, partition: str | None = None, properties: dict[str, str] | None = None):
+    def __init__(self, spark: SparkSession, root: str, fields: list[tuple], version: int = 2, partition: str | None = None, properties: dict[str, str] | None = None, transform: str = "identity"):
         self.spark, self.root, self.version = ship(spark), root.rstrip("/"), version
         self.schemas: list[dict] = []
         self.entries: list[dict] = []
@@ -71,7 +72,7 @@ class TableWriter:
         self.sequence = self.commits = 0
         self.next_row = 0
         self.properties = properties or {}
-        self.partition = partition
+        self.partition, self.transform = partition, transform
         self.evolve(fields)
 
     def evolve(self, fields: list[tuple]) -> None:
@@ -94,8 +95,20 @@ class TableWriter:
             if self.partition is not None:
                 e["data_file"]["partition"] = {self.partition: constant}
             self.entries.append(e)
+        self._boxes(files, [n for n, (_, k) in kinds.items() if str(k).startswith("geometry")])
         return files
 
+    def _boxes(self, files: list[str], names: list[str]) -> None:
+        """Bounds of geometry columns, which footers do not hold."""
+        made = {_plain(e["data_file"]["file_path"]): e["data_file"] for e in self.entries}
+        for name in names:
+            rows = self.spark.read.parquet(*files).select(F.regexp_replace("_metadata.file_path", "^[A-Za-z0-9]+:/+", "/").alias("f"), geometry.envelope(F.col(f"`{name}`")).alias("e"))
+            for r in rows.groupBy("f").agg(F.min("e.xmin"), F.min("e.ymin"), F.max("e.xmax"), F.max("e.ymax")).collect():
+                if r[1] is not None:
+                    i = self.fields[name]["id"]
+                    made[r[0]]["lower_bounds"].append({"key": i, "value": struct.pack("<dd", r[1], r[2])})
+                    made[r[0]]["upper_bounds"].append({"key": i, "value": struct.pack("<dd", r[3], r[4])})
+
     def delete_positions(self, rows: DataFrame) -> None:
         """Delete (file_path, pos)."""
         ids = {"file_path": 2147483546, "pos": 2147483545}
@@ -127,8 +140,9 @@ class TableWriter:
     def _written(self, df: DataFrame, ids: dict[str, int]) -> list[str]:
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         kinds = {f["id"]: spark_type(f["type"]) for f in self.fields.values() if isinstance(f["type"], dict)}
-        fields = [T.StructField(f.name, kinds.get(ids.get(f.name), f.dataType), True, {"parquet.field.id": ids[f.name]} if f.name in ids else {}) for f in df.schema.fields]
-        shaped = df.to(T.StructType(fields)).select(*[F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) for f in fields])
+        if any(ids.get(n) in kinds for n in df.columns):  # members of groups have ids too
+            df = df.to(T.StructType([T.StructField(f.name, kinds.get(ids.get(f.name), f.dataType)) for f in df.schema.fields]))
+        shaped = df.select(*[F.col(f"`{n}`").alias(n, metadata={"parquet.field.id": ids[n]} if n in ids else {}) for n in df.columns])
         shaped.write.option("parquet.block.size", 1 << 20).parquet(folder)
         return listed(self.spark, folder)
 
@@ -166,7 +180,9 @@ class TableWriter:
         if self.partition is not None:
             if self.partition not in self.fields:
                 raise SchemaError(f"{self.partition!r} is not a field of the table")
-            kind = {"type": "record", "name": "r102", "fields": [_optional(self.partition, {"int": "int", "date": "int", "string": "string"}.get(self.fields[self.partition]["type"], "long"))]}
+            source = self.fields[self.partition]["type"]
+            held = "int" if self.transform in ("year", "month", "day", "hour") else {"int": "int", "date": "int", "string": "string"}.get(source, "long")
+            kind = {"type": "record", "name": "r102", "fields": [_optional(self.partition, held)]}
             schema["fields"][2]["type"]["fields"].append({"name": "partition", "type": kind})
         lists = list(self.snapshots[-1]["_lists"]) if self.snapshots else []
         for content, chosen in ((0, [e for e in self.entries if e["data_file"]["content"] == 0]), (1, [e for e in self.entries if e["data_file"]["content"]])):
@@ -183,7 +199,7 @@ class TableWriter:
         where = f"{self.root}/metadata/snap-{self.commits}.avro"
         write_bytes(self.spark, where, avro.write(LIST, lists))
         self.snapshots.append({"snapshot-id": 1000 + self.commits, "sequence-number": self.sequence, "schema-id": len(self.schemas) - 1, "manifest-list": where, "_lists": lists})
-        spec = [{"name": self.partition, "transform": "identity", "source-id": self.fields[self.partition]["id"], "field-id": 1000}] if self.partition is not None else []
+        spec = [{"name": self.partition, "transform": self.transform, "source-id": self.fields[self.partition]["id"], "field-id": 1000}] if self.partition is not None else []
         meta = {
             "format-version": self.version,
             "table-uuid": str(uuid.uuid5(uuid.NAMESPACE_URL, self.root)),
