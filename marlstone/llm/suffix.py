@@ -43,6 +43,7 @@ from .minhash import ODD, lanes
 
 LENGTH = 50
 K = 20
+SIDE = (LENGTH - K) // 2
 BATCH_BYTES = 1 << 20
 BUCKET_BYTES = 24 << 20
 U = np.uint64
@@ -277,6 +278,7 @@ class Batch:
         empty = np.zeros(0, np.int64)
         self.s0 = self.s1 = self.owner = self.first = self.twin = self.bucket_order = empty
         self.anchor = self.kind = self.more = np.zeros(0, U)
+        self.left = self.right = np.zeros(0, np.uint16)
         if n < LENGTH:
             return
         up, down = _powers(1 << max(20, n.bit_length()))
@@ -313,6 +315,11 @@ class Batch:
             size = self.s1 - starts + LENGTH
             self.kind = mix(lanes(a, starts, size, 9) + (p - starts).astype(U), 10)
             self.more = mix(lanes(a, starts, size, 1 << 20) + (p - starts).astype(U), 11)
+        # what the strings that reach far to one side have there; 0 if there are none
+        self.left, self.right = np.zeros(len(p), np.uint16), np.zeros(len(p), np.uint16)
+        for out, begin, has in ((self.left, p - SIDE, p - starts >= SIDE), (self.right, p + K, p - self.s1 <= LENGTH - K - SIDE)):
+            near = lanes(a, begin[has], np.full(int(has.sum()), SIDE), 5)
+            out[has] = (near % U(65535)).astype(np.uint16) + np.uint16(1)
         # a kind names the anchor's surroundings, so it names the anchor too
         doc = ids[self.owner]
         order, new = _alike(self.kind, self.more)
@@ -395,21 +402,22 @@ def _ask(buckets: int):
             for b, places in batch.dealt(buckets):
                 w = batch.first[places]
                 out["bucket"].append(b)
-                out["names"].append(_pack((batch.anchor[w] >> U(32)).astype(np.uint32).tobytes() + batch.kind[w].tobytes() + batch.more[w].tobytes() + batch.ids[batch.owner[w]].tobytes()))
+                out["names"].append(_pack((batch.anchor[w] >> U(32)).astype(np.uint32).tobytes() + batch.kind[w].tobytes() + batch.more[w].tobytes() + batch.left[w].tobytes() + batch.right[w].tobytes() + batch.ids[batch.owner[w]].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array([row["batch"]] * len(out["bucket"]), pa.int64()), pa.array(out["names"], pa.binary())], ["bucket", "batch", "names"])
 
     return run
 
 
 def _settle(table: pa.Table) -> pa.Table:
-    """All windows of a bucket: flag 1, the same window is in a smaller document; flag 2, its
-    anchor has windows of several kinds and this one represents its kind."""
+    """All windows of a bucket: flag 1, the same window is in a smaller document; flag 2, it
+    represents a kind that may share a string with another kind of its anchor."""
     raw = [_open(x.as_py()) for x in table["names"]]
-    sizes = [len(x) // 28 for x in raw]
+    sizes = [len(x) // 32 for x in raw]
     anchor = np.concatenate([np.frombuffer(x, np.uint32, n) for x, n in zip(raw, sizes)])
     kind = np.concatenate([np.frombuffer(x, U, n, 4 * n) for x, n in zip(raw, sizes)])
     more = np.concatenate([np.frombuffer(x, U, n, 12 * n) for x, n in zip(raw, sizes)])
-    doc = np.concatenate([np.frombuffer(x, np.int64, n, 20 * n) for x, n in zip(raw, sizes)])
+    sides = [np.concatenate([np.frombuffer(x, np.uint16, n, at * n) for x, n in zip(raw, sizes)]) for at in (20, 22)]
+    doc = np.concatenate([np.frombuffer(x, np.int64, n, 24 * n) for x, n in zip(raw, sizes)])
     del raw
     if not len(kind):
         return table.select(["batch", "bucket"]).append_column("answer", pa.array([_pack(b"")] * table.num_rows, pa.binary()))
@@ -418,13 +426,17 @@ def _settle(table: pa.Table) -> pa.Table:
     del more
     heads, group = np.flatnonzero(new), np.cumsum(new) - 1
     smallest, largest, of = np.minimum.reduceat(d, heads), np.maximum.reduceat(d, heads), anchor[order][heads]
-    # per anchor: how many kinds, and whether more than one document
-    by = np.argsort(of)
-    new = np.concatenate([[True], of[by][1:] != of[by][:-1]])
-    starts, which = np.flatnonzero(new), np.cumsum(new) - 1
-    several = (np.bincount(which) > 1) & (np.minimum.reduceat(smallest[by], starts) < np.maximum.reduceat(largest[by], starts))
-    compare = np.empty(len(heads), bool)
-    compare[by] = several[which]
+    compare = np.zeros(len(heads), bool)
+    for side in sides:
+        # kinds that agree with another kind of their anchor on this side, and not all in one document
+        key = (of.astype(U) << U(16)) | side[order][heads].astype(U)
+        by = np.argsort(key)
+        by = by[(key[by] & U(0xFFFF)) > 0]
+        if len(by):
+            new = np.concatenate([[True], key[by][1:] != key[by][:-1]])
+            starts, which = np.flatnonzero(new), np.cumsum(new) - 1
+            several = (np.bincount(which) > 1) & (np.minimum.reduceat(smallest[by], starts) < np.maximum.reduceat(largest[by], starts))
+            compare[by] |= several[which]
     flag = np.empty(len(kind), np.uint8)
     flag[order] = np.where(d > smallest[group], 1, np.where(compare[group], 2, 0))
     cuts = np.cumsum([0, *sizes])
