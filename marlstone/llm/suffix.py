@@ -137,82 +137,61 @@ def _names(t: np.ndarray, starts: np.ndarray, order: np.ndarray) -> np.ndarray:
     return names
 
 
-def _recursed(s: list[int], size: int) -> list[int]:
-    """Order of the suffixes of a string over the numbers below `size`, by the same induction."""
-    n = len(s)
-    if n < 2:
-        return list(range(n))
-    small = bytearray(n)
-    for i in range(n - 2, -1, -1):
-        small[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1])
-    heads, tails, upto = [0] * size, [0] * size, 0
-    for c in s:
-        tails[c] += 1
-    for c in range(size):
-        heads[c] = upto
-        upto += tails[c]
-        tails[c] = upto
-    starts = [i for i in range(1, n) if small[i] and not small[i - 1]]
-
-    def induce(seeds: list[int]) -> list[int]:
-        sa, room = [-1] * n, tails[:]
-        for i in reversed(seeds):
-            room[s[i]] -= 1
-            sa[room[s[i]]] = i
-        room = heads[:]
-        sa[room[s[-1]]] = n - 1
-        room[s[-1]] += 1
-        for j in range(n):
-            i = sa[j] - 1
-            if i >= 0 and not small[i]:
-                c = s[i]
-                sa[room[c]] = i
-                room[c] += 1
-        room = tails[:]
-        for j in range(n - 1, -1, -1):
-            i = sa[j] - 1
-            if i >= 0 and small[i]:
-                c = s[i]
-                room[c] -= 1
-                sa[room[c]] = i
-        return sa
-
-    if len(starts) > 1:
-        ends = dict(zip(starts, [*[e + 1 for e in starts[1:]], n + 1]))
-        name, last, names = -1, None, {}
-        for i in induce(starts):
-            if i in ends:
-                piece = s[i : ends[i]]
-                # the last substring is unlike any other: the end of the string follows it
-                if last is None or piece != last or i == starts[-1]:
-                    name += 1
-                last = None if i == starts[-1] else piece
-                names[i] = name
-        reduced = [names[i] for i in starts]
-        if name + 1 < len(starts):
-            starts = [starts[i] for i in _recursed(reduced, name + 1)]
-        else:
-            starts = [i for _, i in sorted(zip(reduced, starts))]
-    return induce(starts)
+def _induce_names(t: np.ndarray, small: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """`_induce` over names: their buckets are too many to sweep one by one, so the sweeps go place by
+    place, in Python over plain lists."""
+    n = len(t)
+    count = np.bincount(t)
+    tails = np.cumsum(count)
+    heads = tails - count
+    # seeds at the ends of their buckets, in their order
+    c = t[seeds]
+    by = np.argsort(c, kind="stable")
+    later = np.append(np.flatnonzero(np.diff(c[by])) + 1, len(c))
+    end = later[np.searchsorted(later, np.arange(len(c)), side="right")] if len(c) else later[:0]
+    first = np.full(n, -1, np.int64)
+    first[tails[c[by]] - (end - np.arange(len(c)))] = seeds[by]
+    room = heads.tolist()
+    first[heads[t[n - 1]]] = n - 1
+    room[int(t[n - 1])] += 1
+    sa = first.tolist()
+    # the bucket of each place's larger or smaller kind; -1 where it is of the other, and before the text
+    large = np.where(small, -1, t).tolist() + [-1, -1]
+    for x in sa:
+        c = large[x - 1]
+        if c >= 0:
+            at = room[c]
+            sa[at] = x - 1
+            room[c] = at + 1
+    room = tails.tolist()
+    less = np.where(small, t, -1).tolist() + [-1, -1]
+    for x in reversed(sa):
+        c = less[x - 1]
+        if c >= 0:
+            at = room[c] - 1
+            sa[at] = x - 1
+            room[c] = at
+    return np.array(sa)
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Start positions of all suffixes of a byte array in sorted order."""
-    t = np.asarray(t, np.uint8)
+    """Start positions of all suffixes of a string of bytes, or of names from 0 on, in sorted order."""
     if len(t) < 2:
         return np.arange(len(t))
+    induce = _induce if t.dtype == np.uint8 else _induce_names
     small = _types(t)
     starts = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(starts) < 2:
-        return _induce(t, small, starts)
-    first = _induce(t, small, starts)
+        return induce(t, small, starts)
+    first = induce(t, small, starts)
     where = np.full(len(t), -1, np.int32)
     where[starts] = np.arange(len(starts))
     order = where[first]
     del first, where
     names = _names(t, starts, order[order >= 0])
-    ranked = np.argsort(names, kind="stable") if names.max() == len(starts) - 1 else np.array(_recursed(names.tolist(), int(names.max()) + 1))
-    return _induce(t, small, starts[ranked])
+    # the string of names is sorted the same way, unless no two are alike
+    ranked = np.argsort(names) if names.max() == len(starts) - 1 else suffix_array(names)
+    return induce(t, small, starts[ranked])
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
