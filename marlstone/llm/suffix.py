@@ -42,7 +42,7 @@ from .fuse import mix
 from .minhash import ODD, lanes
 
 LENGTH = 50
-K = 20
+K = 16
 SIDE = (LENGTH - K) // 2
 BATCH_BYTES = 1 << 20
 BUCKET_BYTES = 24 << 20
@@ -257,7 +257,7 @@ class Batch:
         empty = np.zeros(0, np.int64)
         self.s0 = self.s1 = self.owner = self.first = self.twin = self.bucket_order = empty
         self.anchor = self.kind = self.more = np.zeros(0, U)
-        self.left = self.right = np.zeros(0, np.uint16)
+        self.left = self.right = np.zeros(0, np.uint8)
         if n < LENGTH:
             return
         up, down = _powers(1 << max(20, n.bit_length()))
@@ -295,10 +295,10 @@ class Batch:
             self.kind = mix(lanes(a, starts, size, 9) + (p - starts).astype(U), 10)
             self.more = mix(lanes(a, starts, size, 1 << 20) + (p - starts).astype(U), 11)
         # what the strings that reach far to one side have there; 0 if there are none
-        self.left, self.right = np.zeros(len(p), np.uint16), np.zeros(len(p), np.uint16)
+        self.left, self.right = np.zeros(len(p), np.uint8), np.zeros(len(p), np.uint8)
         for out, begin, has in ((self.left, p - SIDE, p - starts >= SIDE), (self.right, p + K, p - self.s1 <= LENGTH - K - SIDE)):
             near = lanes(a, begin[has], np.full(int(has.sum()), SIDE), 5)
-            out[has] = (near % U(65535)).astype(np.uint16) + np.uint16(1)
+            out[has] = (near % U(255)).astype(np.uint8) + np.uint8(1)
         # a kind names the anchor's surroundings, so it names the anchor too
         doc = ids[self.owner]
         order, new = _alike(self.kind, self.more)
@@ -312,7 +312,7 @@ class Batch:
     def dealt(self, buckets: int):
         """(bucket, places in `first`) for each bucket, in a fixed order."""
         b = (self.anchor[self.first] % U(buckets)).astype(np.int64)
-        order = np.argsort(b, kind="stable")
+        order = np.lexsort((self.first, b))  # in text order, so that documents repeat and pack well
         cuts = np.flatnonzero(np.concatenate([[True], b[order][1:] != b[order][:-1]])) if len(order) else []
         for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
             yield int(b[order[lo]]), order[lo:hi]
@@ -391,12 +391,12 @@ def _settle(table: pa.Table) -> pa.Table:
     """All windows of a bucket: flag 1, the same window is in a smaller document; flag 2, it
     represents a kind that may share a string with another kind of its anchor."""
     raw = [_open(x.as_py()) for x in table["names"]]
-    sizes = [len(x) // 32 for x in raw]
+    sizes = [len(x) // 30 for x in raw]
     anchor = np.concatenate([np.frombuffer(x, np.uint32, n) for x, n in zip(raw, sizes)])
     kind = np.concatenate([np.frombuffer(x, U, n, 4 * n) for x, n in zip(raw, sizes)])
     more = np.concatenate([np.frombuffer(x, U, n, 12 * n) for x, n in zip(raw, sizes)])
-    sides = [np.concatenate([np.frombuffer(x, np.uint16, n, at * n) for x, n in zip(raw, sizes)]) for at in (20, 22)]
-    doc = np.concatenate([np.frombuffer(x, np.int64, n, 24 * n) for x, n in zip(raw, sizes)])
+    sides = [np.concatenate([np.frombuffer(x, np.uint8, n, at * n) for x, n in zip(raw, sizes)]) for at in (20, 21)]
+    doc = np.concatenate([np.frombuffer(x, np.int64, n, 22 * n) for x, n in zip(raw, sizes)])
     del raw
     if not len(kind):
         return table.select(["batch", "bucket"]).append_column("answer", pa.array([_pack(b"")] * table.num_rows, pa.binary()))
@@ -408,9 +408,9 @@ def _settle(table: pa.Table) -> pa.Table:
     compare = np.zeros(len(heads), bool)
     for side in sides:
         # kinds that agree with another kind of their anchor on this side, and not all in one document
-        key = (of.astype(U) << U(16)) | side[order][heads].astype(U)
+        key = (of.astype(U) << U(8)) | side[order][heads].astype(U)
         by = np.argsort(key)
-        by = by[(key[by] & U(0xFFFF)) > 0]
+        by = by[(key[by] & U(0xFF)) > 0]
         if len(by):
             new = np.concatenate([[True], key[by][1:] != key[by][:-1]])
             starts, which = np.flatnonzero(new), np.cumsum(new) - 1
