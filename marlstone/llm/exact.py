@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fuse
-from .common import doc_input, documents, join_groups, map_texts, written
+from .common import doc_input, documents, fresh, join_groups, map_texts, written
 
 BUCKET_KEYS = 100_000
+MAX_BROADCAST_BYTES = 64 << 20
+PARTS = 16
 
 
 def normalised(text: str = "text"):
@@ -99,11 +101,14 @@ def find_copies(docs: DataFrame, digest_bytes: int = 32, snapshot_part=None) ->
     alone = new.where("not seen").select("key", "n", "top").unionByName(old.groups.join(met.select("key"), "key", "left_anti").select("key", "n", "top"))
     groups = written(alone.unionByName(met).where("n > 1"), "copies")
 
-    # byte check, by a join that shuffles at every size, so its cost is in proportion: min and max of a group's texts are combined before the shuffle, so no task
-    # ever holds a group, and they are equal only if all its texts are
+    # byte check: min and max of a group's texts are combined before the shuffle, and again by parts of
+    # the key, so no task ever holds a group; they are equal only if all its texts are. Rows outside
+    # groups are left where they are read as long as the members are few enough to be sent to them
     members = written(join_groups(rows.select("doc_id", "key"), groups, "key", "n", n_rows).where("n is not null").select("doc_id", "key").distinct(), "members")
-    texts = doc_input(docs).select(F.col("doc_id").alias("id"), normalised().alias("norm")).join(members.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")))
-    span = texts.groupBy("key").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
+    met = F.broadcast(members) if members.count() * (32 + digest_bytes) <= MAX_BROADCAST_BYTES else members.hint("merge")
+    texts = doc_input(docs).select(F.col("doc_id").alias("id"), normalised().alias("norm")).join(met, F.col("id").eqNullSafe(F.col("doc_id")))
+    parts = texts.groupBy("key", F.spark_partition_id() % PARTS).agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
+    span = parts.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     differ = written(span.where("lo <> hi").select("key"), "differ")
     if not differ.isEmpty():
         groups, rows = _split(docs, rows, groups, differ, digest_bytes)
@@ -125,16 +130,21 @@ def _split(docs: DataFrame, rows: DataFrame, groups: DataFrame, differ: DataFram
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows that stay, all columns as they came; of repeated doc_ids with equal text, one."""
+    """The rows that stay, all columns as they came; of repeated doc_ids with equal text, one. Only
+    what goes is looked up, so rows that stay are not moved as long as those are few enough."""
     found = written(find_copies(docs), "found")
-    stay = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("_times"))
-    names = docs.columns
-    sha = F.sha2(normalised(), 256)
-    out = docs.withColumn("_sha", sha).join(stay.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha2"), "_times"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_sha2")))
-    if stay.where("_times > 1").isEmpty():
-        return out.select(*names)
-    once = out.where("_times = 1").select(*names)
-    return once.unionByName(out.where("_times > 1").dropDuplicates(["_id", "_sha"]).select(*names))
+    per = found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("kept"))
+    id_, sha, stay, copy = fresh(docs, "gone_id", "gone_sha", "stay", "copy")
+    gone = per.where("not kept or rows > 1").select(F.col("doc_id").alias(id_), F.unhex("text_sha256").alias(sha), F.col("kept").alias(stay))
+    gone = written(gone, "gone")
+    met = F.broadcast(gone) if gone.count() * 80 <= MAX_BROADCAST_BYTES else gone
+    mine = F.col("doc_id").cast("long")
+    out = docs.join(met, mine.eqNullSafe(F.col(id_)) & (F.unhex(F.sha2(normalised(), 256)) == F.col(sha)), "left")
+    once = out.where(F.col(stay).isNull()).select(*docs.columns)
+    if gone.where(stay).isEmpty():
+        return once
+    several = out.where(stay).withColumn(copy, mine).dropDuplicates([copy, sha])
+    return once.unionByName(several.select(*docs.columns))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
