@@ -2,40 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import scratch, ship
 
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A machine-local one is chosen only in local mode, where the
-    session names none; on a cluster that is an error."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` in the shared folder and read it back: the lineage ends there and lost
-    executors cost only the tasks they ran."""
+    executors cost only the tasks they ran. The files go when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -74,24 +61,30 @@ def hot_limit(rows: int) -> int:
     return max(500, rows // 20_000)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, merge: bool = False) -> DataFrame:
     """Left join of rows with one row per group. Rows of hot groups meet a broadcast of the few
-    hot groups and are never dealt by key; the others are joined by key, where each key is small."""
+    hot groups and are never dealt by key; the others are joined by key, where each key is small,
+    with `merge` by the same plan at every size."""
     limit = hot_limit(n_rows)
     hot = F.broadcast(groups.where(F.col(size) > limit))
     cold = groups.where(F.col(size) <= limit)
+    cold = cold.hint("merge") if merge else cold
     return rows.join(hot, key, "inner").unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, "left"))
 
 
-def join_wide(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, by: str) -> DataFrame:
-    """`join_groups` for groups with large columns: hot groups are not broadcast but repeated, once
-    for each part of `hot_limit` rows, and rows are dealt to the parts by the hash of `by`."""
+def join_wide(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, by: str, wide: str) -> DataFrame:
+    """`join_groups` for groups with a large column `wide`. Where the hot groups are too many bytes to
+    broadcast they are repeated, once for each part of `hot_limit` rows, and rows are dealt to the
+    parts by the hash of `by`."""
     limit = hot_limit(n_rows)
+    hot = groups.where(F.col(size) > limit)
+    if (hot.agg(F.sum(F.length(wide))).first()[0] or 0) <= MAX_BROADCAST_BYTES:
+        return join_groups(rows, groups, key, size, n_rows, merge=True)
     parts = F.ceil(F.col(size) / limit).cast("int")
-    hot = F.broadcast(groups.where(F.col(size) > limit).select(key, parts.alias("_parts")))
-    dealt = rows.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
-    wide = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
-    return dealt.join(wide, [key, "_part"], "left").drop("_part")
+    dealt = rows.join(F.broadcast(hot.select(key, parts.alias("_parts"))), key, "left")
+    dealt = dealt.withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    repeated = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return dealt.join(repeated, [key, "_part"], "left").drop("_part")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -285,10 +285,13 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, with_text: bool
 
     wanted = classes.select("id", "set_id", "doc").join(pairs.select(F.explode(F.array("pivot", "id")).alias("id")).distinct(), "id", "left_semi")
     wanted = written(wanted, "wanted")
-    sets = full_sets(docs, wanted.select(F.col("doc").alias("doc_id")).distinct(), k).join(wanted.select("id", "set_id"), "set_id")
-    sets = written(sets.dropDuplicates(["id"]).select("id", "set"), "sets")
-    groups = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("members")).join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("pset")), "pivot")
-    compared = join_wide(pairs.join(sets, "id"), groups, "pivot", "members", max(n_rows, 1), "id")
+    sets = full_sets(docs, wanted.select(F.col("doc").alias("doc_id")).distinct(), k).join(wanted.select("id", "set_id").hint("merge"), "set_id")
+    # only rows that repeat a doc_id give a set twice
+    repeated = not rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    sets = written((sets.dropDuplicates(["id"]) if repeated else sets).select("id", "set"), "sets")
+    groups = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("members")).join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("pset")).hint("merge"), "pivot")
+    # sets are joined by one plan at every size, so that what they cost grows as they do
+    compared = join_wide(pairs.join(sets.hint("merge"), "id"), groups, "pivot", "members", max(n_rows, 1), "id", "pset")
     compared = written(compared.select("pivot", "id", "pset", "set").mapInArrow(_compare(percent), "pivot long, id long, linked boolean, n long, width long, mask binary, extra binary"), "compared")
 
     links = compared.where("linked").select(F.col("pivot").alias("u"), F.col("id").alias("v"))
