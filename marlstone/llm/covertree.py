@@ -375,3 +375,17 @@ def brute_vectors(vectors: dict[int, list | None], cosine: float) -> dict[int, t
             for j in group:
                 out[j] = (len(links[j]), i)
     return out
+
+
+OP5_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+g AS (
+  SELECT vec_id, v FROM e
+  WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+r AS (SELECT vec_id AS node, vec_id AS root FROM e UNION SELECT l.v, r.root FROM r JOIN l ON r.node = l.u),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node),
+n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT c.node AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, c.node = c.component_id AS kept
+FROM c LEFT JOIN n ON n.u = c.node
+"""

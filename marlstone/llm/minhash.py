@@ -370,3 +370,23 @@ def brute_groups(texts: dict[int, str | None], k: int, percent: int) -> dict[int
                 a, b = find(d), find(o)
                 up[max(a, b)] = min(a, b)
     return {d: (len(sets[d]), find(d)) for d in texts}
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM w),
+e AS (SELECT doc_id, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT p.u, p.v FROM p JOIN s a ON a.doc_id = p.u JOIN s b ON b.doc_id = p.v
+  WHERE 100 * shared >= 85 * (len(a.s) + len(b.s) - shared)),
+r AS (SELECT doc_id AS node, doc_id AS root FROM s UNION SELECT l.v, r.root FROM r JOIN l ON r.node = l.u),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN c ON c.node = s.doc_id
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_pii": pii.op10_pii,
 }
-SQL = {"op6_exact_dedup": exact.OP6_SQL, "op9_mixing": mixing.OP9_SQL}
+SQL = {"op4_minhash_dedup": minhash.OP4_SQL, "op5_embedding_dedup": covertree.OP5_SQL, "op6_exact_dedup": exact.OP6_SQL, "op8_suffix_dedup": suffix.OP8_SQL, "op9_mixing": mixing.OP9_SQL}

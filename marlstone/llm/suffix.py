@@ -4,7 +4,7 @@ A byte goes where it is covered by a LENGTH-byte string that also starts in a do
 smaller doc_id.
 
 Candidates: every string is named by the least K-byte hash inside it (its anchor), so equal strings
-have equal anchors. Consecutive strings with one anchor form a window of at most 80 bytes, named by
+have equal anchors. Consecutive strings with one anchor form a window of at most 84 bytes, named by
 128 bits over its bytes (5e12 windows, 100 TB, share a name with probability 4e-14). Windows are
 grouped by anchor: one that is, whole, in a smaller document is settled, and an anchor with a single
 kind of window needs nothing more. Only anchors with windows of several kinds, which are the edges of
@@ -163,6 +163,7 @@ def _induce_names(t: np.ndarray, small: np.ndarray, seeds: np.ndarray) -> np.nda
             at = room[c]
             sa[at] = x - 1
             room[c] = at + 1
+    del large
     room = tails.tolist()
     less = np.where(small, t, -1).tolist() + [-1, -1]
     for x in reversed(sa):
@@ -556,3 +557,22 @@ def brute_repeats(texts: dict[int, str | None], length: int = LENGTH) -> dict[in
         spans = sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
         out[d] = (len(x), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+OP8_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
+s AS (SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS x FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 49, 0))) AS i FROM b)),
+f AS (SELECT x, min(doc_id) AS least FROM s GROUP BY x),
+hit AS (SELECT s.doc_id, s.i FROM s JOIN f ON s.x = f.x WHERE s.doc_id > f.least),
+j AS (SELECT doc_id, unnest(range(0, n)) AS j FROM b),
+y AS (SELECT j.doc_id, j.j, max(hit.i) OVER (PARTITION BY j.doc_id ORDER BY j.j) AS last FROM j LEFT JOIN hit ON hit.doc_id = j.doc_id AND hit.i = j.j),
+z AS (SELECT doc_id, j, coalesce(j - last < 50, false) AS gone FROM y),
+t AS (SELECT doc_id, j, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), false) AS begins FROM z),
+k AS (
+  SELECT t.doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans,
+         coalesce(string_agg(substring(b.h, 2 * j + 1, 2), '' ORDER BY j) FILTER (NOT gone), '') AS kept
+  FROM t JOIN b ON b.doc_id = t.doc_id GROUP BY t.doc_id)
+SELECT b.doc_id, b.n::BIGINT AS n_bytes, coalesce(k.n_removed, 0)::BIGINT AS n_removed, coalesce(k.n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(k.kept, ''))) AS kept_sha256
+FROM b LEFT JOIN k ON k.doc_id = b.doc_id
+"""
