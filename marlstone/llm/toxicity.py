@@ -359,7 +359,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, hits: the spans that speak for abuse, as start:end."""
+    """doc_id, score."""
 
     def kernel(ids, texts):
         rows = [features(model.lexicon, t) for t in texts]
