@@ -9,7 +9,8 @@ words; the one document on the edge is taken in part, so a source misses its tar
 one word.
 
 The order of a source's documents is md5(doc_id|seed). Its first three hex digits make 4096 steps
-per source whose sums are small; only rows of the one step that holds the edge are put in order.
+per source whose sums are small, the next three 4096 more in the step that holds the edge; only the
+rows of the edge are put in order.
 
 Defined cases: a null text has size 0; null is a source of its own, the last; a null doc_id hashes
 as the empty string; repeated rows count as separate documents; all sizes 0 or an empty table give
@@ -55,47 +56,80 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return w.select("source", "source_size", "target", whole.alias("whole"), (F.col("words") - whole * size).alias("part"))
 
 
-def mix(docs: DataFrame, seed: int = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, one row per document."""
-    order = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed))))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), order.alias("h"))
-    sized = written(sized.withColumn("step", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")), "sized")
-    steps = written(sized.groupBy("source", "step").agg(F.sum("size").alias("step_size")), "steps")
-    goal = written(targets(steps.groupBy("source").agg(F.sum("step_size").alias("source_size")), max_epochs), "targets")
-    few = goal.count() <= MAX_BROADCAST_SOURCES
-    small = F.broadcast if few else (lambda df: df)
+def _order(seed: int):
+    """md5(doc_id|seed), as hex: a source's documents are taken in this order."""
+    return F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(str(seed))))
+
+
+def _small(df: DataFrame):
+    return F.broadcast if df.count() <= MAX_BROADCAST_SOURCES else (lambda x: x)
 
+
+def _edges(steps: DataFrame, goal: DataFrame, step: str) -> DataFrame:
+    """The goal with each source's step that holds the edge, and the words before it. `steps` are
+    (source, step, step_size) of what begins after the `before` words of the goal."""
     at = Window.partitionBy("source").orderBy("step")
     run = steps.withColumn("upto", F.sum("step_size").over(at))
-    run = run.alias("r").join(small(goal).alias("g"), F.expr("r.source <=> g.source")).where("upto > part and upto - step_size <= part")
-    edge = run.groupBy("g.source").agg(F.min(F.struct("step", (F.col("upto") - F.col("step_size")).alias("before"))).alias("e"))
-    goal = written(goal.alias("g").join(edge.alias("x"), F.expr("g.source <=> x.source"), "left").select("g.*", F.col("e.step").alias("edge"), F.col("e.before").alias("before")), "goals")
+    run = run.alias("r").join(_small(goal)(goal).alias("g"), F.expr("r.source <=> g.source"))
+    run = run.withColumn("upto", F.col("upto") + F.col("before")).where("upto > part and upto - step_size <= part")
+    edge = run.groupBy("g.source").agg(F.min(F.struct("step", (F.col("upto") - F.col("step_size")).alias("upto"))).alias("e"))
+    kept = [c for c in goal.columns if c != "before"]
+    out = goal.alias("g").join(edge.alias("x"), F.expr("g.source <=> x.source"), "left")
+    return written(out.select(*[F.col(f"g.{c}") for c in kept], F.col("e.step").alias(step), F.coalesce("e.upto", "before").alias("before")), "goals")
+
+
+def goals(sized: DataFrame, max_epochs: int) -> DataFrame:
+    """(source, source_size, target, whole, part, edge, before), one row per source: documents whose
+    `h` begins with less than `edge` are taken, those with more are not, and of those that begin with
+    it as many words as `part` has beyond `before`. The edge is found in two steps of three digits,
+    so that a source's edge holds one in 16 million of its documents."""
+    prefix = lambda a, n: F.substring("h", a, n)
+    steps = written(sized.groupBy("source", prefix(1, 3).alias("step")).agg(F.sum("size").alias("step_size")), "steps")
+    goal = targets(steps.groupBy("source").agg(F.sum("step_size").alias("source_size")), max_epochs)
+    goal = _edges(steps, written(goal.withColumn("before", F.lit(0).cast("long")), "targets"), "first")
+    held = sized.alias("d").join(_small(goal)(goal.select("source", "first")).alias("g"), F.expr("d.source <=> g.source and substring(d.h, 1, 3) = g.first"))
+    steps = held.groupBy("d.source", prefix(4, 3).alias("step")).agg(F.sum("size").alias("step_size"))
+    return _edges(steps, goal, "second").withColumn("edge", F.concat("first", "second")).drop("first", "second")
+
 
-    rows = sized.alias("d").join(small(goal).alias("g"), F.expr("d.source <=> g.source")).drop(F.col("g.source"))
-    beyond = F.when(F.col("edge").isNull() | (F.col("step") < F.col("edge")), F.col("size")).otherwise(F.lit(0))
-    clear = rows.where("edge is null or step <> edge").withColumn("more", beyond.cast("long"))
+def mix(docs: DataFrame, seed: int = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, one row per document."""
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), _order(seed).alias("h"))
+    sized = written(sized, "sized")
+    goal = goals(sized, max_epochs)
+    return _taken(sized, goal, ["doc_id", "source", "size", "source_size", "target"])
+
+
+def _taken(rows: DataFrame, goal: DataFrame, names: list[str]) -> DataFrame:
+    """`names` of the rows (doc_id, source, size, h and more) and how many words are taken. Only the
+    rows of a source's edge are moved, to be put in order."""
+    rows = rows.alias("d").join(_small(goal)(goal).alias("g"), F.expr("d.source <=> g.source")).drop(F.col("g.source"))
+    step = F.substring("h", 1, 6)
+    beyond = F.when(F.col("edge").isNull() | (step < F.col("edge")), F.col("size")).otherwise(F.lit(0))
+    clear = rows.where(F.col("edge").isNull() | (step != F.col("edge"))).withColumn("more", beyond.cast("long"))
     inside = Window.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     first = F.col("before") + F.sum("size").over(inside) - F.col("size")
-    split = rows.where("step = edge").withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - first)).cast("long"))
-    return clear.unionByName(split).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("more")).alias("taken"))
+    split = rows.where(step == F.col("edge")).withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - first)).cast("long"))
+    return clear.unionByName(split).select(*names, (F.col("whole") * F.col("size") + F.col("more")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, seed: int = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mixed corpus with the columns of `docs`: each document once per repetition taken; the
     partial repetition of a source's edge document holds its first words, original spacing kept.
-    Documents of size 0 are not words of any mix and stay once."""
-    taken = mix(docs, seed, max_epochs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), F.col("taken").alias("_taken"))
-    # repeated rows of one document differ at most in what the edge gives them: take the larger
-    taken = taken.groupBy("_id", "_source", "_size").agg(F.max("_taken").alias("_taken"))
-    key = F.expr("doc_id <=> _id and source <=> _source") & (word_count() == F.col("_size"))
-    out = docs.join(taken, key)
-    whole = F.when(F.col("_size") > 0, F.expr("cast(_taken div _size as int)")).otherwise(1)
-    part = F.when(F.col("_size") > 0, F.expr("cast(_taken % _size as int)")).otherwise(0)
-    out = out.withColumn("_part", part)
-    out = out.withColumn("_copy", F.explode(F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))))
-    words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.when(F.col("_copy") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("_copy"), F.lit(1))), ""))
-    return out.withColumn("text", text).select(*docs.columns)
+    Documents of size 0 are not words of any mix and stay once. Every row's part is told from the
+    row and its source's goal, so texts are not moved."""
+    source, key = F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id")
+    sized = written(docs.select(key, source, word_count().alias("size"), _order(seed).alias("h")), "sized")
+    goal = goals(sized, max_epochs)
+    rows = docs.select(key, source, word_count().alias("size"), _order(seed).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = _taken(rows, goal, ["size", "row"])
+    whole = F.when(F.col("size") > 0, F.expr("cast(taken div size as int)")).otherwise(1)
+    part = F.when(F.col("size") > 0, F.expr("cast(taken % size as int)")).otherwise(0)
+    copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
+    out = out.select("row", F.explode(copies).alias("copy"))
+    words = F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    text = F.when(F.col("copy") < 0, F.col("row.text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("copy"), F.lit(1))), ""))
+    return out.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
