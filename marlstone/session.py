@@ -23,7 +23,7 @@ def ship(spark: SparkSession) -> SparkSession:
     if spark.conf.get(BATCH_ROWS) == "10000":
         spark.conf.set(BATCH_ROWS, "1000")
     if spark.conf.get(BATCH_BYTES) in ("67108864b", "64m"):
-        spark.conf.set(BATCH_BYTES, "16m")
+        spark.conf.set(BATCH_BYTES, "8m")
     if sc.applicationId not in _shipped:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         path = os.path.join(tempfile.mkdtemp(prefix="marlstone-"), "marlstone.zip")

@@ -38,6 +38,9 @@ from ..session import ship
 from . import avro, deletion
 from .fileset import Capabilities
 
+# Fixed values of the format: what a manifest list and a manifest hold that reading needs, types by
+# name, and the ids of reserved columns.
+ROW_ID, SEQUENCE, DELETED_FILE, DELETED_POSITION = 2147483540, 2147483539, 2147483546, 2147483545
 LIST = {
     "type": "record",
     "name": "manifest_file",
@@ -80,7 +83,12 @@ ENTRY = {
     "fields": [{"name": "status", "type": "int"}, _optional("sequence_number", "long"), {"name": "data_file", "type": {"type": "record", "name": "data_file", "aliases": ["r2"], "fields": FILE_FIELDS}}],
 }
 
-PLAIN = {"boolean": "boolean", "int": "int", "long": "bigint", "float": "float", "double": "double", "date": "date", "string": "string", "binary": "binary", "uuid": "binary", "time": "bigint", "timestamp": "timestamp_ntz", "timestamptz": "timestamp", "timestamp_ns": "bigint", "timestamptz_ns": "bigint", "unknown": "void", "variant": "variant"}
+PLAIN = {
+    "boolean": "boolean", "int": "int", "long": "bigint", "float": "float", "double": "double",
+    "date": "date", "time": "bigint", "timestamp": "timestamp_ntz", "timestamptz": "timestamp",
+    "timestamp_ns": "bigint", "timestamptz_ns": "bigint", "string": "string", "binary": "binary",
+    "uuid": "binary", "unknown": "void", "variant": "variant",
+}
 
 
 def spark_type(t: Any) -> T.DataType:
@@ -230,7 +238,26 @@ class Table:
                     first = next_row[key]
                     next_row[key] += f["record_count"]
                 part = f["partition"].asDict() if "partition" in f else {}
-                out.append(Entry(f["file_path"], f["content"], f["file_format"].lower(), f["record_count"], sequence, spec, repr(sorted(part.items())), self._constants(spec, part), {p["key"]: bytes(p["value"]) for p in f["lower_bounds"] or ()}, {p["key"]: bytes(p["value"]) for p in f["upper_bounds"] or ()}, tuple(sorted(f["equality_ids"] or ())), first, f["referenced_data_file"], f["content_offset"], f["content_size_in_bytes"], self._ranges(spec, part)))
+                out.append(
+                    Entry(
+                        path=f["file_path"],
+                        content=f["content"],
+                        format=f["file_format"].lower(),
+                        rows=f["record_count"],
+                        sequence=sequence,
+                        spec=spec,
+                        partition=repr(sorted(part.items())),
+                        constants=self._constants(spec, part),
+                        lower={p["key"]: bytes(p["value"]) for p in f["lower_bounds"] or ()},
+                        upper={p["key"]: bytes(p["value"]) for p in f["upper_bounds"] or ()},
+                        equality=tuple(sorted(f["equality_ids"] or ())),
+                        first_row_id=first,
+                        referenced=f["referenced_data_file"],
+                        offset=f["content_offset"],
+                        size=f["content_size_in_bytes"],
+                        ranges=self._ranges(spec, part),
+                    )
+                )
         return out
 
     def _entry_schema(self, spec: int) -> dict:
@@ -373,7 +400,7 @@ class Table:
         self.spark.conf.set("spark.sql.parquet.fieldId.read.ignoreMissing", "true")
         wanted = [_spark_field(i, self.alias[i], f["type"]) for i, f in self.fields.items()]
         if lineage:
-            wanted += [T.StructField("_stored_row_id", T.LongType(), True, {"parquet.field.id": 2147483540}), T.StructField("_stored_sequence", T.LongType(), True, {"parquet.field.id": 2147483539})]
+            wanted += [T.StructField("_stored_row_id", T.LongType(), True, {"parquet.field.id": ROW_ID}), T.StructField("_stored_sequence", T.LongType(), True, {"parquet.field.id": SEQUENCE})]
         df = self.spark.read.schema(T.StructType(wanted)).parquet(*paths)
         made: list[Column] = []
         for i, f in self.fields.items():

@@ -25,7 +25,7 @@ from ..plans.explain import footers
 from ..session import ship
 from . import avro, deletion
 from .fileset import listed
-from .tables import ENTRY, LIST, _optional, _plain, spark_type
+from .tables import DELETED_FILE, DELETED_POSITION, ENTRY, LIST, _optional, _plain, spark_type
 
 EPOCH = datetime(1970, 1, 1)
 
@@ -111,7 +111,7 @@ class TableWriter:
 
     def delete_positions(self, rows: DataFrame) -> None:
         """Delete (file_path, pos)."""
-        ids = {"file_path": 2147483546, "pos": 2147483545}
+        ids = {"file_path": DELETED_FILE, "pos": DELETED_POSITION}
         rows = rows.select(F.col("file_path").cast("string"), F.col("pos").cast("long"))
         for path, meta in footers(self.spark, self._written(rows, ids)):
             self.entries.append(self._entry(path, 1, meta.num_rows))
