@@ -25,10 +25,12 @@ rows; an empty table gives an empty result; other columns are never read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_input, documents, written
+from .common import doc_input, documents, join_groups, written
 
 KINDS = ("email", "ip", "card", "phone")
 ALPHA = 1.1
@@ -45,9 +47,10 @@ PATTERN = {
 WORD = r"[\p{L}]{4,}+"
 
 
-def places(text: Column, pattern: str | Column) -> Column:
-    """array<struct<start, end, value>> of the matches, left to right."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
+def places(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct<start, end, value>> of the matches, or of those that `keep` holds for, left to
+    right."""
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(hits, F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(1))), lambda h, g: F.struct(h.alias("value"), F.length(g).alias("gap")))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
@@ -55,7 +58,8 @@ def places(text: Column, pattern: str | Column) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc.at + x.gap
         end = start + F.length(x.value)
-        return F.struct(end.alias("at"), F.concat(acc.out, F.array(F.struct(start.alias("start"), end.alias("end"), x.value.alias("value")))).alias("out"))
+        more = F.concat(acc.out, F.array(F.struct(start.alias("start"), end.alias("end"), x.value.alias("value"))))
+        return F.struct(end.alias("at"), (more if keep is None else F.when(keep(x.value), more).otherwise(acc.out)).alias("out"))
 
     return F.aggregate(F.filter(pairs, lambda p: p.value.isNotNull()), begin, step, lambda acc: acc.out)
 
@@ -116,7 +120,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def _terms(text: Column) -> Column:
     """Distinct words outside e-mail addresses, which alone of base spans hold letters."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace(text, PATTERN["email"], " ")), F.lit(WORD), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(F.regexp_replace(text, PATTERN["email"], " "), F.lit(WORD), F.lit(0)))
+    return F.array_distinct(F.transform(words, F.lower))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
@@ -129,7 +134,9 @@ def disclosing(docs: DataFrame, found: DataFrame, alpha: float = ALPHA, prior: f
     # each document once per term: with the first of its entities
     pairs = held.select("terms", F.posexplode("entities").alias("nth", "entity")).select("entity", (F.col("nth") == 0).cast("long").alias("one"), F.explode("terms").alias("term"))
     pairs = written(pairs.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te"), F.sum("one").alias("one")), "term-pairs")
-    near = pairs.groupBy("term").agg(F.sum("one").alias("n_near"))
+    n_pairs = pairs.count()
+    near = written(pairs.groupBy("term").agg(F.sum("one").alias("n_near"), F.count(F.lit(1)).alias("rows")), "near")
+    entities = written(entities.join(pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("with_terms")), "entity"), "entities")
 
     def told(n_t: str) -> Column:
         return F.log(F.col("n_te") * F.lit(float(total)) / ((F.col(n_t) + prior) * F.col("n_e")))
@@ -139,7 +146,9 @@ def disclosing(docs: DataFrame, found: DataFrame, alpha: float = ALPHA, prior: f
     most = entities.agg(F.max("n_e")).first()[0] or 0
     least = F.lit(float(most)) / (F.col("n_near") + prior) >= F.pow(F.lit(1 / max(total, 1)), F.lit(1 - 1 / alpha)) - 1e-9
     own = F.log(F.lit(float(total)) / F.col("n_e"))
-    pairs = pairs.drop("one").join(near.where(least), "term").join(entities, "entity")
+    # frequent terms and entities have many pairs: those never meet in one task
+    pairs = join_groups(pairs.drop("one"), near, "term", "rows", n_pairs).where(least).drop("rows")
+    pairs = join_groups(pairs, entities, "entity", "with_terms", n_pairs)
     pairs = written(pairs.where(told("n_near") >= own / alpha - 1e-9), "near-pairs")
     terms = written(pairs.select("term").distinct(), "near-terms")
     every = doc_input(docs).select(F.explode(_terms(F.coalesce(F.col("text"), F.lit("")))).alias("term"))
@@ -159,14 +168,15 @@ def marked(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
     others = written(terms.where("outside").select("term"), "outside")
     n_others = others.count()
     if n_others:
-        words = _texts(docs).where(F.size(base_spans(F.col("text"))) == 0).select(*row_id(), F.explode(_terms(F.col("text"))).alias("term"))
+        words = _texts(docs).select(*row_id(), F.explode(_terms(F.col("text"))).alias("term"))
         held = held.unionByName(words.join(F.broadcast(others) if n_others <= MAX_BROADCAST_TERMS else others, "term", "left_semi"))
-    held = written(held.groupBy("r1", "r2").agg(F.array_sort(F.collect_set("term")).alias("held")), "held")
-    size = held.agg(F.sum(F.length(F.array_join("held", "|")) + 64)).first()[0] or 0
-    # terms are runs of letters, so they stand for themselves in a pattern
+    held = held.groupBy("r1", "r2").agg(F.array_sort(F.collect_set("term")).alias("held"))
+    # base spans are read, not found again: in the test of every place they would be found for each
+    held = written(held.join(found.select("r1", "r2", "base").dropDuplicates(["r1", "r2"]), ["r1", "r2"]), "held")
+    size = held.agg(F.sum(F.length(F.array_join("held", "|")) + 64 * (1 + F.size("base")))).first()[0] or 0
     rows = _texts(docs).select("text", *row_id()).join(F.broadcast(held) if size <= MAX_BROADCAST_BYTES else held, ["r1", "r2"])
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("held", "|"), F.lit(r")(?!\p{L})"))
-    made = rows.select("r1", "r2", base_spans(F.col("text")).alias("base"), places(F.col("text"), pattern).alias("places"))
+    places_of = places(F.col("text"), WORD, lambda w: F.array_contains("held", F.lower(w)))
+    made = rows.select("r1", "r2", "base", places_of.alias("places"))
     free = F.filter("places", lambda w: ~F.exists("base", lambda b: (w.start < b.end) & (b.start < w.end)))
     spans = F.transform(free, lambda w: F.struct(F.lit(len(KINDS)).alias("rank"), w.start.alias("start"), w.end.alias("end"), F.lit("term").alias("kind")))
     return made.select("r1", "r2", spans.alias("added")).groupBy("r1", "r2").agg(F.first("added").alias("added"))
