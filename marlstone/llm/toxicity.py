@@ -305,7 +305,7 @@ def _terms(batches):
             terms = {(w, False) for w in words} | {(w[:n], True) for w in words for n in STEMS if len(w) > n}
             for key in terms:
                 counts.setdefault(key, [0, 0])[toxic] += 1
-        if len(counts) > 400_000:
+        if len(counts) > 100_000:
             yield flush()
     yield flush()
 
