@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 
 import corpus_pipeline
-from marlstone.llm import bpe, minhash, queries, toxicity
+from marlstone.llm import bpe, licenses, minhash, pii, queries, toxicity
 
 from ..oracle import same_rows
 from .test_operators import brute_mix, lower
@@ -22,6 +22,26 @@ def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
 
+def test_disclosing_terms_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    want = dict(zip([r.doc_id for r in rows], pii.brute_terms([r.text for r in rows])))
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "term"] for r in pii.find(docs).collect()}
+    assert got == want
+
+
+def test_licenses_of_a_table(spark):
+    """Every notice in its usual wording is found, and nothing where no such notice stands."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    plain = [(name, " ".join(words)) for (name, _, _), words in zip(licenses.TEMPLATES, licenses.WANT)]
+    want = {}
+    for r in docs.collect():
+        text = f" {' '.join(licenses.WORD.findall(r.text.lower()))} " if r.text else ""
+        want[r.doc_id] = {name for name, words in plain if f" {words} " in text}
+    got = {r.doc_id: {h.license for h in r.hits} for r in licenses.scan(docs).collect()}
+    assert got == want and sum(map(len, want.values())) > 50
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
