@@ -140,8 +140,9 @@ def box_of(wkb: bytes) -> tuple[float, float, float, float] | None:
     return (min(p[0] for p in ps), min(p[1] for p in ps), max(p[0] for p in ps), max(p[1] for p in ps)) if ps else None
 
 
-#: first bytes of little-endian geometries that are one run of plain coordinates, and where it begins
-RUNS = {b"\1\1\0\0\0": 5, b"\1\2\0\0\0": 9, b"\1\3\0\0\0\1\0\0\0": 13}
+#: first bytes of geometries that are one run of plain coordinates, and where it begins
+RUNS = {b"\1\1\0\0\0": 5, b"\1\2\0\0\0": 9, b"\1\3\0\0\0\1\0\0\0": 13, b"\0\0\0\0\1": 5, b"\0\0\0\0\2": 9, b"\0\0\0\0\3\0\0\0\1": 13}
+POINTS = (b"\1\1\0\0\0", b"\0\0\0\0\1")
 
 
 def _run(v: bytes | None) -> int:
@@ -150,7 +151,7 @@ def _run(v: bytes | None) -> int:
         return 0
     at = RUNS.get(v[:5]) or RUNS.get(v[:9]) or 0
     size = len(v) - at
-    if not at or size < 16 or size != (16 if at == 5 else 16 * int.from_bytes(v[at - 4 : at], "little")):
+    if not at or size < 16 or size != (16 if at == 5 else 16 * int.from_bytes(v[at - 4 : at], "little" if v[0] else "big")):
         return 0
     return at
 
@@ -161,9 +162,11 @@ def _boxes(values) -> np.ndarray:
     out = np.full((len(values), 4), np.nan)
     values = [v if v is None or isinstance(v, bytes) else bytes(v) for v in values]
     begin = np.fromiter((_run(v) for v in values), np.int64, len(values))
-    plain = np.flatnonzero(begin)
-    if len(plain):
-        xy = np.frombuffer(b"".join(values[i][begin[i] :] for i in plain), "<f8").reshape(-1, 2)
+    little = np.fromiter((b > 0 and v[0] == 1 for b, v in zip(begin, values)), bool, len(values))
+    for order, plain in (("<f8", np.flatnonzero(little)), (">f8", np.flatnonzero((begin > 0) & ~little))):
+        if not len(plain):
+            continue
+        xy = np.frombuffer(b"".join(values[i][begin[i] :] for i in plain), order).reshape(-1, 2).astype(np.float64)
         count = np.fromiter(((len(values[i]) - begin[i]) // 16 for i in plain), np.int64, len(plain))
         starts = np.cumsum(count) - count
         whole = ~np.isnan(xy).any(axis=1)
@@ -513,7 +516,7 @@ def relation(column: Column, name: str, wkb: bytes, distance_: float = 0.0) -> C
         could = boxes_related(e, *need) if need else np.ones(len(values), bool)
         done, out = np.zeros(len(values), bool), np.zeros(len(values), bool)
         if q.polygons and not q.lines and not q.points and name in POINT_IN:
-            point = np.fromiter((v is not None and len(v) == 21 and v[:5] == b"\1\1\0\0\0" for v in values), bool, len(values))
+            point = np.fromiter((v is not None and len(v) == 21 and v[:5] in POINTS for v in values), bool, len(values))
             done = point & could & ~np.isnan(e[:, 0])
             out[done] = POINT_IN[name](_where(e[done, :2], q))
         if rectangle_ and name in ("intersects", "covered_by"):
