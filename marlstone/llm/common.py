@@ -18,12 +18,13 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` in the shared folder and read it back: the lineage ends there and lost
-    executors cost only the tasks they ran. The files go when the application ends."""
+def written(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
+    """Write `df` in the shared folder, at most `file_rows` rows a file if given, and read it back:
+    the lineage ends there and lost executors cost only the tasks they ran. The files go when the
+    application ends."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,17 +32,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
+from ..session import scratch, ship
 from .common import components, documents, join_groups, written
 
 SAMPLE = 4_096
 MAX_CELLS = 1_024
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20  # an executor holds several trees and messages of two at once; results do not depend on it
 LEAST_BLOCKS = 8
 LEAST_BLOCK = 1_024
 MAX_BROADCAST_BYTES = 64 << 20
 LEAF = 32
 SLACK = 1e-6
+TILE = 1_024  # rows and columns of a product taken at once
+GATHERED_BYTES = 8 << 20  # vectors taken in double precision at once
+LINKS = "id long, other long, n long"
 
 
 def distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -67,9 +70,11 @@ def _net(x: np.ndarray, rows: np.ndarray, centre: int, radius: float) -> list[tu
                 taken |= near[i]
         first = len(at)
         at += rows[block[mine]].tolist()
-        cosine = x[rows[left]] @ x[rows[block[mine]]].T
-        best = cosine.argmax(axis=1)
-        held = cosine[np.arange(len(left)), best] >= cover
+        new, best, held = x[rows[block[mine]]].T, np.empty(len(left), np.int64), np.empty(len(left), bool)
+        for s in range(0, len(left), TILE):
+            cosine = x[rows[left[s : s + TILE]]] @ new
+            best[s : s + TILE] = cosine.argmax(axis=1)
+            held[s : s + TILE] = cosine.max(axis=1) >= cover
         held[mine], best[mine] = True, np.arange(len(mine))
         owner[left[held]] = first + best[held]
         left = left[~held]
@@ -117,55 +122,94 @@ class CoverTree:
         return np.arange(self.kid[node], self.kid[node] + self.kids[node]) if self.kids[node] else np.array([node])
 
 
+def _places(yes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero of a matrix, several times faster where little is true."""
+    return np.divmod(np.flatnonzero(yes), yes.shape[1])
+
+
 def dual(a: CoverTree, b: CoverTree, cosine: float, all_linked, linked) -> None:
     """Walk both trees, or one against itself if they are the same: `all_linked(node, node)` for
-    nodes that hold only pairs, `linked(points, points)` for single pairs."""
+    nodes that hold only pairs, `linked(points, points)` for single pairs. Products are taken in
+    tiles, and the pairs of nodes of one tile are walked before the next is taken: what is held at
+    once does not grow with the number of children."""
     limit, own = np.sqrt(max(0.0, 2 - 2 * cosine)), a is b
     error = (a.x.shape[1] + 4) * 2.0**-23
+    step = max(1, GATHERED_BYTES // (8 * a.x.shape[1]))
+
+    def told(i: np.ndarray, j: np.ndarray):
+        """Cosines of points with points, in double precision, a few at a time."""
+        for s in range(0, len(i), step):
+            u, v = i[s : s + step], j[s : s + step]
+            yield u, v, np.einsum("nd,nd->n", a.x[u], b.x[v])
 
     def points(p: np.ndarray, q: np.ndarray, same: bool) -> None:
         """Points against points."""
-        for s in range(0, len(p), 1024):
-            i, j = np.nonzero(a.low[p[s : s + 1024]] @ b.low[q].T >= cosine - error)
-            i, j = p[s + i], q[j]
-            if same:
-                i, j = i[i < j], j[i < j]
-            for t in range(0, len(i), 1 << 16):
-                yes = np.einsum("nd,nd->n", a.x[i[t : t + (1 << 16)]], b.x[j[t : t + (1 << 16)]]) >= cosine
-                linked(i[t : t + (1 << 16)][yes], j[t : t + (1 << 16)][yes])
-
-    todo = [(0, 0)]
-    while todo:
-        p, q = todo.pop()
+        for s in range(0, len(p), TILE):
+            low = a.low[p[s : s + TILE]]
+            for t in range(0, len(q), TILE):
+                if same and p[s] > q[t : t + TILE][-1]:
+                    continue
+                i, j = _places(low @ b.low[q[t : t + TILE]].T >= cosine - error)
+                i, j = p[s + i], q[t + j]
+                if same:
+                    i, j = i[i < j], j[i < j]
+                for u, v, c in told(i, j):
+                    linked(u[c >= cosine], v[c >= cosine])
+
+    def near(many: np.ndarray, more: np.ndarray, same: bool):
+        """Pairs of nodes that may hold linked points, a tile at a time."""
+        for s in range(0, len(many), TILE):
+            part = many[s : s + TILE]
+            low = a.low[a.centre[part]]
+            for t in range(0, len(more), TILE):
+                rest = more[t : t + TILE]
+                if same and part[0] > rest[-1]:
+                    continue
+                reach = limit + SLACK + a.radius[part][:, None] + b.radius[rest][None, :]
+                i, j = _places(low @ b.low[b.centre[rest]].T >= np.where(reach < 2, 1 - reach * reach / 2, -2) - error)
+                i, j = part[i], rest[j]
+                if same:
+                    i, j = i[i <= j], j[i <= j]
+                yield i, j
+
+    def walk(p: int, q: int):
+        """The pairs of nodes to be opened next."""
         same = own and p == q
         if not a.kids[p] and not b.kids[q]:
             points(np.arange(a.lo[p], a.hi[p]), np.arange(b.lo[q], b.hi[q]), same)
-            continue
+            return
         many, more = a.opened(p), b.opened(q)
         lone, alone = a.hi[many] - a.lo[many] == 1, b.hi[more] - b.lo[more] == 1
-        if lone.any() and alone.any():
-            points(a.lo[many[lone]], b.lo[more[alone]], same)
-        for s in range(0, 0 if lone.all() and alone.all() else len(many), 1024):
-            part = many[s : s + 1024]
-            reach = limit + SLACK + a.radius[part][:, None] + b.radius[more][None, :]
-            got = a.low[a.centre[part]] @ b.low[b.centre[more]].T
-            near = got >= np.where(reach < 2, 1 - reach * reach / 2, -2) - error
-            near &= ~(lone[s : s + 1024][:, None] & alone[None, :])
-            for i, j in zip(*np.nonzero(near)):
-                m, n = int(part[i]), int(more[j])
-                if same and m > n:
-                    continue
-                d = float(distances(a.x[a.centre[m]][None], b.x[b.centre[n]][None])[0, 0])
-                if d + a.radius[m] + b.radius[n] < limit - SLACK:
+        points(a.lo[many[lone]], b.lo[more[alone]], same)
+        for left, right in ((many[~lone], more), (many[lone], more[~alone])):
+            for i, j in near(left, right, same):
+                whole = np.concatenate([np.zeros(0, bool), *(np.sqrt(np.maximum(0.0, 2 - 2 * c)) for _, _, c in told(a.centre[i], b.centre[j]))])
+                whole = whole + a.radius[i] + b.radius[j] < limit - SLACK
+                for m, n in zip(i[whole].tolist(), j[whole].tolist()):
                     all_linked(m, n)
-                else:
-                    todo.append((m, n))
+                yield from zip(i[~whole].tolist(), j[~whole].tolist())
+
+    todo = [walk(0, 0)]
+    while todo:
+        pair = next(todo[-1], None)
+        if pair is None:
+            todo.pop()
+        else:
+            todo.append(walk(*pair))
 
 
 def _unit(raw: list[bytes], width: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float32 if width == 4 else np.float64).reshape(len(raw), -1).astype(np.float64)
-    x = x / np.abs(x).max(axis=1, initial=0)[:, None]
-    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+    return _units(b"".join(raw), len(raw), width)
+
+
+def _units(raw: bytes, n: int, width: int) -> np.ndarray:
+    """The `n` vectors in `raw`, scaled to length 1 in place, a tile at a time."""
+    x = np.frombuffer(raw, np.float32 if width == 4 else np.float64).reshape(n, -1).astype(np.float64)
+    for s in range(0, n, TILE):
+        y = x[s : s + TILE]
+        y /= np.abs(y).max(axis=1, initial=0)[:, None]
+        y /= np.sqrt((y * y).sum(axis=1))[:, None]
+    return x
 
 
 def vectors(table: DataFrame, column: str = "embedding") -> tuple[DataFrame, int]:
@@ -211,17 +255,16 @@ def _grow(width: int):
     return run
 
 
-def _grown(data: bytes, width: int) -> tuple[CoverTree, np.ndarray, np.ndarray]:
+def _grown(data: pa.Buffer, width: int) -> tuple[CoverTree, np.ndarray, np.ndarray]:
     tree, ids, copies, raw = pickle.loads(data)
-    size = len(raw) // len(ids)
-    tree.set_points(_unit([raw[i : i + size] for i in range(0, len(raw), size)], width))
+    tree.set_points(_units(raw, len(ids), width))
     return tree, ids, copies
 
 
 def _meet(cosine: float, width: int):
     """Two trees, or one with itself, to the links between their vectors."""
 
-    def walk(mine: bytes, others: bytes | None):
+    def walk(mine: pa.Buffer, others: pa.Buffer | None):
         tree, ids, copies = _grown(mine, width)
         other, n = tree, len(ids)
         if others is not None:
@@ -263,7 +306,7 @@ def _meet(cosine: float, width: int):
     def run(batches):
         for b in batches:
             for mine, others in zip(b.column("tree"), b.column("other_tree")):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in walk(mine.as_py(), others.as_py())], ["id", "other", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in walk(mine.as_buffer(), others.as_buffer())], ["id", "other", "n"])
 
     return run
 
@@ -277,7 +320,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, column: str = "embeddin
     classes = written(classes, "vector-classes")
     linked = [_one_length(classes.where(F.length("raw") == n.n), cosine, width) for n in classes.select(F.length("raw").alias("n")).distinct().collect()]
     spark = rows.sparkSession
-    found = spark.createDataFrame([], "id long, other long, n long")
+    found = spark.createDataFrame([], LINKS)
     for part in linked:
         found = found.unionByName(part)
     found = written(found, "vector-links")
@@ -327,7 +370,8 @@ def _one_length(classes: DataFrame, cosine: float, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("raw"), b.column("copies"), pa.array(mine, pa.int64())], ["id", "raw", "copies", "block"])
 
     placed = cells.mapInArrow(place, "id long, raw binary, copies long, block long")
-    trees = written(placed.groupBy("block").applyInArrow(lambda t: _grow(width)(t), "block long, tree binary"), "trees")
+    # one tree a file, so that trees are read by as many tasks and one at a time
+    trees = written(placed.groupBy("block").applyInArrow(lambda t: _grow(width)(t), "block long, tree binary"), "trees", file_rows=1)
 
     def meetings(batches):
         """Blocks to the blocks not below them that hold a cell near enough to one of theirs."""
@@ -340,14 +384,31 @@ def _one_length(classes: DataFrame, cosine: float, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x] * len(met), pa.int64()), pa.array(sorted(met), pa.int64())], ["block", "other"])
 
     pairs = trees.select("block").mapInArrow(meetings, "block long, other long")
-    size = trees.agg(F.sum(F.length("tree"))).first()[0] or 0
-    few = F.broadcast if size <= MAX_BROADCAST_BYTES else (lambda df: df)
-    tasks = max(1, min(trees.count() ** 2 // 2, 100_000))
-    # a block that meets itself brings its tree once
+    sizes = sorted((r["block"], r["size"]) for r in trees.select("block", F.length("tree").alias("size")).collect())
     second = trees.select(F.col("block").alias("other"), F.col("tree").alias("other_tree"))
-    met = pairs.repartition(tasks, "block", "other").join(few(trees), "block").join(few(second), "other")
-    met = met.select("tree", F.when(F.col("block") != F.col("other"), F.col("other_tree")).alias("other_tree"))
-    return met.mapInArrow(_meet(cosine, width), "id long, other long, n long")
+    # a block that meets itself brings its tree once
+    both = ("tree", F.when(F.col("block") != F.col("other"), F.col("other_tree")).alias("other_tree"))
+    if sum(n for _, n in sizes) <= MAX_BROADCAST_BYTES:
+        tasks = max(1, min(len(sizes) ** 2 // 2, 100_000))
+        met = pairs.repartition(tasks, "block", "other").join(F.broadcast(trees), "block").join(F.broadcast(second), "other").select(*both)
+        return met.mapInArrow(_meet(cosine, width), LINKS)
+    # more trees than can be broadcast: a few at a time meet all others as these are read, so that no
+    # tree is copied to disk or sorted
+    pairs = written(pairs, "meetings")
+    packs: list[tuple[int, int]] = []
+    room = 0
+    for at, n in sizes:
+        if n > room:
+            packs.append((at, at))
+            room = MAX_BROADCAST_BYTES
+        packs[-1], room = (packs[-1][0], at), room - n
+    spark = trees.sparkSession
+    path = scratch(spark, "pack-links")
+    for first, last in packs:
+        few, mine = trees.where(F.col("block").between(first, last)), pairs.where(F.col("block").between(first, last))
+        met = second.where(F.col("other") >= first).join(F.broadcast(mine), "other").join(F.broadcast(few), "block").select(*both)
+        met.mapInArrow(_meet(cosine, width), LINKS).write.mode("append").parquet(path)
+    return spark.read.schema(LINKS).parquet(path)
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

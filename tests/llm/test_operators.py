@@ -259,6 +259,40 @@ def test_cover_tree_walk():
             assert (seen == want).all() and (len(tree.lo) > 1 or tree.radius[0] < 1e-6)
 
 
+def test_memory_of_walks():
+    """What a walk holds at once does not grow with the number of children of a node."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=(6000, 64))
+    x[5700:] = x[:300] + rnd.normal(size=(300, 64)) * 0.01
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    peaks, found = [], np.zeros(6000, np.int64)
+
+    def every(p, q):
+        found[tree.lo[p] : tree.hi[p]] += tree.hi[q] - tree.lo[q]
+        if p == q:
+            found[tree.lo[p] : tree.hi[p]] -= 1
+        else:
+            found[tree.lo[q] : tree.hi[q]] += tree.hi[p] - tree.lo[p]
+
+    def some(i, j):
+        np.add.at(found, i, 1)
+        np.add.at(found, j, 1)
+
+    tracemalloc.start()
+    try:
+        tree = covertree.CoverTree(x)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.reset_peak()
+        covertree.dual(tree, tree, 0.95, every, some)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+    finally:
+        tracemalloc.stop()
+    assert (found == (tree.x @ tree.x.T >= 0.95).sum(axis=1) - 1).all()
+    assert max(peaks) < 64 << 20, peaks
+
+
 def test_suffix_arrays():
     rnd = random.Random(3)
     for _ in range(150):
