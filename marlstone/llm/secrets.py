@@ -4,6 +4,8 @@ Base spans: assignments, access keys and long hex strings. Their values are labe
 From a bounded sample of them (SAMPLE per kind, the smallest by md5) a prefix tree is built over
 character classes, and its states are merged whenever they are statistically compatible: in how often
 they stop, in every next symbol, in the lengths that are left to come, and so are their successors.
+Labelled values that its automaton cannot make teach another one, and so on until each value of at most
+LONGEST characters is made by one; an automaton weighs as many values as it makes of those left to it.
 States of one depth are merged first, which pools what the sample tells about a place of the format;
 states of different depths only if there is enough evidence to tell them apart, and it does not. So a
 format of fixed length or with a fixed beginning keeps its states, and one of any length gets loops.
@@ -281,16 +283,35 @@ def observed(docs: DataFrame) -> DataFrame:
     return doc_input(docs).mapInArrow(run, LEARNED)
 
 
+def told_apart(values: DataFrame, automaton: Automaton) -> DataFrame:
+    """(value, fits): whether the automaton can make the value."""
+
+    def run(batches):
+        for b in batches:
+            fits = [automaton.total(v) > -math.inf for v in b.column("value").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("value"), pa.array(fits, pa.bool_())], ["value", "fits"])
+
+    return values.select("value").mapInArrow(run, "value string, fits boolean")
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """One automaton per kind from at most `sample` distinct values; the chain from all runs."""
+    """Automata by kind and round, each from at most `sample` distinct values: those that no automaton
+    of the kind can make teach the next one, until none is left. The chain from all runs."""
     seen = written(observed(docs), "secrets").groupBy("kind", "value").agg(F.sum("n").alias("n"))
     seen = written(seen, "secret-values")
     grams = {r["value"]: r["n"] for r in seen.where("kind is null").collect()}  # at most 121 pairs
     out = {}
     for kind in KINDS:
-        rows = seen.where((F.col("kind") == kind) & (F.length("value") <= LONGEST)).orderBy(F.md5("value"), "value").limit(sample).collect()
-        if rows:
-            out[kind] = Automaton([r["value"] for r in rows])
+        rest, turn = seen.where((F.col("kind") == kind) & (F.length("value") <= LONGEST)).select("value"), 0
+        # an automaton makes the values it learned from, so every round leaves fewer
+        while rows := rest.orderBy(F.md5("value"), "value").limit(sample).collect():
+            a = out[f"{kind} {turn}"] = Automaton([r["value"] for r in rows])
+            if len(rows) < sample:
+                break
+            told = written(told_apart(rest, a), "secret-told")
+            own = told.where("fits").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("value")).alias("longest")).first()
+            a.size, a.longest = own["n"], own["longest"]
+            rest, turn = told.where("not fits"), turn + 1
     return Model(out, grams)
 
 

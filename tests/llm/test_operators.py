@@ -455,6 +455,27 @@ def test_hidden_and_glued_credentials(spark):
     assert clean[201] == "auth=[FORMAT]" and clean[203] == "it is [FORMAT]."
 
 
+def test_formats_beyond_the_sample(spark):
+    """A format none of whose values is in the sample is learned from the rest."""
+    rnd = random.Random(5)
+    some = lambda n, chars: "".join(rnd.choice(chars) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    common = ["ghp_" + some(36, letters) for _ in range(400)]
+    in_sample = sorted(hashlib.md5(v.encode()).hexdigest() for v in common)[49]
+    rare = []
+    while len(rare) < 4:
+        v = "xk-" + some(24, "0123456789")
+        if hashlib.md5(v.encode()).hexdigest() > in_sample:
+            rare.append(v)
+    hidden = ["xk-" + v[:2:-1] for v in rare]
+    texts = [f"word token = {v} ordinary words standing here" for v in common + rare] + [f"ordinary left {h} standing" for h in hidden]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    added = {r.doc_id: [s.value for s in r.added] for r in secrets.find(df, sample=50).collect() if r.added}
+    assert added == {404 + i: [h] for i, h in enumerate(hidden)}
+    sizes = [a.size for a in secrets.learn(df, sample=50).automata.values()]
+    assert len(sizes) > 1 and sum(sizes) == 404
+
+
 def test_pii(docs, none):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
