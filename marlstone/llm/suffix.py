@@ -11,12 +11,11 @@ kind of window needs nothing more. Only anchors with windows of several kinds, w
 repeated passages, go on: one window of each kind, from its smallest document, is sent to the
 anchor's shard.
 
-Shards: the windows of a shard are put together and their suffixes sorted by induction: suffixes
-are classified, leftmost-smaller substrings sorted and named, the string of names sorted the same way,
-recursively, until names are unique, and the suffix array induced in two sweeps. Over bytes the
-sweeps run bucket by bucket on whole NumPy arrays; over names, whose alphabet is large, place by
-place. Permuted common prefixes are computed in text order. Strings that share a prefix of LENGTH
-bytes are one class, and its smallest document is the one that keeps it.
+Shards: the windows of a shard are put together, and the suffixes that begin a string of a window, a
+quarter of all, are sorted by their first LENGTH bytes: a sparse suffix array, digit by digit, in which
+only suffixes that agree with another so far go on. Those that agree in all LENGTH bytes are one class,
+and its smallest document is the one that keeps it. `suffix_array` sorts whole suffixes by induction, and
+tests hold the sparse order against it and its permuted common prefixes.
 
 Texts travel in packed batches: a written table that later passes read again. Windows are combined
 within a batch before they are dealt out.
@@ -220,6 +219,33 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
+def sparse_suffixes(t: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at the places `at` in the order of their first `size` bytes, which are all there, and
+    where in that order a new string begins. Digits are sorted from the front; only suffixes that agree
+    with another so far go on, and the number of their run leads the next digit."""
+    eight = np.ndarray((len(t) + 1,), ">u8", np.concatenate([t, np.zeros(8, np.uint8)]), 0, (1,))
+    step = min(8, size)
+    digit = eight[at].astype(U) >> U(64 - 8 * step)
+    order = np.argsort(digit)
+    new = np.ones(len(at), bool)
+    new[1:] = digit[order[1:]] != digit[order[:-1]]
+    depth = step
+    while depth < size:
+        live = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(live):
+            break
+        run = (np.cumsum(new[live]) - 1).astype(U)
+        step = min((64 - int(run[-1]).bit_length()) // 8, size - depth)
+        digit = eight[at[order[live]] + depth].astype(U) >> U(64 - 8 * step)
+        if step < 8:
+            digit |= run << U(8 * step)
+        by = np.argsort(digit)
+        order[live], digit = order[live][by], digit[by]
+        new[live] = np.concatenate([[True], digit[1:] != digit[:-1]])
+        depth += step
+    return order, new
+
+
 # --- windows of a packed batch -----------------------------------------------------------------
 
 
@@ -460,16 +486,12 @@ def _shard(table: pa.Table) -> pa.Table:
     begin = np.concatenate([[0], np.cumsum(count + LENGTH - 1)[:-1]])
     # every string's start, in the order in which windows were sent
     at = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    sa = suffix_array(t)
-    share = (permuted_prefixes(t, sa, LENGTH) >= LENGTH)[sa]
-    owner = np.full(len(t), LAST)
-    owner[at] = np.repeat(doc, count)
-    by_rank = owner[sa]
-    heads = np.flatnonzero(~share)
-    smallest = np.minimum.reduceat(by_rank, heads)
-    least = np.empty(len(t), np.int64)
-    least[sa] = smallest[np.cumsum(~share) - 1]
-    gone = least[at] < owner[at]
+    owner = np.repeat(doc, count)
+    order, new = sparse_suffixes(t, at, LENGTH)
+    smallest = np.minimum.reduceat(owner[order], np.flatnonzero(new))
+    least = np.empty(len(at), np.int64)
+    least[order] = smallest[np.cumsum(new) - 1]
+    gone = least < owner
     return pa.table({"batch": table["batch"], "bucket": table["bucket"], "answer": pa.array([_pack(np.packbits(gone[lo:hi]).tobytes()) for lo, hi in zip(cuts, cuts[1:])], pa.binary())})
 
 
@@ -525,11 +547,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     buckets = max(8, -(-size // BUCKET_BYTES) * 2)
     answer = "batch long, bucket int, answer binary"
     names = table.mapInArrow(_ask(buckets), "bucket int, batch long, names binary")
-    first = written(names.groupBy("bucket").applyInArrow(lambda t: _settle(t), answer), "answers")
+    # a task per bucket: else Spark joins small partitions to as many tasks as there are cores, and the
+    # longest of them is waited for
+    first = written(names.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(lambda t: _settle(t), answer), "answers")
     listed = lambda df, name: df.groupBy("batch").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
     asked = table.join(listed(first, "answers"), "batch", "left")
     sent = asked.mapInArrow(_send(buckets), "bucket int, batch long, windows binary")
-    second = written(sent.groupBy("bucket").applyInArrow(lambda t: _shard(t), answer), "shards")
+    second = written(sent.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(lambda t: _shard(t), answer), "shards")
     replies = listed(first, "answers").join(listed(second, "shards"), "batch", "full")
     return table.join(replies, "batch", "left").mapInArrow(_finish(buckets), "doc_id long, n_bytes long, begins array<long>, ends array<long>, kept binary")
 

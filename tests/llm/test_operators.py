@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 
 import numpy as np
 import pytest
@@ -307,6 +308,32 @@ def test_suffix_arrays():
                 assert got[b] == next((n for n in range(most) if max(a, b) + n == len(s) or s[a + n] != s[b + n]), most)
 
 
+def test_sparse_suffixes_and_their_time():
+    rng = np.random.default_rng(5)
+    for letters, n, size in ((2, 300, 5), (3, 4_000, 50), (256, 2_000, 8), (1, 200, 50), (4, 3_000, 13)):
+        t = rng.integers(0, letters, n, dtype=np.uint8)
+        t[n // 2 : n // 2 + n // 4] = t[: n // 4]
+        at = np.sort(rng.choice(n - size + 1, n // 3, replace=False))
+        order, new = suffix.sparse_suffixes(t, at, size)
+        strings = [t[i : i + size].tobytes() for i in at]
+        assert [strings[i] for i in order] == sorted(strings)
+        assert new.tolist() == [not k or strings[order[k]] != strings[order[k - 1]] for k in range(len(at))]
+        # the classes of the whole suffix array
+        sa = suffix.suffix_array(t)
+        apart = suffix.permuted_prefixes(t, sa, size)[sa] < size
+        assert new.sum() == len(np.unique(np.cumsum(apart)[np.argsort(sa)][at]))
+    # windows that share all but their ends, as shards get them: the whole suffix array takes over a second
+    part = rng.integers(97, 123, 66, dtype=np.uint8)
+    t = np.concatenate([np.concatenate([part, rng.integers(97, 123, 18, dtype=np.uint8)]) for _ in range(6_000)])
+    at = (np.arange(6_000)[:, None] * 84 + np.arange(35)).ravel()
+    seconds = {}
+    for name, run in (("sparse", lambda: suffix.sparse_suffixes(t, at, 50)), ("whole", lambda: suffix.suffix_array(t))):
+        began = time.process_time()
+        run()
+        seconds[name] = time.process_time() - began
+    assert seconds["sparse"] < seconds["whole"] / 2, seconds
+
+
 def test_suffix_arrays_of_many_names():
     """Names of two and three bytes, and periodic text."""
     rnd = np.random.default_rng(5)
