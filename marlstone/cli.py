@@ -10,6 +10,7 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .errors import MarlstoneError, SchemaError
 from .functions.compiling import compiled
@@ -38,11 +39,13 @@ def arguments() -> argparse.ArgumentParser:
 
 
 def lines(df: DataFrame, kind: str):
-    """Output lines, pulled partition by partition."""
+    """Output lines in the order of the partitions they are made in. All are made at once, and pulled from
+    the few partitions of a shuffle: a local iterator runs the partitions that it pulls in turn."""
     made = {"json": json_rows, "csv": delimited_rows, "tsv": lambda d: delimited_rows(d, "\t"), "text": text_rows}[kind](df)
     if kind in ("csv", "tsv"):
         yield header(df, "," if kind == "csv" else "\t")
-    for row in made.toLocalIterator():
+    line = made.columns[0]
+    for row in made.select(F.col(line), F.monotonically_increasing_id().alias("at")).orderBy("at").select(line).toLocalIterator():
         yield row[0]
 
 
