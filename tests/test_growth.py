@@ -8,6 +8,7 @@ from marlstone import cli, scenarios
 from marlstone.errors import SchemaError
 from marlstone.functions.predicate import col
 from marlstone.plans import counting, explain
+from marlstone.sources import tables
 from marlstone.sources.fileset import by_file, listed, open_fileset, open_per_file
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +78,15 @@ def test_jobs_do_not_grow_with_files(spark, many, monkeypatch):
         assert out[0] == "id" and out[1:] == [str(r[0]) for r in open_fileset(spark, many).frame().collect()]
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_many_deletes_are_not_broadcast(spark, monkeypatch):
+    want = scenarios.iceberg_position_deletes(spark, SF).count()
+    monkeypatch.setattr(tables, "BROADCAST_DELETES", 10)
+    for query in (scenarios.iceberg_position_deletes, scenarios.iceberg_equality_deletes, scenarios.iceberg_deletion_vectors):
+        plan = query(spark, SF)._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan
+    assert scenarios.iceberg_position_deletes(spark, SF).count() == want
+    # one row per file is what is broadcast, not the rows of the files
+    plan = scenarios.iceberg_position_deletes(spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 3 and "Inner, BuildLeft" not in plan
