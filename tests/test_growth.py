@@ -8,7 +8,7 @@ from marlstone import cli, scenarios
 from marlstone.errors import SchemaError
 from marlstone.functions.predicate import col
 from marlstone.plans import counting, explain
-from marlstone.sources import tables
+from marlstone.sources import items, tables
 from marlstone.sources.fileset import by_file, listed, open_fileset, open_per_file
 
 SF = "/root/testdata/sf0.001"
@@ -90,3 +90,19 @@ def test_many_deletes_are_not_broadcast(spark, monkeypatch):
     # one row per file is what is broadcast, not the rows of the files
     plan = scenarios.iceberg_position_deletes(spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("BroadcastHashJoin") == 3 and "Inner, BuildLeft" not in plan
+
+
+def test_written_by_more_tasks_as_rows_grow(spark, monkeypatch):
+    monkeypatch.setattr(scenarios, "_made", {})
+    monkeypatch.setattr(scenarios, "GEO_FILE_ROWS", 100)
+    assert len(listed(spark, scenarios.geoparquet(spark, SF))) == 12  # 1,500 orders, four strips
+    entries = tables.Table(spark, scenarios.vectors(spark, SF)).entries()
+    assert len([e for e in entries if e.format == "puffin"]) == len([e for e in entries if not e.content]) == 2
+    # shapes: each coordinate is worked out once, not once for each byte of each corner
+    plan = scenarios.shapes(scenarios.orders(spark, SF)).select("geom")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LOG2") < 30
+
+
+def test_links_with_a_scheme_are_not_relative():
+    assert items._at("file:///a/b/c.json", "file:/x/y.parquet") == "file:/x/y.parquet"
+    assert items._at("file:///a/b/c.json", "./y.parquet") == "file:///a/b/y.parquet"
